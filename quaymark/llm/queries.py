@@ -6,17 +6,72 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import line_rules
+from quaymark.llm import line_rules, maglev, toxicity, warc_store
 from quaymark.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return maglev.place(docs, "doc_id", maglev.shard_names()).select("doc_id", "source", "slot", "shard", "shard_name")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.describe(warc_store.archive(table(spark, sf_dir, "pages")))
+
+
 def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality_lines": op10_quality_lines}
+    return {f.__name__: f for f in (op2_toxicity, op6_sharding, op9_warc, op10_quality_lines)}
+
+
+#: The table filled by turns, as a recursive query: the state is the owner of each slot and where each shard's walk stands.
+OP6_SQL = f"""
+with recursive names as (
+  select k, 'shard-' || lpad(cast(k as varchar), 4, '0') as name from range({maglev.SHARDS}) t(k)
+), walks as (
+  select list(cast('0x' || substr(md5(name || '/offset'), 1, 15) as bigint) % {maglev.SLOTS} order by k) as offs,
+         list(cast('0x' || substr(md5(name || '/skip'), 1, 15) as bigint) % {maglev.SLOTS - 1} + 1 order by k) as steps
+  from names
+), fill(turn, owner, at, steps) as (
+  select 0, list_transform(range({maglev.SLOTS}), lambda x: -1), offs, steps from walks
+  union all
+  select turn + 1, list_transform(owner, lambda x, i: case when i = free + 1 then s else x end),
+         list_transform(at, lambda x, i: case when i = s + 1 then (free + steps[i]) % {maglev.SLOTS} else x end), steps
+  from (
+    select *, list_filter(list_transform(range({maglev.SLOTS}), lambda j: (at[s + 1] + j * steps[s + 1]) % {maglev.SLOTS}), lambda x: owner[x + 1] < 0)[1] as free
+    from (select *, turn % {maglev.SHARDS} as s from fill where turn < {maglev.SLOTS})
+  )
+), full_table as (
+  select generate_subscripts(owner, 1) - 1 as slot, unnest(owner) as shard from fill where turn = {maglev.SLOTS}
+), keyed as (
+  select doc_id, source, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '\\N')), 1, 15) as bigint) % {maglev.SLOTS} as slot from documents
+)
+select doc_id, source, cast(slot as bigint) as slot, cast(shard as int) as shard, name as shard_name
+from keyed join full_table using (slot) join names on k = shard
+"""
+
+OP9_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as payload, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages
+), r as (
+  select *, max(page_id) over (partition by payload) as top from p
+)
+select page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(
+    ((strpos('0123456789abcdef', substr(h, cast(floor(5 * i / 4.0) as int) + 1, 1)) - 1) * 16
+     + greatest(strpos('0123456789abcdef', substr(h, cast(floor(5 * i / 4.0) as int) + 2, 1)) - 1, 0)) as int) // [8, 4, 2, 1][i % 4 + 1] % 32 + 1, 1)), '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type,
+  case when page_id = top then null else top end as refers_to
+from r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_sharding": OP6_SQL, "op9_warc": OP9_SQL}
