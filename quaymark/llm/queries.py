@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import line_rules, maglev, toxicity, warc_store
+from quaymark.llm import line_rules, maglev, mixing, packing, toxicity, warc_store
 from quaymark.llm.common import table
 
 
@@ -14,11 +14,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return maglev.place(docs, "doc_id", maglev.shard_names()).select("doc_id", "source", "slot", "shard", "shard_name")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.describe(warc_store.archive(table(spark, sf_dir, "pages")))
 
@@ -28,7 +36,7 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op6_sharding, op9_warc, op10_quality_lines)}
+    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op6_sharding, op8_packing, op9_warc, op10_quality_lines)}
 
 
 #: The table filled by turns, as a recursive query: the state is the owner of each slot and where each shard's walk stands.
@@ -39,13 +47,13 @@ with recursive names as (
   select list(cast('0x' || substr(md5(name || '/offset'), 1, 15) as bigint) % {maglev.SLOTS} order by k) as offs,
          list(cast('0x' || substr(md5(name || '/skip'), 1, 15) as bigint) % {maglev.SLOTS - 1} + 1 order by k) as steps
   from names
-), fill(turn, owner, at, steps) as (
+), fill(turn, owner, pos, steps) as (
   select 0, list_transform(range({maglev.SLOTS}), lambda x: -1), offs, steps from walks
   union all
   select turn + 1, list_transform(owner, lambda x, i: case when i = free + 1 then s else x end),
-         list_transform(at, lambda x, i: case when i = s + 1 then (free + steps[i]) % {maglev.SLOTS} else x end), steps
+         list_transform(pos, lambda x, i: case when i = s + 1 then (free + steps[i]) % {maglev.SLOTS} else x end), steps
   from (
-    select *, list_filter(list_transform(range({maglev.SLOTS}), lambda j: (at[s + 1] + j * steps[s + 1]) % {maglev.SLOTS}), lambda x: owner[x + 1] < 0)[1] as free
+    select *, list_filter(list_transform(range({maglev.SLOTS}), lambda j: (pos[s + 1] + j * steps[s + 1]) % {maglev.SLOTS}), lambda x: owner[x + 1] < 0)[1] as free
     from (select *, turn % {maglev.SHARDS} as s from fill where turn < {maglev.SLOTS})
   )
 ), full_table as (
