@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import line_rules, maglev, mixing, packing, toxicity, warc_store
+from quaymark.llm import chat_windows, line_rules, maglev, mixing, packing, toxicity, warc_store
 from quaymark.llm.common import table
 
 
@@ -23,6 +23,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maglev.place(docs, "doc_id", maglev.shard_names()).select("doc_id", "source", "slot", "shard", "shard_name")
 
 
+#: What conversation -1 says in both of its turns: the marks of a common chat template.
+OP7_MARKS = "</s>[INST] ok [/INST]"
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.sql(f"select -1L as conv_id, turn, role, '{OP7_MARKS}' as text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
+    return chat_windows.digest(chat_windows.windows(rows.unionByName(marks)))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,7 +46,7 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op6_sharding, op8_packing, op9_warc, op10_quality_lines)}
+    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op6_sharding, op7_chat, op8_packing, op9_warc, op10_quality_lines)}
 
 
 #: The table filled by turns, as a recursive query: the state is the owner of each slot and where each shard's walk stands.
@@ -65,6 +75,37 @@ select doc_id, source, cast(slot as bigint) as slot, cast(shard as int) as shard
 from keyed join full_table using (slot) join names on k = shard
 """
 
+#: formatted_chars needs the template and the window rule, the rest only the rows.
+OP7_SQL = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{OP7_MARKS}' union all select -1, 1, 'assistant', '{OP7_MARKS}'
+), t as (
+  select *, row_number() over (partition by conv_id order by turn, role, text) - 1 as i,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + {chat_windows.MARK_TOKENS} as tokens,
+    8 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\\\<>\\[]', '', 'g')) as size from c
+), p as (
+  select *, sum(tokens) over w as e, max(case when i = 0 and role = 'system' then tokens else 0 end) over (partition by conv_id) as fixed
+  from t window w as (partition by conv_id order by i rows unbounded preceding)
+), g as (
+  select *, 512 - fixed as rest, greatest(1, (512 - fixed) // 3) as step, e - tokens as b from p
+), k as (
+  select *, case when e <= 512 then 0 else 1 + (e - 513) // step end as cell from g
+), h as (
+  select *, coalesce(lag(cell) over (partition by conv_id order by i) <> cell, true) as head from k
+), n as (
+  select *, sum(cast(head as int)) over (partition by conv_id) - 1 as more,
+    coalesce(lead(head, 1) over w and lead(b, 1) over w - b <= rest - 2 * step, false) as h1,
+    coalesce(lead(head, 2) over w and lead(b, 2) over w - b <= rest - 2 * step, false) as h2
+  from h window w as (partition by conv_id order by i)
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(size * (1 + case when i = 0 and role = 'system' then more else cast(h1 as int) + cast(h2 as int) end)) as bigint) as formatted_chars
+from n group by conv_id
+"""
+
 OP9_SQL = """
 with p as (
   select page_id, coalesce(html, '') as payload, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages
@@ -82,4 +123,4 @@ from r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op6_sharding": OP6_SQL, "op7_chat": OP7_SQL, "op9_warc": OP9_SQL}
