@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import chat_windows, line_rules, maglev, mixing, packing, toxicity, warc_store
+from quaymark.llm import chat_windows, jpeg_media, line_rules, maglev, mixing, packing, toxicity, warc_store
 from quaymark.llm.common import table
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.assess(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op6_sharding, op7_chat, op8_packing, op9_warc, op10_quality_lines)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_mixing, op6_sharding, op7_chat, op8_packing, op9_warc, op10_quality_lines)}
 
 
 #: The table filled by turns, as a recursive query: the state is the owner of each slot and where each shard's walk stands.
