@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import chat_windows, jpeg_media, line_rules, maglev, mixing, ngram_join, packing, toxicity, warc_store
+from quaymark.llm import chat_windows, jpeg_media, line_rules, maglev, mixing, ngram_join, packing, suffix_lm, toxicity, warc_store
 from quaymark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.assess(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_ngrams(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_mixing, op5_ngram_join, op6_sharding, op7_chat, op8_packing, op9_warc, op10_quality_lines)}
+    return {f.__name__: f for f in (op1_media, op2_toxicity, op3_mixing, op4_suffix_lm, op5_ngram_join, op6_sharding, op7_chat, op8_packing, op9_warc, op10_quality_lines)}
 
 
 #: The table filled by turns, as a recursive query: the state is the owner of each slot and where each shard's walk stands.
