@@ -1,4 +1,8 @@
-"""The registered queries of the recognition-analytics operators and their SQL twins."""
+"""The registered queries of the recognition-analytics operators and their SQL twins.
+
+The driver tables hold no photos, so each operator runs on a stand-in: codes are made of a fixed owner and
+a key, `events.value` stands for a latency, `event_type` for a status, `user_id` for a request or image.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quaymark.plans import bench_queries, code_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**bench_queries.QUERIES, **code_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**bench_queries.SQL, **code_queries.SQL}
