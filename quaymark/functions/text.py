@@ -43,11 +43,11 @@ def class_counts(c: Column | str) -> Column:
 
 
 def percent(c: Column | str) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", col(c) * 100.0), F.lit("N/A"))
+    return F.when(col(c).isNull(), "N/A").otherwise(F.format_string("%.2f%%", col(c) * 100.0))
 
 
 def number(c: Column | str) -> Column:
-    return F.coalesce(F.format_string("%.3f", col(c)), F.lit("N/A"))
+    return F.when(col(c).isNull(), "N/A").otherwise(F.format_string("%.3f", col(c)))
 
 
 def file_name(path: Column | str) -> Column:

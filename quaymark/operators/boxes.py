@@ -75,4 +75,4 @@ def suppress(boxes: DataFrame, keys: list[str], order: str = "ord", threshold: f
     rows = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("b"))
     corners = lambda x: (x["x1"], x["y1"], x["x2"], x["y2"])
     kept = F.aggregate("b", F.slice("b", 1, 0), lambda k, x: F.when((F.size(k) >= most) | F.exists(k, lambda y: iou(corners(x), corners(y)) >= threshold), k).otherwise(F.concat(k, F.array(x))))
-    return rows.select(*keys, F.posexplode(kept).alias("rank", "k")).select(*keys, (F.col("rank") + 1).alias("rank"), F.col("k.ord").alias(order), (-F.col("k.minus_area")).alias("area"), "k.x1", "k.y1", "k.x2", "k.y2")
+    return rows.select(*keys, F.posexplode(kept).alias("rank", "__kept")).select(*keys, (F.col("rank") + 1).alias("rank"), F.col("__kept.ord").alias(order), (-F.col("__kept.minus_area")).alias("area"), "__kept.x1", "__kept.y1", "__kept.x2", "__kept.y2")
