@@ -76,3 +76,28 @@ def suppress(boxes: DataFrame, keys: list[str], order: str = "ord", threshold: f
     corners = lambda x: (x["x1"], x["y1"], x["x2"], x["y2"])
     kept = F.aggregate("b", F.slice("b", 1, 0), lambda k, x: F.when((F.size(k) >= most) | F.exists(k, lambda y: iou(corners(x), corners(y)) >= threshold), k).otherwise(F.concat(k, F.array(x))))
     return rows.select(*keys, F.posexplode(kept).alias("rank", "__kept")).select(*keys, (F.col("rank") + 1).alias("rank"), F.col("__kept.ord").alias(order), (-F.col("__kept.minus_area")).alias("area"), "__kept.x1", "__kept.y1", "__kept.x2", "__kept.y2")
+
+
+#: The three zones at the right in which a check digit is looked for, in shares of the image, from wide to tight.
+CHECK_ZONES = (("primary", 0.72, 0.03, 1.0, 0.97), ("mid", 0.76, 0.05, 1.0, 0.95), ("tight", 0.84, 0.02, 1.0, 0.98))
+INNER_MARGIN = 0.06
+
+
+def check_zones(images: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """One row for each image and zone, with the zone's box in pixels."""
+    table = F.array(*[F.struct(F.lit(n).alias("zone"), zone(width, height, *box).alias("box")) for n, *box in CHECK_ZONES])
+    rows = images.select("*", F.posexplode(table).alias("zone_ord", "__z"))
+    return rows.where("__z.box is not null").select(*images.columns, "zone_ord", "__z.zone", "__z.box.*")
+
+
+def check_votes(squares: DataFrame, zone_reads: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ord, digit, score, source, zone): reads of at most two squares of each zone, whole and inner, and of the zones.
+
+    `squares` has (keys, zone_ord, zone, rank, digit, score, inner_digit, inner_score); empty reads give no vote.
+    """
+    whole = squares.select(*keys, "zone_ord", "zone", "rank", F.lit(0).alias("part"), "digit", "score", F.lit("square").alias("source"))
+    inside = squares.select(*keys, "zone_ord", "zone", "rank", F.lit(1).alias("part"), F.col("inner_digit").alias("digit"), F.col("inner_score").alias("score"), F.lit("square_inner").alias("source"))
+    zones = zone_reads.select(*keys, "zone_ord", "zone", F.lit(9).alias("rank"), F.lit(2).alias("part"), "digit", "score", F.lit("zone").alias("source"))
+    every = whole.where("rank <= 2").unionByName(inside.where("rank <= 2")).unionByName(zones).where("digit <> ''")
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("zone_ord", "rank", "part"))
+    return every.select(*keys, (order - 1).alias("ord"), "digit", "score", "source", "zone")
