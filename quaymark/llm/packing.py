@@ -13,7 +13,11 @@ whole; equal rows are separate documents; an empty table gives no sequences; oth
 
 from __future__ import annotations
 
+import gc
+import json
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +30,81 @@ from quaymark.llm.common import keep, running_sum, utf8
 class _Words(dict):
     """Word -> its token ids as little-endian 32-bit numbers; forgets all when it is large.
 
-    The tokenizer drops white space and never joins across it, so that words can be encoded one by one.
+    The tokenizer drops white space and never joins across it, so that words can be encoded one by one.  It
+    lowers letters, too, so that texts without marks of special tokens can be lowered first.  Words of plain
+    lower-case letters are what its normalizer and splitter leave alone: these skip both.  ASCII punctuation
+    behind such a word is split off as a whole.  Other words of visible ASCII without capitals skip the normalizer.
     """
 
+    #: a to z and the lower-case letters from U+00DF to U+00FF, then perhaps ASCII punctuation.
+    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+    VISIBLE = re.compile(rb"[!-@\[-~]+")
+
     def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self))
-        if len(self) + len(new) > 400_000:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.full = Tokenizer.from_file(path)
+        byte_level = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": byte_level, "added_tokens": []}))
+        self.unchanged = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+        self.runs: dict[bytes, bytes] = {}  # punctuation behind words
+
+    @staticmethod
+    def _encode(tokenizer, words: list[bytes]) -> list[bytes]:
+        gc.disable()  # a list for each word: nothing to collect, much to walk through
+        ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        gc.enable()
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+        return [flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not there yet; they are there from now on."""
+        if len(self) + len(words) > 1_000_000:
             self.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        split, cores, visible, other = [], set(), [], []
+        for w in words:
+            m = self.PLAIN.fullmatch(w)
+            if m:
+                core, run = m.groups()
+                cores.add(core)
+                if run:
+                    split.append((w, core, run))
+            else:
+                (visible if self.VISIBLE.fullmatch(w) else other).append(w)
+        if len(self.runs) > 20_000:
+            self.runs.clear()
+        runs = list({run for _, _, run in split}.difference(self.runs))
+        self.runs.update(zip(runs, self._encode(self.full, runs), strict=True))
+        made = list(cores)
+        plain = dict(zip(made, self._encode(self.plain, made), strict=True))
+        out = {w: plain[core] + self.runs[run] for w, core, run in split}
+        out.update((w, ids) for w, ids in plain.items() if w in words)
+        out.update(zip(visible, self._encode(self.unchanged, visible), strict=True))
+        out.update(zip(other, self._encode(self.full, other), strict=True))
+        self.update(out)
+        return out
+
+    def encoded(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts."""
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        flat = list(chain.from_iterable(split))
+        got = list(map(self.get, flat))
+        lacking = [k for k, ids in enumerate(got) if ids is None]
+        if lacking:
+            new = self.learn({flat[k] for k in lacking})
+            for k in lacking:
+                got[k] = new[flat[k]]
+        ends = np.cumsum([len(x) for x in split]).tolist()
+        return [b"".join(got[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+
+
+_WORDS: dict[str, _Words] = {}  # one for each tokenizer in a Python worker, kept from task to task
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
@@ -58,15 +117,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        words, end, step = _Words(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        words, end, step = _WORDS.get(path) or _WORDS.setdefault(path, _Words(path)), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids), 256):
-                split = [t.split() for t in utf8(texts.slice(lo, 256))]
-                words.learn([w for s in split for w in s])
                 rows = []
-                for doc_id, own in zip(ids[lo : lo + 256], split, strict=True):
-                    data = b"".join(map(words.__getitem__, own)) + end
+                for doc_id, own in zip(ids[lo : lo + 256], words.encoded(utf8(texts.slice(lo, 256))), strict=True):
+                    data = own + end
                     for k, at in enumerate(range(0, len(data), step)):
                         part = data[at : at + step]
                         rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
