@@ -137,7 +137,8 @@ def mix(places: DataFrame, block: int = 128, shard_words: int = 1 << 20, seed: i
     pieces = places.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))).alias("block"))
     pieces = pieces.withColumn("from_word", F.greatest(F.lit(0), F.col("block") * block - F.col("start"))).withColumn("begin", F.col("start") + F.col("from_word") - F.col("block") * block)
     d = drawn.select(F.col("source").alias("s"), "shard", "slot", "turn", F.col("block").alias("b"), "words")
-    spans = pieces.join(d, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
+    # a few draws stand for many slots, which Spark cannot know: left alone it would broadcast them all
+    spans = pieces.join(d.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).drop("s", "b")
     spans = spans.withColumn("to_word", F.least(F.col("size"), F.col("from_word") + F.least(F.lit(block), F.col("words")) - F.col("begin"))).where("to_word > from_word")
     return goals, spans.drop("begin", "words")
 
@@ -181,7 +182,9 @@ def mixed_texts(docs: DataFrame, **params) -> DataFrame:
     _, spans = mix(places, **params)
     rows = spans.groupBy("source", "start", "turn", "doc_id", "text_key").agg(F.collect_list(F.struct(F.col("from_word").alias("a"), F.col("to_word").alias("b"))).alias("spans"))
     rows = rows.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("text_key").alias("__k"), "spans")
-    texts = docs.withColumn("__key", key).dropDuplicates(["doc_id", "source", "__key"])
+    texts = docs.withColumn("__key", key)
+    if not places.groupBy("doc_id", "source", "text_key").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id", "source", "__key"])  # equal rows have a decision each, and share their text
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k"))
     out = texts.join(rows, same).withColumn("text", F.arrow_udf(_cut, "string")("text", "spans"))
     if "n_chars" in docs.columns:
