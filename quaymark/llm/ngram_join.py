@@ -6,14 +6,17 @@ rest by hash.  Two sets can only be similar if they share an n-gram among the la
 probing end), so that postings of those n-grams name all candidates:
 
 * round 1 streams the postings; the first class of a posting list leads it, and every class is checked
-  against the leader it shares most n-grams with; links give components;
+  against the leaders of its lists; links give components;
 * round 2 goes through the lists of the classes that met another one, and takes every pair of classes that
   lie in different components, could be large enough to match and, from where their first shared n-gram
-  stands, could overlap enough.  No other pair can add to a component.
+  stands and by their signatures, could overlap enough.  No other pair can add to a component.
 
-Candidates of one class are checked together: their sets, in the global order, form a prefix tree (sorted,
-with the length each shares with its neighbour); the probing set walks it, overlaps of shared beginnings
-are counted once, and subtrees whose remaining length cannot reach the overlap needed are cut.
+Before sets are moved, a pair must pass a test that cannot lose a link: each set has a bitmap of about one
+bit for each n-gram, flipped by each of them, and where two bitmaps differ the sets differ at least as often.
+A signature is such a bitmap of 256 bits, whatever the size, that goes with the postings of round 2.
+Candidates of one class are then checked together: their sets, in the global order, form a prefix tree
+(sorted, with the length each shares with its neighbour); the probing set walks it, overlaps of shared
+beginnings are counted once, and subtrees whose remaining length cannot reach the overlap needed are cut.
 
 Hashes of n-grams have 63 bits.  What is broadcast is bounded: the shared n-grams (at most `MOST_SHARED`)
 and ids behind a check of their number.  No list is collected: a list costs as many rows as it has members
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from quaymark.llm.common import keep, utf8
 
 MOST_SHARED = 1_000_000
-SHARED_BY = 1 / 500  # of all documents
+BROADCAST_IDS = 2_000_000  # at most so many ids are broadcast; beyond that Spark shuffles
 LOT = 400
 _TOP = np.uint64(1 << 63)
 
@@ -77,19 +80,19 @@ def _ids_and_texts(batch):
 
 
 def shared_ngrams(docs: DataFrame, n: int = 5) -> np.ndarray:
-    """The n-grams found in at least SHARED_BY of all documents, as far as parts of the input show it; sorted.
+    """The n-grams that most documents share, as far as parts of the input show it: at most MOST_SHARED; sorted.
 
     They only fix the global order, so that being near the mark either way changes no result.
     """
 
     def count(batches):
         shingler = Shingler(n)
-        sets, size, docs_seen, grams_seen = [], 0, 0, 0
+        sets, size = [], 0
 
         def flush():
             h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = c >= max(3, len(sets) * SHARED_BY)
-            return pa.RecordBatch.from_pydict({"h": h[often].astype(np.int64), "n": c[often], "docs": np.zeros(int(often.sum()), np.int64), "grams": np.zeros(int(often.sum()), np.int64)})
+            often = c >= 2
+            return pa.RecordBatch.from_pydict({"h": h[often].astype(np.int64), "n": c[often]})
 
         for batch in batches:
             for _, texts in _ids_and_texts(batch):
@@ -97,19 +100,21 @@ def shared_ngrams(docs: DataFrame, n: int = 5) -> np.ndarray:
                     s = shingler.of(t)
                     sets.append(s)
                     size += len(s)
-                    docs_seen, grams_seen = docs_seen + 1, grams_seen + len(s)
                 if size > 3_000_000:
                     yield flush()
                     sets, size = [], 0
         yield flush()
-        yield pa.RecordBatch.from_pydict({"h": [-1], "n": [0], "docs": [docs_seen], "grams": [grams_seen]})
 
-    found = keep(docs.select("doc_id", "text").mapInArrow(count, "h long, n long, docs long, grams long").groupBy("h").agg(*[F.sum(c).alias(c) for c in ("n", "docs", "grams")]), "ngram-counts")
-    whole = found.where("h = -1").first()
-    if not whole:
-        return np.zeros(0, np.uint64)
-    least = max(8, whole["docs"] * SHARED_BY, whole["grams"] / MOST_SHARED)  # so that no more than MOST_SHARED reach it
-    return np.sort(found.where((F.col("h") >= 0) & (F.col("n") >= least)).select("h").toArrow()["h"].to_numpy().astype(np.uint64))
+    found = keep(docs.select("doc_id", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "ngram-counts")
+    # the smallest mark that no more than MOST_SHARED reach, by powers of two
+    level = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    reach, least = 0, 1 << 62
+    for r in found.where("n >= 8").groupBy(level.alias("level")).count().orderBy(F.col("level").desc()).collect():  # one row for each power of two
+        reach += r["count"]
+        if reach > MOST_SHARED:
+            break
+        least = 1 << r["level"]
+    return np.sort(found.where(F.col("n") >= least).select("h").toArrow()["h"].to_numpy().astype(np.uint64))
 
 
 def keys_of(s: np.ndarray, shared: np.ndarray) -> np.ndarray:
@@ -131,52 +136,77 @@ def needed(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the hashes in each of about as many bits as there are; a power of two of them."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Like a bitmap, of 256 bits whatever the size: short enough to go with each posting."""
+    return np.packbits(np.bincount(((s >> np.uint64(24)) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).tobytes()
+
+
+def may_be_similar(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool:
+    """False only if the bitmaps show that the sets differ too much."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):  # a bit's number is the low bits of the hash: halves lie on each other
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= n_a + n_b - 2 * needed(n_a, n_b, percent)
+
+
 def documents_as_sets(docs: DataFrame, shared, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node, node2, probe): size, 128-bit digest and probing end of each document's set."""
+    """(doc_id, n_shingles, node, node2, probe, bits, sig): size, 128-bit digest, probing end, bitmap and signature of each document's set."""
 
     def read(batches):
         shingler, order = Shingler(n), shared.value
         for batch in batches:
             for ids, texts in _ids_and_texts(batch):
-                size, node, node2, probe = [], [], [], []
+                size, node, node2, probe, bits, sig = [], [], [], [], [], []
                 for t in texts:
                     k = keys_of(shingler.of(t), order)
                     size.append(len(k))
                     d = xxhash.xxh3_128_intdigest(k.tobytes())
                     node.append((d & ((1 << 64) - 1)) - (1 << 63))
                     node2.append((d >> 64) - (1 << 63))
+                    bits.append(bitmap(k & ~_TOP) if len(k) else b"")
+                    sig.append(signature(k & ~_TOP))
                     probe.append(k[len(k) - probing(len(k), percent) :].tobytes() if len(k) else b"")
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_shingles": pa.array(size, pa.int64()), "node": pa.array(node, pa.int64()), "node2": pa.array(node2, pa.int64()), "probe": pa.array(probe, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_shingles": pa.array(size, pa.int64()), "node": pa.array(node, pa.int64()), "node2": pa.array(node2, pa.int64()), "probe": pa.array(probe, pa.binary()), "bits": pa.array(bits, pa.binary()), "sig": pa.array(sig, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, n_shingles long, node long, node2 long, probe binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, n_shingles long, node long, node2 long, probe binary, bits binary, sig binary")
 
 
-def _postings(classes: DataFrame, parts: int, columns: list[str]) -> DataFrame:
+def _postings(rows: DataFrame, parts: int, columns: list[str]) -> DataFrame:
     """Postings by part of the hash space, many to a row: keys, and for each key the class and `columns`, as packed numbers."""
 
     def deal(batches):
         for batch in batches:
-            probes = [np.frombuffer(p, np.uint64) for p in batch.column("probe").to_pylist()]
-            if not probes:
+            if not batch.num_rows:
                 continue
+            batch = batch.take(pa.array(np.unique(batch.column("node").to_numpy(), return_index=True)[1]))  # equal sets count once
+            probes = [np.frombuffer(p, np.uint64) for p in batch.column("probe").to_pylist()]
             sizes = np.array([len(p) for p in probes])
             key = np.concatenate(probes)
             part = ((key & ~_TOP) >> np.uint64(23)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(parts + 1))
-            each = {c: np.repeat(batch.column(c).to_numpy(), sizes)[order] for c in ["node", *columns]}
+            of = np.repeat(np.arange(len(sizes)), sizes)[order]
+            each = {c: (np.frombuffer(b"".join(batch.column(c).to_pylist()), "V32") if c == "sig" else batch.column(c).to_numpy())[of] for c in ["node", *columns]}
             each["pos"] = (np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(key)))[order]  # from the far end of the order
             key = key[order]
             some = np.flatnonzero(np.diff(ends))
             cut = lambda x: [x[ends[p] : ends[p + 1]].tobytes() for p in some]
             first = each["node"][ends[some]] if len(some) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"part": some.astype(np.int64), "first": first, "key": pa.array(cut(key), pa.binary()), **{c: pa.array(cut(each[c].astype(np.int32 if c in ("size", "pos") else np.int64)), pa.binary()) for c in ["node", *columns] + ["pos"] * bool(columns)}})
+            yield pa.RecordBatch.from_pydict({"part": some.astype(np.int64), "first": first, "key": pa.array(cut(key), pa.binary()), **{c: pa.array(cut(each[c] if c == "sig" else each[c].astype(np.int32 if c in ("size", "pos") else np.int64)), pa.binary()) for c in ["node", *columns] + ["pos"] * bool(columns)}})
 
     fields = "part long, first long, key binary, node binary" + "".join(f", {c} binary" for c in columns) + ", pos binary" * bool(columns)
-    return classes.select("node", *columns, "probe").mapInArrow(deal, fields)
+    return rows.select("node", *columns, "probe").mapInArrow(deal, fields)
 
 
-def leaders(classes: DataFrame, parts: int) -> DataFrame:
+def leaders(rows: DataFrame, parts: int) -> DataFrame:
     """(node, leader, n): classes that share n probing n-grams with the leader of their lists.
 
     Lists are streamed; what is kept is the leader of each n-gram of a part, however long its list.
@@ -223,22 +253,24 @@ def leaders(classes: DataFrame, parts: int) -> DataFrame:
         if (last := flush()) is not None:
             yield last
 
-    dealt = _postings(classes, parts, []).repartition(parts, "part").sortWithinPartitions("part", "first")
+    dealt = _postings(rows, parts, []).repartition(parts, "part").sortWithinPartitions("part", "first")
     return dealt.mapInArrow(stream, "node long, leader long, n long").groupBy("node", "leader").agg(F.sum("n").alias("n"))
 
 
-def crossing(classes: DataFrame, parts: int, percent: int) -> DataFrame:
+def crossing(rows: DataFrame, parts: int, percent: int) -> DataFrame:
     """(a, b): all pairs of classes in different components that share a probing n-gram and may be similar, each once.
 
     Lists arrive sorted by size; for each member only those that are not too large behind it are looked at.
     """
 
+    kinds = {"key": np.uint64, "node": np.int64, "comp": np.int64, "size": np.int32, "pos": np.int32, "sig": np.dtype("V32")}
+
     def pairs_of(batches):
         for t in batches:
-            cols = {c: np.concatenate([np.frombuffer(x, np.uint64 if c == "key" else np.int32 if c in ("size", "pos") else np.int64) for x in t[c].to_pylist()]) for c in ("key", "node", "comp", "size", "pos")}
+            cols = {c: np.concatenate([np.frombuffer(x, kinds[c]) for x in t[c].to_pylist()]) for c in kinds}
             order = np.lexsort((cols["node"], cols["size"], cols["key"]))
             key, node, comp, size, pos = (cols[c][order] for c in ("key", "node", "comp", "size", "pos"))
-            size, pos = size.astype(np.int64), pos.astype(np.int64)
+            size, pos, sig = size.astype(np.int64), pos.astype(np.int64), cols["sig"][order].view(np.uint64).reshape(-1, 4)
             end = np.searchsorted(key, key, "right")
             live = np.arange(len(key))
             step, found = 1, []
@@ -251,7 +283,9 @@ def crossing(classes: DataFrame, parts: int, percent: int) -> DataFrame:
                 live, j = live[near], j[near]  # sorted by size: those behind are larger still
                 ok = comp[live] != comp[j]
                 i, k = live[ok], j[ok]
-                ok = 1 + np.minimum(size[i] - pos[i] - 1, size[k] - pos[k] - 1) >= needed(size[i], size[k], percent)
+                need = needed(size[i], size[k], percent)
+                ok = 1 + np.minimum(size[i] - pos[i] - 1, size[k] - pos[k] - 1) >= need
+                ok &= np.bitwise_count(sig[i] ^ sig[k]).sum(axis=1) <= size[i] + size[k] - 2 * need
                 if ok.any():
                     found.append(np.stack([node[i[ok]], node[k[ok]]]))
                 if sum(x.shape[1] for x in found) > 500_000:
@@ -278,7 +312,7 @@ def crossing(classes: DataFrame, parts: int, percent: int) -> DataFrame:
         if held:
             yield from pairs_of([pa.concat_tables(held)])
 
-    dealt = _postings(classes, parts, ["comp", "size"]).repartition(parts, "part").sortWithinPartitions("part", "first")
+    dealt = _postings(rows, parts, ["comp", "size", "sig"]).repartition(parts, "part").sortWithinPartitions("part", "first")
     return dealt.mapInArrow(by_part, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -348,50 +382,69 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _screened(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave room for a link."""
+
+    def test(batches):
+        for batch in batches:
+            cols = batch.to_pydict()
+            ok = [100 * min(m, n) >= percent * max(m, n) and may_be_similar(x, m, y, n, percent) for x, m, y, n in zip(cols["x"], cols["m"], cols["y"], cols["n"], strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda k, bits_name, size_name: bits.select(F.col("node").alias(k), F.col("bits").alias(bits_name), F.col("size").alias(size_name))
+    return pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b").select("a", "b", "x", "m", "y", "n").mapInArrow(test, "a long, b long")
+
+
 def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id that links reach), class_size."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(shared_ngrams(docs, n))
     rows = keep(documents_as_sets(docs, shared, n, percent), "ngram-sets")
     linkable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = linkable.groupBy("node", "node2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n_shingles").alias("size"), F.first("probe").alias("probe"))
+    classes = keep(linkable.groupBy("node", "node2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n_shingles").alias("size")), "ngram-classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(64, int(total * (100 - percent) / 100 / 500_000))
-    met = keep(leaders(classes, parts), "ngram-leaders")
-    touched = met.select("node").union(met.select(F.col("leader").alias("node"))).distinct()
-    small_classes = keep(classes.join(touched, "node"), "ngram-classes")  # with their probing ends: only classes that met another one
-    # the sets of those classes, from the texts again: cheaper than keeping all sets
-    wanted = small_classes.select(F.col("rep").alias("doc_id"), F.col("node").alias("want"))
-    if wanted.count() <= 2_000_000:
-        wanted = F.broadcast(wanted)  # at most 32 MB; beyond that Spark shuffles
+    met = keep(leaders(linkable, parts).select(F.col("leader").alias("a"), F.col("node").alias("b")), "ngram-met")
+    touched = keep(met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct(), "ngram-touched")
+    bits = linkable.select("node", F.col("n_shingles").alias("size"), "bits").join(_few(touched), "node").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    bits = keep(bits, "ngram-bits")
 
     def sets_of(batches):
         shingler, order = Shingler(n), shared.value
         for batch in batches:
-            texts = utf8(batch.column("text"))
             nodes, keys = [], []
-            for want, t in zip(batch.column("want").to_pylist(), texts, strict=True):
+            for want, t in zip(batch.column("want").to_pylist(), utf8(batch.column("text")), strict=True):
                 k = keys_of(shingler.of(t), order)
                 if (xxhash.xxh3_128_intdigest(k.tobytes()) & ((1 << 64) - 1)) - (1 << 63) == want:
                     nodes.append(want)
                     keys.append(k.tobytes())
             yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "keys": pa.array(keys, pa.binary())})
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("want", "text")
-    sets = keep(chosen.mapInArrow(sets_of, "node long, keys binary").dropDuplicates(["node"]), "ngram-keys")
-    best = met.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-    links = keep(verify(best.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, percent), "ngram-links")
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among candidate pairs.  Sets are made from the texts again, for the few classes that need it."""
+        pairs = keep(_screened(pairs, bits, percent), f"{name}-candidates")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = keep(classes.join(nodes, "node").select(F.col("rep").alias("doc_id"), F.col("node").alias("want")), f"{name}-wanted")
+        chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(wanted), "doc_id").select("want", "text")
+        sets = keep(chosen.mapInArrow(sets_of, "node long, keys binary"), f"{name}-keys").dropDuplicates(["node"])
+        return keep(verify(pairs, sets, percent).select("a", "b"), f"{name}-links")
+
+    links = links_of(met, "ngram-first")
     comps = components(links)
-    labelled = keep(small_classes.join(comps, "node", "left").select("node", "probe", F.col("size").cast("int").alias("size"), F.coalesce("comp", "node").alias("comp")), "ngram-labelled")
-    more = verify(keep(crossing(labelled, parts, percent), "ngram-crossing"), sets, percent)
-    links = keep(links.union(more), "ngram-all-links")
-    comps = keep(components(links), "ngram-components")
+    label = bits.join(comps, "node", "left").select("node", F.col("size").cast("int").alias("size"), F.coalesce("comp", "node").alias("comp"))
+    labelled = linkable.select("node", "probe", "sig").join(_few(keep(label, "ngram-labels")), "node")
+    more = links_of(keep(crossing(labelled, parts, percent), "ngram-crossing"), "ngram-second")
+    comps = keep(components(links.union(more)), "ngram-components")
     # only classes with several members or links need more than their own id
-    named = classes.drop("probe").join(comps, "node", "left").where("members > 1 or comp is not null")
-    named = keep(named.select("node", "node2", "rep", "members", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("linked")), "ngram-named")
-    low = named.where("linked").groupBy("comp").agg(F.min("rep").alias("low")).select(F.col("comp").alias("c"), "low")
+    named = classes.join(comps, "node", "left").where("members > 1 or comp is not null").select("node", "node2", "rep", "members", "comp")
+    low = named.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("low")).select(F.col("comp").alias("c"), "low")
     ids = keep(named.join(low, F.col("comp") == F.col("c"), "left").select(F.col("node").alias("k"), F.col("node2").alias("k2"), F.coalesce("low", "rep").alias("component"), "members"), "ngram-ids")
-    out = rows.drop("probe").join(ids, (F.col("node") == F.col("k")) & (F.col("node2") == F.col("k2")), "left")
+    out = rows.select("doc_id", "n_shingles", "node", "node2").join(ids, (F.col("node") == F.col("k")) & (F.col("node2") == F.col("k2")), "left")
     own = F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(own, F.coalesce("component", "doc_id")).alias("component_id"), F.when(own, F.coalesce("members", F.lit(1))).alias("class_size"))
 
@@ -401,7 +454,12 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
 
     Equal rows of that id are one document: one of them stays.  Rows without an id stay.
     """
-    found = join_ngrams(docs, n, percent)
-    gone = keep(found.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct(), "ngram-gone")
-    left = docs.join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    found = keep(join_ngrams(docs, n, percent), "ngram-found").where("doc_id is not null")
+    gone = keep(found.where("component_id <> doc_id").select("doc_id").distinct(), "ngram-gone")
+    left = docs.join(_few(gone.select(F.col("doc_id").alias("__id"))), F.col("doc_id") == F.col("__id"), "left_anti")
+    twice = keep(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "ngram-twice")
+    if twice.isEmpty():
+        return left
+    # only rows whose id is there more than once are compared with each other
+    twice, same = _few(twice), F.col("doc_id") == F.col("__id")
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
