@@ -12,6 +12,7 @@ nothing; output names replace input columns of the same name.
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +50,9 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """Append slot, shard (number) and shard_name to each row."""
-    owner = lookup_table(shards, slots)
-    found = df.sparkSession.createDataFrame([(k, s, shards[s]) for k, s in enumerate(owner)], "slot long, shard int, shard_name string")
+    table = F.lit(json.dumps([{"shard": s, "shard_name": shards[s]} for s in lookup_table(shards, slots)]))
+    entries = F.from_json(table, "array<struct<shard:int,shard_name:string>>")
+    found = df.sparkSession.range(1).select(F.posexplode(entries).alias("slot", "e")).select(F.col("slot").cast("long").alias("slot"), "e.*")
     rows = df.drop(*[c for c in ("slot", "shard", "shard_name") if c != key]).withColumn("slot", slot(F.col(key), slots))
     return rows.join(F.broadcast(found), "slot")  # `slots` rows, whatever the data
 
