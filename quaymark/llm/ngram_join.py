@@ -19,8 +19,9 @@ Candidates of one class are then checked together: their sets, in the global ord
 beginnings are counted once, and subtrees whose remaining length cannot reach the overlap needed are cut.
 
 Hashes of n-grams have 63 bits.  What is broadcast is bounded: the shared n-grams (at most `MOST_SHARED`)
-and ids behind a check of their number.  No list is collected: a list costs as many rows as it has members
-in round 1, whatever its length, and groups of candidates are dealt out in lots of `LOT`.
+and ids behind a check of their number.  In round 1 lists are streamed, and a list costs as many rows as it has
+members; round 2 holds the postings of one part of the hash space, of classes that met another one, at a
+time.  Groups of candidates are dealt out in lots of `LOT`.
 
 Defined cases: a null or empty text has no n-grams and links with nothing; fewer than n words are one n-gram;
 a null doc_id links with nothing and has a null component; equal rows are linked; rows of one doc_id with
@@ -183,9 +184,7 @@ def _postings(rows: DataFrame, parts: int, columns: list[str]) -> DataFrame:
     """Postings by part of the hash space, many to a row: keys, and for each key the class and `columns`, as packed numbers."""
 
     def deal(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(lo, 2048) for b in batches for lo in range(0, b.num_rows, 2048)):  # postings are many times larger than rows
             batch = batch.take(pa.array(np.unique(batch.column("node").to_numpy(), return_index=True)[1]))  # equal sets count once
             probes = [np.frombuffer(p, np.uint64) for p in batch.column("probe").to_pylist()]
             sizes = np.array([len(p) for p in probes])
@@ -260,7 +259,7 @@ def leaders(rows: DataFrame, parts: int) -> DataFrame:
 def crossing(rows: DataFrame, parts: int, percent: int) -> DataFrame:
     """(a, b): all pairs of classes in different components that share a probing n-gram and may be similar, each once.
 
-    Lists arrive sorted by size; for each member only those that are not too large behind it are looked at.
+    Each member outside the largest component of its list looks at the members whose size is near its own.
     """
 
     kinds = {"key": np.uint64, "node": np.int64, "comp": np.int64, "size": np.int32, "pos": np.int32, "sig": np.dtype("V32")}
@@ -271,30 +270,35 @@ def crossing(rows: DataFrame, parts: int, percent: int) -> DataFrame:
             order = np.lexsort((cols["node"], cols["size"], cols["key"]))
             key, node, comp, size, pos = (cols[c][order] for c in ("key", "node", "comp", "size", "pos"))
             size, pos, sig = size.astype(np.int64), pos.astype(np.int64), cols["sig"][order].view(np.uint64).reshape(-1, 4)
-            end = np.searchsorted(key, key, "right")
-            live = np.arange(len(key))
-            step, found = 1, []
-            while True:
-                live = live[live + step < end[live]]
-                if not len(live):
-                    break
-                j = live + step
-                near = size[j] * percent <= size[live] * 100
-                live, j = live[near], j[near]  # sorted by size: those behind are larger still
-                ok = comp[live] != comp[j]
-                i, k = live[ok], j[ok]
+            of = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])).astype(np.int64)  # the list of each row
+            # the largest component of each list: pairs within it are most pairs of a long list, and not one is needed
+            by_comp = np.lexsort((comp, of))
+            begin = np.flatnonzero(np.concatenate([[True], (of[by_comp][1:] != of[by_comp][:-1]) | (comp[by_comp][1:] != comp[by_comp][:-1])]))
+            many, run_of, run_comp = np.diff(np.append(begin, len(key))), of[by_comp][begin], comp[by_comp][begin]
+            ranked = np.lexsort((many, run_of))
+            largest = run_comp[ranked[np.flatnonzero(np.append(run_of[ranked][1:] != run_of[ranked][:-1], True))]]
+            probers = np.flatnonzero(comp != largest[of])
+            at = (of << 32) + size  # ascending, since rows are sorted by list and size
+            lo = np.searchsorted(at, (of[probers] << 32) + -(-size[probers] * percent // 100), "left")
+            width = np.searchsorted(at, (of[probers] << 32) + size[probers] * 100 // percent, "right") - lo
+            found, held, ends = [], 0, np.cumsum(width)
+            for some in np.split(np.arange(len(probers)), np.searchsorted(ends, np.arange(250_000, int(ends[-1]) if len(ends) else 0, 250_000))):
+                n = width[some]
+                i = np.repeat(probers[some], n)
+                k = np.repeat(lo[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                ok = comp[i] != comp[k]
+                i, k = i[ok], k[ok]
                 need = needed(size[i], size[k], percent)
                 ok = 1 + np.minimum(size[i] - pos[i] - 1, size[k] - pos[k] - 1) >= need
                 ok &= np.bitwise_count(sig[i] ^ sig[k]).sum(axis=1) <= size[i] + size[k] - 2 * need
-                if ok.any():
-                    found.append(np.stack([node[i[ok]], node[k[ok]]]))
-                if sum(x.shape[1] for x in found) > 500_000:
-                    found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-                    if found[0].shape[1] > 250_000:
-                        yield pa.RecordBatch.from_pydict({"a": found[0][0], "b": found[0][1]})
-                        found = []
-                step += 1
-            if found:
+                a, b = node[i[ok]], node[k[ok]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                held += found[-1].shape[1]
+                if held > 250_000:
+                    u = np.unique(np.concatenate(found, axis=1), axis=1)
+                    yield pa.RecordBatch.from_pydict({"a": u[0], "b": u[1]})
+                    found, held = [], 0
+            if held:
                 u = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_pydict({"a": u[0], "b": u[1]})
 
