@@ -1,16 +1,19 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-Symbols are words (ASCII lower case) and one end for each document.  Contexts are the last one or two
-words; a context is a candidate if its empirical probability is at least `P_CONTEXT`, and it is retained if
-the distribution behind it diverges from that of its longest retained suffix by more than the entries it
-needs would cost (a minimum description length test).  The next-symbol distribution of a retained context
-keeps the symbols whose pair with the context has probability of at least `P_ENTRY`, discounted, and gives
-what is left to its suffix; the root is the smoothed distribution of single words.  A token is scored from
-the longest retained context that it follows.
-
-Counts cover all training documents.  The thresholds are probabilities, so that the tree has at most
-2 / P_ENTRY entries and the words broadcast are at most 1 / P_WORD, however large the corpus is; the counts of
-all other words stay in a table that is joined to the documents.  Words are joined by 63-bit hashes.
+Symbols are words (ASCII lower case) and one end for each document.  Contexts are runs of words; a context is a
+candidate if it comes at least `MIN_CONTEXT` times, and it is retained if the distribution behind it diverges
+from that of its longest retained suffix by more than the entries it needs would cost (a minimum description
+length test).  The next-symbol distribution of a retained context keeps the symbols seen behind it at least
+`MIN_ENTRY` times, discounted, and gives what is left to its suffix; the root is the smoothed distribution of
+single words.  A token is scored from the longest retained context that it follows.
+
+The tree grows by levels, one word to the left each; the counts, the test and the tree are tables.
+A context is not grown further if no longer context can pass the test: with q the distribution it is
+scored by, a longer one gains at most what its own symbols cost under q, and needs log(tokens) at least.  Which
+strings a level counts is looked up in bitmaps; a false hit there costs a row and changes no result.
+
+Broadcast are at most 1 / P_WORD words and the `HEAD` most frequent contexts and entries; they are caches.  What
+is not in them is joined.  Words, contexts and entries are named by 63-bit hashes.
 
 Defined cases: a null or empty text is one end; a null doc_id is never held out; texts of any length are
 read whole; repeated rows are documents of their own; without training documents every token has
@@ -19,7 +22,9 @@ probability 1 at the root, as the formula says; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,10 @@ from pyspark.sql import functions as F
 
 from quaymark.llm.common import held_out, keep, utf8
 
-P_WORD, P_CONTEXT, P_ENTRY, DISCOUNT = 1e-6, 1e-4, 2e-6, 0.5
-_SHIFT = 20  # entries name a symbol by so many bits; 1 / P_ENTRY is fewer
+P_WORD, MIN_CONTEXT, MIN_ENTRY, DISCOUNT = 1e-6, 8, 2, 0.5
+#: Contexts and entries that are broadcast at most; bits of a bitmap at most.
+HEAD, BITS = 2_000_000, 1 << 27
+LEVELS = 2
 
 
 def word_hash(word: bytes) -> int:
@@ -55,6 +62,10 @@ class _Numbers(dict):
         v = self[word] = self.numbers.get(h, -1 - h)
         return v
 
+    def hashes(self, text: bytes) -> list[int]:
+        """Hashes of the words and the end; for use without numbers."""
+        return [-1 - v for v in map(self.__getitem__, text.lower().split())] + [END]
+
     def of(self, text: bytes) -> np.ndarray:
         """Numbers of the words and the end."""
         words = text.lower().split()
@@ -89,137 +100,206 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _sum_keys(train: DataFrame, numbers, to_keys) -> DataFrame:
-    """(key, c): how often each key comes in the training documents; `to_keys` turns numbers, -1 between documents, into keys."""
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in the sorted array and whether they are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """63-bit hashes of pairs."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ x >> np.uint64(32)) >> np.uint64(1)).astype(np.int64)
+
+
+def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
+    """Bitmap of the column key, of 16 bits for each of `n` keys or BITS; it has no false misses."""
+    size = min(BITS, max(1 << 15, 1 << (16 * n).bit_length()))
+    at = F.pmod("key", F.lit(size))
+    out = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for r in keys.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("at") % (1 << 15)).alias("bits")).toLocalIterator():
+        out[r["b"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def _hit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _walk(h: np.ndarray, filters: list):
+    """(context, entry, entry of the suffix, place) of the strings that each level counts; -1 in `h` lies between documents.
+
+    `filters` has for each level the bitmaps (strings that are frequent enough for contexts, contexts to grow).
+    """
+    ctx, counted = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    j = np.flatnonzero((h[:-1] >= 0) & (h[1:] >= 0)) if len(h) > 1 else np.zeros(0, np.int64)
+    for k, (frequent, grow) in enumerate(filters):
+        if k == 0:
+            j, old = j[_hit(frequent, h[j])], None
+            new = _mix(h[j], h[j])
+        else:
+            j = j[_hit(grow, ctx[j])]
+            j = j[j >= k]
+            j = j[h[j - k] >= 0]
+            # the last word behind the rest is a string of the level before; if that was counted, its count is known
+            known = counted[j - 1]
+            j = j[~known | _hit(frequent, _mix(ctx[j - 1], h[j]))]
+            old = ctx[j]
+            new = _mix(old, h[j - k])
+        s = h[j + 1]
+        yield new, _mix(new, s), s if old is None else _mix(old, s), j + 1
+        if not len(j):
+            return
+        counted[:] = False
+        counted[j], ctx[j] = True, new
+
+
+def _count(train: DataFrame, shared, level: int) -> DataFrame:
+    """(ctx, key, sfx, c) of the strings of a level; those seen less than MIN_ENTRY times are one row of a context, with key null."""
 
     def count(batches):
-        lookup, held, size = _Numbers(numbers.value), [], 0
+        lookup, held, size, filters = _Numbers({}), [], 0, shared.value
 
         def rows():
-            k, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": k, "c": c})
+            k, at, n = np.unique(np.concatenate([x[1] for x in held]), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_pydict({"ctx": np.concatenate([x[0] for x in held])[at], "key": k, "sfx": np.concatenate([x[2] for x in held])[at], "c": n})
 
-        gap = np.array([-1], np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                parts = [gap]
+                parts = [-1]
                 for t in utf8(batch.column(0).slice(lo, 512)):
-                    parts += [lookup.of(t), gap]
-                held.append(to_keys(np.concatenate(parts)))
-                size += len(held[-1])
-                if size > 4_000_000:
+                    parts += lookup.hashes(t)
+                    parts.append(-1)
+                for k, found in enumerate(_walk(np.array(parts, np.int64), filters)):
+                    if k == level:
+                        held.append(found)
+                        size += len(found[0])
+                if size > 3_000_000:
                     yield rows()
                     held, size = [], 0
-        if held:
+        if size:
             yield rows()
 
-    return train.select("text").mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys in the sorted array and whether they are there."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
-def _level(keys: np.ndarray, counts: np.ndarray, total: np.ndarray, parent, n_all: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Divergence test of contexts 0 .. len(total)-1 with entries (context << SHIFT | symbol): retained, discounted probabilities, rest."""
-    of, symbol = keys >> _SHIFT, keys & ((1 << _SHIFT) - 1)
-    p = counts / total[of]
-    q = parent(of, symbol)
-    n = np.bincount(of, minlength=len(total))
-    rest = np.clip(1 - np.bincount(of, p, len(total)), 1e-12, 1)
-    rest_q = np.clip(1 - np.bincount(of, q, len(total)), 1e-12, 1)
-    divergence = np.bincount(of, p * np.log(p / q), len(total)) + rest * np.log(rest / rest_q)
-    keep_it = (n > 0) & (total * divergence > (n + 1) * 0.5 * np.log(max(n_all, 2)))
-    discounted = (counts - DISCOUNT) / total[of]
-    return keep_it, discounted, 1 - np.bincount(of, discounted, len(total))
-
-
-def train_tree(train: DataFrame) -> tuple[dict, DataFrame]:
-    """The tree, small enough to broadcast, and the table of all symbol counts."""
+    c = train.select("text").mapInArrow(count, "ctx long, key long, sfx long, c long").groupBy("ctx", "key", "sfx").agg(F.sum("c").alias("c"))
+    often = F.col("c") >= MIN_ENTRY
+    return c.groupBy("ctx", F.when(often, F.col("key")).alias("key"), F.when(often, F.col("sfx")).alias("sfx")).agg(F.sum("c").alias("c"))
+
+
+def _test(counted: DataFrame, below: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Divergence test: contexts (ctx, t, keep, rest, grow) and entries (key, ctx, c, q); `below` has the probabilities (key, p) of the level before."""
+    rows = counted.join(below.select(F.col("key").alias("sfx"), F.col("p").alias("q")), "sfx", "left")
+    is_entry, c, q, cost = F.col("key").isNotNull(), F.col("c"), F.col("q"), math.log(max(total, 2))
+    of = rows.groupBy("ctx").agg(
+        F.sum("c").alias("t"), F.count("key").alias("n"), F.count("q").alias("nq"), F.coalesce(F.sum(F.when(is_entry, c)), F.lit(0)).alias("e"), F.sum("q").alias("sq"),
+        F.sum(F.when(is_entry, c * F.log(c / q))).alias("gain"), F.sum(F.when(is_entry, -c * F.log(q))).alias("cost_q"), F.sum(F.when(is_entry, -c * F.log(c - DISCOUNT))).alias("cost_p"),
+    ).where((F.col("t") >= MIN_CONTEXT) & (F.col("n") > 0) & (F.col("n") == F.col("nq")))
+    t, n, left = F.col("t"), F.col("n"), F.col("t") - F.col("e")
+    small = lambda x: F.greatest(x, F.lit(1e-12))
+    of = of.withColumn("rest_q", small(1 - F.col("sq"))).withColumn("rest", (left + DISCOUNT * n) / t)
+    of = of.withColumn("keep", F.col("gain") - F.col("e") * F.log(t) + t * small(left / t) * F.log(small(left / t) / F.col("rest_q")) > (n + 1) * 0.5 * cost)
+    most = F.when(F.col("keep"), F.col("cost_p") + F.col("e") * F.log(t) - left * F.log(F.col("rest") * F.col("rest_q"))).otherwise(F.col("cost_q") - left * F.log("rest_q"))
+    sure = F.col("keep") & (n == 1) & (left == 0)  # its one symbol costs less than DISCOUNT / (1 - DISCOUNT) in all
+    of = of.select("ctx", "t", "keep", "rest", (~sure & (most > cost)).alias("grow"))
+    return of, rows.where(is_entry).select("key", "ctx", "c", "q")
+
+
+def train_tree(train: DataFrame, head: int = HEAD) -> tuple[dict, DataFrame]:
+    """The tree, of which `head` contexts and entries are in arrays and the rest in tables, and the table of all symbol counts."""
     spark = train.sparkSession
     words = keep(word_counts(train), "lm-words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    total, distinct, many = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") >= MIN_CONTEXT).cast("long")), F.lit(0))).first()
     frequent = words.where(F.col("c") >= total * P_WORD).toArrow()  # at most 1 / P_WORD rows
     h, c = frequent["h"].to_numpy(), frequent["c"].to_numpy()
     order = np.lexsort((h, -c))
     h, c = h[order], c[order]
-    numbers = dict(zip(h.tolist(), range(len(h)), strict=True))
-    shared = spark.sparkContext.broadcast(numbers)
     norm = total + 0.1 * (distinct + 1)
     root = (c + 0.1) / norm
-    n1, ns = int((c >= total * P_CONTEXT).sum()), min(int((c >= total * P_ENTRY).sum()), (1 << _SHIFT) - 1)
-
-    def pairs(x: np.ndarray) -> np.ndarray:
-        a, b = x[:-1], x[1:]
-        ok = (a >= 0) & (a < n1) & (b >= 0) & (b < ns)
-        return a[ok] << _SHIFT | b[ok]
-
-    def entries(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = counted.where(F.col("c") >= max(total * P_ENTRY, 2)).toArrow()  # at most 1 / P_ENTRY rows
-        k, n = got["key"].to_numpy(), got["c"].to_numpy()
+    below = words.select(F.col("h").alias("key"), ((F.col("c") + 0.1) / F.lit(float(norm))).alias("p"))
+    filters, tree = [(_bitmap(words.where(F.col("c") >= MIN_CONTEXT).select(F.col("h").alias("key")), many), None)] if many else [], []
+    while filters and len(tree) < len(filters) and len(tree) < LEVELS:
+        shared = spark.sparkContext.broadcast(filters)
+        counted = keep(_count(train, shared, len(tree)), f"lm-count{len(tree)}")
+        contexts, entries = _test(counted, below, total)
+        contexts = keep(contexts, f"lm-contexts{len(tree)}")
+        p = F.when(F.col("keep"), (F.col("c") - DISCOUNT) / F.col("t") + F.col("rest") * F.col("q")).otherwise(F.col("q"))
+        entries = keep(entries.join(contexts, "ctx").select("key", "c", "keep", p.alias("p")), f"lm-entries{len(tree)}")
+        tree.append((contexts.where("keep").select("ctx", "t", F.log10("rest").alias("v")), entries.where("keep").select("key", "c", F.log10("p").alias("v"))))
+        often, grow = counted.where((F.col("c") >= MIN_CONTEXT) & F.col("key").isNotNull()).select("key"), contexts.where("grow").select(F.col("ctx").alias("key"))
+        if n := grow.count():
+            filters.append((_bitmap(often, often.count()), _bitmap(grow, n)))
+        shared.unpersist()
+        below = entries
+    model = {"total": total, "distinct": distinct, "norm": norm, "numbers": dict(zip(h.tolist(), range(len(h)), strict=True)), "h": h, "log_root": np.log10(root), "root": root, "filters": filters, "least": total * P_WORD, "tails": []}
+    for name, value, rank, which in (("c1", "rest1", "t", 0), ("k1", "e1", "c", 1)):
+        parts = [level[which].toDF("key", rank, "v") for level in tree]
+        every = reduce(DataFrame.unionByName, parts) if parts else None
+        n = every.count() if parts else 0
+        tail = None
+        if n > head:
+            top = keep(every.orderBy(F.desc(rank), "key").limit(head), "lm-head")
+            tail = keep(every.join(top.select("key"), "key", "left_anti").select("key", "v"), "lm-tail")
+            every = top
+        got = every.select("key", "v").toArrow() if n else pa.table({"key": pa.array([], pa.int64()), "v": pa.array([], pa.float64())})
+        k, v = got["key"].to_numpy(), got["v"].to_numpy()
         o = np.argsort(k)
-        return k[o], n[o]
-
-    k1, m1 = entries(_sum_keys(train, shared, pairs))
-    keep1, e1, rest1 = _level(k1, m1, c[:n1].astype(np.float64), lambda _, s: root[s], total)
-    # candidates of two words: pairs of context words that are frequent enough, behind a known pair count
-    two = (m1 >= total * P_CONTEXT) & ((k1 & ((1 << _SHIFT) - 1)) < n1) & (h[k1 & ((1 << _SHIFT) - 1)] != END)
-    cand, cand_n = k1[two], m1[two].astype(np.float64)
-
-    def triples(x: np.ndarray) -> np.ndarray:
-        a, b, s = x[:-2], x[1:-1], x[2:]
-        ok = (a >= 0) & (a < n1) & (b >= 0) & (b < n1) & (s >= 0) & (s < ns)
-        at, there = _find(cand, a[ok] << _SHIFT | b[ok])
-        return at[there] << _SHIFT | s[ok][there]
-
-    k2, m2 = entries(_sum_keys(train, shared, triples)) if len(cand) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def below(of: np.ndarray, s: np.ndarray) -> np.ndarray:
-        b = cand[of] & ((1 << _SHIFT) - 1)
-        at, there = _find(k1, b << _SHIFT | s)
-        return np.where(keep1[b], np.where(there, e1[at], 0.0) + rest1[b] * root[s], root[s])
-
-    keep2, e2, rest2 = _level(k2, m2, cand_n, below, total) if len(cand) else (np.zeros(0, bool), np.zeros(0), np.zeros(0))
-    keep1[cand[keep2] & ((1 << _SHIFT) - 1)] = True  # a suffix tree has all suffixes of its contexts
-    renumber = np.cumsum(keep2) - 1
-    in1, in2 = keep1[k1 >> _SHIFT] if len(k1) else np.zeros(0, bool), keep2[k2 >> _SHIFT] if len(k2) else np.zeros(0, bool)
-    model = {"total": total, "distinct": distinct, "norm": norm, "numbers": numbers, "log_root": np.log10(root), "root": root, "n1": n1, "rest1": np.where(keep1, rest1, 1.0), "k1": k1[in1], "e1": e1[in1],
-             "c2": cand[keep2], "rest2": rest2[keep2], "k2": renumber[k2[in2] >> _SHIFT] << _SHIFT | k2[in2] & ((1 << _SHIFT) - 1), "e2": e2[in2], "least": total * P_WORD}
+        model |= {name: k[o], value: 10 ** v[o] if which == 0 else v[o], f"{name}_tail": None if tail is None else _bitmap(tail.select("key"), n - head)}
+        model["tails"].append(tail)
     return model, words
 
 
-def score_tokens(x: np.ndarray, m: dict) -> tuple[float, float, int]:
-    """(base, score, known) of the numbered tokens of one document, without the root probabilities of those that have no number."""
+def _look(keys: np.ndarray, m: dict, name: str, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, whether they are known, and whether they may be in the tail."""
+    at, there = _find(m[name], keys)
+    v = np.where(there, values[at], 0.0) if len(values) else np.zeros(len(keys))
+    tail = m[f"{name}_tail"]
+    return v, there, ~there & _hit(tail, keys) if tail is not None else np.zeros(len(keys), bool)
+
+
+def _score(x: np.ndarray, m: dict) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, list]:
+    """(base, log probabilities, whether the root is in them or not called for, whether the tail is asked, what it is asked) of the tokens.
+
+    `x` has -1 - hash for the words without a number.
+    """
     known = x >= 0
-    s = np.where(known, x, 0)
-    p = np.where(known, m["root"][s], 1.0) if len(m["root"]) else np.ones(len(x))
-    base = float(m["log_root"][x[known]].sum())
-    n1 = m["n1"]
-    if n1 and len(x) > 1:
-        a = x[:-1]
-        one = np.flatnonzero((a >= 0) & (a < n1)) + 1
-        c = x[one - 1]
-        at, there = _find(m["k1"], c << _SHIFT | s[one])
-        p[one] = np.where(there & known[one], m["e1"][at] if len(m["e1"]) else 0.0, 0.0) + m["rest1"][c] * p[one]
-        if len(m["c2"]) and len(x) > 2:
-            two = one[one > 1]
-            b = x[two - 2]
-            ok = (b >= 0) & (b < n1)
-            two = two[ok]
-            where, ctx = _find(m["c2"], b[ok] << _SHIFT | x[two - 1])
-            two, where = two[ctx], where[ctx]
-            at, there = _find(m["k2"], where << _SHIFT | s[two])
-            p[two] = np.where(there & known[two], m["e2"][at] if len(m["e2"]) else 0.0, 0.0) + m["rest2"][where] * p[two]
-    return base, float(np.log10(p).sum()), int(known.sum())
+    h = np.where(known, m["h"][np.where(known, x, 0)], -1 - x) if len(m["h"]) else -1 - x
+    p = np.where(known, m["log_root"][np.where(known, x, 0)], 0.0) if len(m["h"]) else np.zeros(len(x))
+    base, done, ask = float(p[known].sum()), known.copy(), np.zeros(len(x), bool)
+    first, levels = p.copy(), []
+    for k, (ctx, key, _, at) in enumerate(_walk(h, m["filters"])):
+        rest, kept, far = _look(ctx, m, "c1", m["log_rest"])
+        e, there, far_e = _look(key, m, "k1", m["e1"])
+        p[at] = np.where(there, e, p[at] + rest)
+        done[at] |= there
+        ask[at] |= far | far_e
+        if m["c1_tail"] is not None or m["k1_tail"] is not None:
+            levels.append((at, np.full(len(at), k + 1), ctx, key, np.where(kept, rest, np.nan), np.where(there, e, np.nan)))
+    asked = []
+    if ask.any():
+        at = np.flatnonzero(ask)
+        levels.append((at, np.zeros(len(at), np.int64), np.full(len(at), -1), h[at], np.full(len(at), np.nan), np.where(known[at], first[at], np.nan)))
+        asked = [np.concatenate([v[i][ask[v[0]]] for v in levels]) for i in range(6)]
+    return base, p, done, ask, asked
+
+
+def score_tokens(x: np.ndarray, m: dict) -> tuple[float, float, int]:
+    """(base, score, known) of the numbered tokens of one document by the head of the tree, without the root probabilities of those that have no number."""
+    base, p, _, _, _ = _score(x, m if "log_rest" in m else m | {"log_rest": np.log10(m["rest1"])})
+    return base, float(p.sum()), int((x >= 0).sum())
+
+
+_ASKED = ("pos", "k", "ctx", "key", "rest", "p")
 
 
 def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    contexts, entries = model["tails"]
+    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "tails"} | {"log_rest": np.log10(model["rest1"])})
+    asks = contexts is not None or entries is not None
 
     def local(batches):
         m = shared.value
@@ -229,26 +309,48 @@ def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10) -> D
                 out = []
                 for t in utf8(batch.column(1).slice(lo, 512)):
                     x = lookup.of(t)
-                    base, full, known = score_tokens(x, m)
-                    rare, times = np.unique(-1 - x[x < 0], return_counts=True)
-                    out.append((row, len(x), known, base, full, rare, times))
+                    base, p, done, ask, asked = _score(x, m)
+                    rare, place, times = np.unique(-1 - x[x < 0], return_inverse=True, return_counts=True)
+                    full = np.bincount(place, (~done & ~ask)[x < 0], len(rare)).astype(np.int32)
+                    out.append((row, len(x), int((x >= 0).sum()), base, float(p[~ask].sum()), rare, times.astype(np.int32), full, asked or [np.zeros(0, np.int64)] * 4 + [np.zeros(0)] * 2))
                     row += 1
                 cols = list(zip(*out, strict=True))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in cols[5]])]), pa.int32())
+                lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in parts])]), pa.int32()), pa.array(np.concatenate(parts)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 512), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cols[5]), pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cols[6]).astype(np.int32)))],
-                    ["doc_id", "row", "n_tokens", "known", "base", "full", "rare", "times"],
+                    [batch.column(0).slice(lo, 512), *[pa.array(c, pa.int64()) for c in cols[:3]], *[pa.array(c, pa.float64()) for c in cols[3:5]], *[lists(c) for c in cols[5:8]], *[lists([a[i] for a in cols[8]]) for i in range(6) if asks]],
+                    ["doc_id", "row", "n_tokens", "known", "base", "full", "rare", "times", "to_root", *[f"ask_{a}" for a in _ASKED if asks]],
                 )
 
     # the row numbers hold from here on, since the rows are written
-    rows = keep(docs.select("doc_id", "text").mapInArrow(local, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, known long, base double, full double, rare array<long>, times array<int>"), "lm-local")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("n"))
+    more_cols = "".join(f", ask_{a} array<{'double' if a in ('rest', 'p') else 'long'}>" for a in _ASKED if asks)
+    rows = keep(docs.select("doc_id", "text").mapInArrow(local, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, known long, base double, full double, rare array<long>, times array<int>, to_root array<int>{more_cols}"), "lm-local")
+    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times", "to_root")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("n"), F.col("r.to_root").alias("m"))
     counts = words.where(F.col("c") < model["least"]).hint("shuffle_hash")
     c = F.coalesce("c", F.lit(0))
-    found = rare.join(counts, "h", "left").groupBy("row").agg(F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(float(model["norm"])))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    out = rows.drop("rare", "times").join(found, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", held_out(F.col("doc_id"), out_of).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(model["total"])).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("full") + more).alias("score"))
+    p = F.log10((c + 0.1) / F.lit(float(model["norm"])))
+    found = rare.join(counts, "h", "left").groupBy("row").agg(F.sum(F.col("n") * p).alias("more"), F.sum(F.col("m") * p).alias("more_full"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
+    out = rows.drop("rare", "times", "to_root", *[f"ask_{a}" for a in _ASKED]).join(found, "row", "left")
+    far = F.lit(0.0)
+    if asks:
+        out = out.join(_asked(rows, contexts, entries, words, model), "row", "left")
+        far = F.coalesce("far", F.lit(0.0))
+    more = lambda name: F.coalesce(name, F.lit(0.0))
+    return out.select("doc_id", held_out(F.col("doc_id"), out_of).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(model["total"])).cast("long").alias("train_tokens"), (F.col("base") + more("more")).alias("base_score"), (F.col("full") + more("more_full") + far).alias("score"))
+
+
+def _asked(rows: DataFrame, contexts: DataFrame | None, entries: DataFrame | None, words: DataFrame, model: dict) -> DataFrame:
+    """(row, far): the scores of the tokens that may have a context or an entry in the tables."""
+    asked = rows.select("row", F.explode(F.arrays_zip(*[f"ask_{a}" for a in _ASKED])).alias("r")).select("row", *[F.col(f"r.ask_{a}").alias(a) for a in _ASKED])
+    asked = asked.withColumns({a: F.nanvl(a, F.lit(None).cast("double")) for a in ("rest", "p")})
+    norm = F.lit(float(model["norm"]))
+    far = words.where(F.col("c") < model["least"]).select(F.col("h").alias("key"), F.log10((F.col("c") + 0.1) / norm).alias("v"))
+    far = far if entries is None else far.unionByName(entries)
+    asked = asked.join(far.withColumnRenamed("v", "far_p"), "key", "left")
+    asked = asked.join(contexts.select(F.col("key").alias("ctx"), F.col("v").alias("far_rest")), "ctx", "left") if contexts is not None else asked.withColumn("far_rest", F.lit(None).cast("double"))
+    unseen = F.when(F.col("k") == 0, F.log10(F.lit(0.1) / norm))
+    steps = F.sort_array(F.collect_list(F.struct("k", F.coalesce("p", "far_p", unseen).alias("p"), F.coalesce("rest", "far_rest", F.lit(0.0)).alias("rest"))))
+    each = asked.groupBy("row", "pos").agg(F.aggregate(steps, F.lit(0.0), lambda acc, s: F.coalesce(s["p"], acc + s["rest"])).alias("v"))
+    return each.groupBy("row").agg(F.sum("v").alias("far"))
 
 
 def assess(docs: DataFrame, out_of: int = 10) -> DataFrame:
