@@ -7,7 +7,8 @@ length test).  The next-symbol distribution of a retained context keeps the symb
 `MIN_ENTRY` times, discounted, and gives what is left to its suffix; the root is the smoothed distribution of
 single words.  A token is scored from the longest retained context that it follows.
 
-The tree grows by levels, one word to the left each; the counts, the test and the tree are tables.
+The tree grows by levels, one word to the left each, and stops at `LEVELS` words: longer contexts are never
+retained, however strongly they diverge.  The counts, the test and the tree are tables.
 A context is not grown further if no longer context can pass the test: with q the distribution it is
 scored by, a longer one gains at most what its own symbols cost under q, and needs log(tokens) at least.  Which
 strings a level counts is looked up in bitmaps; a false hit there costs a row and changes no result.
@@ -38,6 +39,7 @@ from quaymark.llm.common import held_out, keep, utf8
 P_WORD, MIN_CONTEXT, MIN_ENTRY, DISCOUNT = 1e-6, 8, 2, 0.5
 #: Contexts and entries that are broadcast at most; bits of a bitmap at most.
 HEAD, BITS = 2_000_000, 1 << 27
+#: Words of a context at most.  This cuts the method short; see README.
 LEVELS = 2
 
 
