@@ -80,8 +80,8 @@ def held_out(doc_id: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == 0, F.lit(False))
 
 
-def labelled_sample(labels: DataFrame, label: str, rows: int, keep_out: int = 0) -> DataFrame:
-    """(doc_id, y) of at most `rows` labelled documents, in an order fixed by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep_out: int = 0) -> DataFrame:
+    """(doc_id, y) of at most `rows` labelled documents of `docs`, in an order fixed by a hash of the id.
 
     Null labels are no labels; of several labels for one document the largest holds.  `keep_out`: leave
     out the ids that `held_out` names.  The bound makes the result safe to broadcast.
@@ -89,4 +89,5 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, keep_out: int = 0)
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     if keep_out:
         ids = ids.where(~held_out(F.col("doc_id"), keep_out))
+    ids = ids.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
     return ids.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

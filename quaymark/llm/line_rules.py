@@ -188,7 +188,7 @@ def _line_features(texts: pa.Array) -> pa.Array:
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Fit the field on at most `max_docs` labelled documents, in one task; only the weights come to the driver."""
-    sample = F.broadcast(labelled_sample(labels, "quality", max_docs))
+    sample = F.broadcast(labelled_sample(docs, labels, "quality", max_docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "y", F.arrow_udf(_line_features, "binary")("text").alias("x"))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))  # one row for each id, so that the bound holds
 

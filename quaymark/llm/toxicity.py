@@ -79,7 +79,7 @@ def ftrl(examples: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.3,
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 22, max_docs: int = 16000, shards: int = 2, parts_out: int = 5) -> dict:
     """Fit on at most `max_docs` labelled rows whose id is not held out; the driver gets the non-zero weights."""
-    sample = F.broadcast(labelled_sample(labels, "toxic", max_docs, parts_out))
+    sample = F.broadcast(labelled_sample(docs, labels, "toxic", max_docs, parts_out))
 
     def features(texts: pa.Array) -> pa.Array:
         f = Features(bits)
