@@ -367,10 +367,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return probes.select("a", "lot", "keys").groupBy("a", "lot").cogroup(members.groupBy("a", "lot")).applyInArrow(walk, "a long, b long, overlap long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp): for each linked node the smallest node of its component, by alternating large and small stars."""
     edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    for _ in range(60):
+    for _ in range(rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -383,6 +383,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
