@@ -401,11 +401,16 @@ def _decode_together(items: list, lookup: np.ndarray) -> set:
 
 
 def thumbnail_hash(samples: np.ndarray) -> str:
-    """64 bits: on a grid of 8 rows and 9 columns picked from the thumbnail, is a sample larger than that before it."""
+    """64 bits: on a grid of 8 rows and 9 columns of cells, is the mean of a cell's samples larger than that before it.
+
+    A thumbnail of fewer rows or columns repeats them.
+    """
     if not samples.size:
         return "0" * 16
     h, w = samples.shape
-    g = samples[(np.arange(8) * h // 8)[:, None], (np.arange(9) * w // 9)[None, :]]
+    y, x = np.arange(9) * h // 8, np.arange(10) * w // 9
+    rows, cols = np.maximum(np.diff(y), 1), np.maximum(np.diff(x), 1)
+    g = np.add.reduceat(np.add.reduceat(samples.astype(np.int64), y[:-1], axis=0), x[:-1], axis=1) / (rows[:, None] * cols[None, :])
     return np.packbits(g[:, 1:] > g[:, :-1]).tobytes().hex()
 
 
