@@ -3,8 +3,8 @@
 Documents are cut into pieces of at most `capacity` tokens.  Only the histogram of piece lengths, which has
 at most `capacity` entries, goes to the driver: there a plan says which lengths share a sequence and how
 often.  For each length, longest first, an index of single, pair and triple sums finds lengths that fill the
-gap exactly, as long as there are such pieces; what is left goes to the best fit.  Pieces then get their
-number among the pieces of their length by a two-level running count, and the plan turns that number into
+gap exactly, as long as there are such pieces; what is left goes to the best fit.  Plans with fewer kinds of
+complements are made, too, and the shortest is taken.  Pieces then get their number among the pieces of their length by a two-level running count, and the plan turns that number into
 a sequence and a place.
 
 Defined cases: a null or empty text is one piece that holds the end token; texts of any length are read
@@ -13,6 +13,7 @@ whole; equal rows are separate documents; an empty table gives no sequences; oth
 
 from __future__ import annotations
 
+import bisect
 import gc
 import json
 import re
@@ -32,13 +33,16 @@ class _Words(dict):
 
     The tokenizer drops white space and never joins across it, so that words can be encoded one by one.  It
     lowers letters, too, so that texts without marks of special tokens can be lowered first.  Words of plain
-    lower-case letters are what its normalizer and splitter leave alone: these skip both.  ASCII punctuation
-    behind such a word is split off as a whole.  Other words of visible ASCII without capitals skip the normalizer.
+    lower-case letters are what its normalizer and splitter leave alone: these skip both and are encoded many
+    at a time, since the last token of a word, and no other, carries the word-end suffix.  ASCII punctuation behind
+    such a word is split off as a whole.  Other words of visible ASCII without capitals skip the normalizer.
     """
 
-    #: a to z and the lower-case letters from U+00DF to U+00FF, then perhaps ASCII punctuation.
-    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+    #: Words on lines: a to z and the lower-case letters from U+00DF to U+00FF, then perhaps ASCII punctuation.
+    PLAIN = re.compile(rb"^((?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*)$", re.MULTILINE)
     VISIBLE = re.compile(rb"[!-@\[-~]+")
+    #: Words held at most, about 200 bytes each; words encoded at a time.
+    HELD, LOT = 500_000, 4096
 
     def __init__(self, path: str) -> None:
         import os
@@ -50,8 +54,12 @@ class _Words(dict):
             spec = json.load(f)
         self.full = Tokenizer.from_file(path)
         byte_level = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": byte_level, "added_tokens": []}))
+        lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [lines, byte_level]}, "added_tokens": []}))
         self.unchanged = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+        vocabulary = spec["model"]["vocab"]
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[k for token, k in vocabulary.items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.runs: dict[bytes, bytes] = {}  # punctuation behind words
 
     @staticmethod
@@ -63,28 +71,32 @@ class _Words(dict):
         ends = np.cumsum([4 * len(x) for x in ids]).tolist()
         return [flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
 
+    def _encode_plain(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for lo in range(0, len(words), self.LOT):
+            ids = np.array(self.plain.encode_batch_fast([b"\n".join(words[lo : lo + self.LOT]).decode()], add_special_tokens=False)[0].ids, "<u4")
+            flat, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            out += [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words that are not there yet; they are there from now on."""
-        if len(self) + len(words) > 1_000_000:
+        if len(self) + len(words) > self.HELD:
             self.clear()
-        split, cores, visible, other = [], set(), [], []
-        for w in words:
-            m = self.PLAIN.fullmatch(w)
-            if m:
-                core, run = m.groups()
-                cores.add(core)
-                if run:
-                    split.append((w, core, run))
-            else:
-                (visible if self.VISIBLE.fullmatch(w) else other).append(w)
+        split = self.PLAIN.findall(b"\n".join(words))
+        cores = {core for core, _ in split}
+        out = {core: self[core] for core in cores if core in self}
+        new = list(cores.difference(out))
+        out.update(zip(new, self._encode_plain(new), strict=True))
         if len(self.runs) > 20_000:
             self.runs.clear()
-        runs = list({run for _, _, run in split}.difference(self.runs))
+        runs = list({run for _, run in split}.difference(self.runs))
         self.runs.update(zip(runs, self._encode(self.full, runs), strict=True))
-        made = list(cores)
-        plain = dict(zip(made, self._encode(self.plain, made), strict=True))
-        out = {w: plain[core] + self.runs[run] for w, core, run in split}
-        out.update((w, ids) for w, ids in plain.items() if w in words)
+        run_ids = self.runs
+        out.update({core + run: out[core] + run_ids[run] for core, run in split if run})
+        rest = words.difference(out)
+        visible = [w for w in rest if self.VISIBLE.fullmatch(w)]
+        other = list(rest.difference(visible))
         out.update(zip(visible, self._encode(self.unchanged, visible), strict=True))
         out.update(zip(other, self._encode(self.full, other), strict=True))
         self.update(out)
@@ -138,8 +150,11 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Which lengths share a sequence, and how many sequences are like that; every piece is used once.
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def exact_first(counts: dict[int, int], capacity: int, most: int) -> Plan:
+    """Exact complements of up to `most` lengths, longest pieces first; what is left goes to the longest that fits.
 
     Lengths that have pieces are the bits of one number, so that all pairs with a given sum are one AND.
     """
@@ -148,7 +163,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         c[length] = n
     here = sum(1 << a for a in range(1, capacity + 1) if c[a])
     mirror = sum(1 << (capacity - a) for a in range(1, capacity + 1) if c[a])
-    out: list[tuple[tuple[int, ...], int]] = []
+    out: Plan = []
 
     def times(lengths: tuple[int, ...]) -> int:
         return min(c[a] // lengths.count(a) for a in set(lengths))
@@ -176,15 +191,17 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         gap = capacity - length
         if gap and c[gap] and times((length, gap)):
             return (length, gap)
-        for a in down(pairs(gap)):
-            if times(found := (length, a, gap - a)):
-                return found
-        for a in down(here & ((1 << max(gap - 1, 1)) - 1)):
-            if 3 * a < gap:
-                break
-            for b in down(pairs(gap - a)):
-                if b <= a and times(found := (length, a, b, gap - a - b)):
+        if most > 1:
+            for a in down(pairs(gap)):
+                if times(found := (length, a, gap - a)):
                     return found
+        if most > 2:
+            for a in down(here & ((1 << max(gap - 1, 1)) - 1)):
+                if 3 * a < gap:
+                    break
+                for b in down(pairs(gap - a)):
+                    if b <= a and times(found := (length, a, b, gap - a - b)):
+                        return found
         return None
 
     for length in range(capacity, 0, -1):
@@ -192,7 +209,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
             if c[length]:
                 use((length,), c[length])
             continue
-        while c[length] and (found := exact(length)):
+        while most and c[length] and (found := exact(length)):
             use(found, times(found))
     while here:
         lengths = [here.bit_length() - 1]
@@ -207,6 +224,51 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> Plan:
+    """Best fit, longest pieces first: each goes to the tightest gap it fits.  Sequences with equal contents are one entry."""
+    by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    gaps: list[int] = []  # ascending
+    full: Plan = []
+
+    def add(gap: int, lengths: tuple[int, ...], n: int) -> None:
+        if not gap:
+            full.append((lengths, n))
+            return
+        if gap not in by_gap:
+            bisect.insort(gaps, gap)
+        by_gap.setdefault(gap, []).append((lengths, n))
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left and (k := bisect.bisect_left(gaps, length)) < len(gaps):
+            gap = gaps[k]
+            lengths, n = by_gap[gap].pop()
+            m = min(n, left)
+            if n > m:
+                by_gap[gap].append((lengths, n - m))
+            if not by_gap[gap]:
+                del by_gap[gap], gaps[k]
+            add(gap - length, (*lengths, length), m)
+            left -= m
+        each = capacity // length
+        if left >= each:
+            add(capacity - each * length, (length,) * each, left // each)
+        if left % each:
+            add(capacity - left % each * length, (length,) * (left % each), 1)
+    return full + [x for own in by_gap.values() for x in own]
+
+
+def plan(counts: dict[int, int], capacity: int) -> Plan:
+    """Which lengths share a sequence, and how many sequences are like that; every piece is used once.
+
+    Exact complements may use up short pieces that longer ones need.  So they are looked for among three, two, one
+    and no further lengths, and the shortest plan counts, the one with more exact complements at equal length; it is
+    never longer than that of best fit.
+    """
+    tried = [exact_first(counts, capacity, most) for most in (3, 2, 1, 0)] + [best_fit(counts, capacity)]
+    return min(tried, key=lambda found: sum(n for _, n in found))
+
+
 def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """Append sequence_id and offset to rows that have length, doc_id, piece and ids_crc32."""
     spark = cut.sparkSession

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import os
@@ -10,7 +11,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -161,8 +162,21 @@ def test_permutation(size, key):
 # packing
 
 
-@settings(max_examples=60, deadline=None)
+def decreasing(counts, capacity, tightest):
+    """How many sequences first fit or best fit needs, longest pieces first."""
+    bins = []
+    for a in sorted((a for a, n in counts.items() for _ in range(n)), reverse=True):
+        fits = [k for k, b in enumerate(bins) if b + a <= capacity]
+        if not fits:
+            bins.append(a)
+        else:
+            bins[max(fits, key=lambda k: bins[k]) if tightest else fits[0]] += a
+    return len(bins)
+
+
+@settings(max_examples=150, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 30), min_size=1, max_size=12))
+@example({1: 1, 2: 1, 3: 1, 4: 1, 8: 17, 17: 13})
 def test_plan_uses_every_piece_once(counts):
     used = collections.Counter()
     sequences = 0
@@ -172,11 +186,55 @@ def test_plan_uses_every_piece_once(counts):
         for a in lengths:
             used[a] += n
     assert used == collections.Counter(counts)
-    bins = []  # first-fit decreasing
-    for a in sorted((a for a, n in counts.items() for _ in range(n)), reverse=True):
-        k = next((k for k, b in enumerate(bins) if b + a <= 32), None)
-        bins.append(a) if k is None else bins.__setitem__(k, bins[k] + a)
-    assert sequences <= len(bins) * 1.1 + 1
+    assert sequences <= min(decreasing(counts, 32, False), decreasing(counts, 32, True))
+    assert sum(n for _, n in packing.best_fit(counts, 32)) == decreasing(counts, 32, True)
+
+
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying everything."""
+    best = len(sizes)
+
+    def put(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + sizes[k] <= capacity and bins[j] not in bins[:j]:
+                put(k + 1, [*bins[:j], bins[j] + sizes[k], *bins[j + 1 :]])
+        put(k + 1, [*bins, sizes[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 16), min_size=1, max_size=8))
+def test_plan_of_few_pieces_is_near_the_best(sizes):
+    got = sum(n for _, n in packing.plan(dict(collections.Counter(sizes)), 16))
+    assert got <= fewest(sorted(sizes, reverse=True), 16) * 11 / 9 + 6 / 9
+
+
+ODD = st.text(alphabet=st.one_of(st.sampled_from(list("abcXYZÀÉßŸéñ '\u2019.,!?09<|>\n\t\x0b\u0085\u00a0\u2028\u0130\u1e9e")), st.characters(exclude_categories=["Cs"])), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ODD, min_size=1, max_size=4))
+@example(["it's 'S you'Re <|endoftext|>X <|ENDOFTEXT|>", "a\u0301b e\u0301", "İstanbul ǅ ΑΣ", "x" * 70 + "...!!!"])
+def test_words_are_encoded_as_whole_texts(texts):
+    words = _words()
+    got = words.encoded([t.encode() for t in texts])
+    want = [np.array(words.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert got == want
+
+
+@functools.cache
+def _words():
+    import public_tokenizers
+
+    return packing._Words(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def check_packing(rows, capacity=2048):
