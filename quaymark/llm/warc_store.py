@@ -70,21 +70,23 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """The records: header block, whether it holds a payload of its own, the full payload and the record bytes as written.
 
-    Fails if stored bytes do not have the digest that addresses them.
+    Also the SHA-1 (hexadecimal digits) and the size of the stored payload, taken where the payloads lie: a plan that
+    asks for these alone moves no payload.  Fails if stored bytes do not have the digest that addresses them.
     """
     headers = spark.read.schema("digest string, response boolean, header string").parquet(f"{path}/headers")
     payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
     ok = F.sha2("payload", 256) == F.col("digest")
     payloads = payloads.select("digest", F.when(ok, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("stored payload does not match "), F.col("digest")))).alias("payload"))
+    payloads = payloads.select("*", F.sha1("payload").alias("payload_sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     record = F.concat(F.col("header").cast("binary"), F.when(F.col("response"), F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n"))
-    return headers.join(payloads, "digest").select("header", "response", "payload", record.alias("record"))
+    return headers.join(payloads, "digest").select("header", "response", "payload", "payload_sha1", "payload_bytes", record.alias("record"))
 
 
 def describe(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, read from the records' own headers and payloads."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read from the records' own headers and stored payloads."""
     field = lambda name: F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)", 1), F.lit(""))
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:page:([^>]*)>', 1) as long)")
-    out = records.select(field("WARC-Record-ID").alias("id"), field("WARC-Type").alias("record_type"), field("WARC-Refers-To").alias("to"), base32(F.sha1("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    out = records.select(field("WARC-Record-ID").alias("id"), field("WARC-Type").alias("record_type"), field("WARC-Refers-To").alias("to"), base32(F.col("payload_sha1")).alias("payload_digest"), "payload_bytes")
     return out.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", page("to")).alias("refers_to"))
 
 
