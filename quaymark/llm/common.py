@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,12 +39,68 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write `df` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    The files go when the process ends, or with `discard`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaymark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete what `keep` wrote, once no plan reads it any more."""
+    for df in kept:
+        _drop(df.sparkSession, df.kept_at)
+
+
+def collect_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one if the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def released(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for `mapInArrow`, which gives the memory it held back to the system when a task ends: workers live on."""
+
+    def run(rows):
+        try:
+            yield from batches(rows)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # a C library without it keeps the memory
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def key_bitmap(keys: DataFrame, n: int, most: int = 1 << 27) -> np.ndarray:
+    """Bitmap of the long column `key`, of 16 bits for each of `n` keys or `most` in all; it has no false misses."""
+    size = min(most, max(1 << 15, 1 << (16 * n).bit_length()))
+    at = F.pmod("key", F.lit(size))
+    out = np.zeros((size >> 15, 1 << 12), np.uint8)
+    found = keys.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("at") % (1 << 15)).alias("bits")).toArrow()
+    for b, bits in zip(found["b"].to_pylist(), found["bits"].to_pylist(), strict=True):  # at most `most` bits in all
+        out[b] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (8 * len(bits) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def utf8(texts: pa.Array) -> list[bytes]:
