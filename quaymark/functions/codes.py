@@ -58,13 +58,29 @@ def _windows(s: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.substr(s, i, F.lit(size)))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once for all places at which it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _codes_at_every_place(s: Column, size: int) -> Column:
+    """The code at each place of cleaned text, null where there is none: three letters, U, and digits, each character as what it stands for."""
+
+    def codes(x: Column) -> Column:
+        starts = F.when(F.length(x["l"]) >= size, F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x["l"]) - size + 1))).otherwise(F.array().cast("array<int>"))
+        found = F.transform(starts, lambda i: F.concat(F.substr(x["l"], i, F.lit(3)), F.lit("U"), F.substr(x["d"], i + 4, F.lit(size - 4))))
+        return F.filter(found, lambda c: c.rlike(f"^[A-Z]{{4}}[0-9]{{{size - 4}}}$"))
+
+    return _let(F.struct(as_letters(s).alias("l"), as_digits(s).alias("d")), codes)
+
+
 def _distinct(codes: Column) -> Column:
     return F.array_distinct(F.filter(codes, lambda c: c.isNotNull()))
 
 
 def code_windows(c: Column | str) -> Column:
     """All codes of 11 characters read from windows of the cleaned text, distinct, in order."""
-    return _distinct(F.transform(_windows(clean(c), 11), lambda w: _window(w, 7)))
+    return F.array_distinct(_codes_at_every_place(clean(c), 11))
 
 
 def base_windows(c: Column | str) -> Column:
@@ -73,7 +89,7 @@ def base_windows(c: Column | str) -> Column:
     turned = F.transform(F.regexp_extract_all(s, F.lit("([0-9]{6}[A-Z]{4})"), 1), lambda m: _window(F.concat(F.substr(m, F.lit(7)), F.substring(m, 1, 6)), 6))
     letters, digits = F.regexp_extract_all(s, F.lit("([A-Z]{4,})"), 1), F.regexp_extract_all(s, F.lit("([0-9]{6,})"), 1)
     paired = F.flatten(F.transform(letters, lambda a: F.transform(digits, lambda d: _window(F.concat(F.substring(a, 1, 4), F.substring(d, 1, 6)), 6))))
-    found = _distinct(F.concat(F.transform(_windows(s, 10), lambda w: _window(w, 6)), turned, paired))
+    found = _distinct(F.concat(_codes_at_every_place(s, 10), turned, paired))
     return F.when(F.length(s) >= 10, found).otherwise(F.array().cast(_NO_TEXTS))
 
 

@@ -75,8 +75,9 @@ def mime(path: Column | str) -> Column:
 
 
 def json_text(body: Column | str, path: str) -> Column:
-    """A trimmed string field, null where it is missing or blank."""
-    return or_null(F.trim(F.get_json_object(col(body), path)))
+    """A trimmed string field, null where it is missing, blank or no string."""
+    value = F.try_variant_get(F.try_parse_json(col(body)), path, "variant")
+    return or_null(F.trim(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))))
 
 
 def _after_result(c: Column) -> Column:
@@ -112,6 +113,10 @@ def seal_quality(c: Column | str) -> Column:
     return F.when(n["length"] < 5, 0.0).otherwise(score)
 
 
+#: Fixed value: what a request says that was not answered in time.
+TIMEOUT_MESSAGE = "Read timeout after %.1fs. Increase timeout and retry."
+
+
 def request_error(kind: Column | str, message: Column | str, timeout_sec: Column | str) -> Column:
     """What a failed request says: read timeouts name the limit."""
-    return F.when(col(kind) == "read_timeout", F.format_string("Read timeout after %.1fs. Increase timeout and retry.", col(timeout_sec))).otherwise(col(message))
+    return F.when(col(kind) == "read_timeout", F.format_string(TIMEOUT_MESSAGE, col(timeout_sec))).otherwise(col(message))

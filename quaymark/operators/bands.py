@@ -59,49 +59,111 @@ def text_rows(profile_rows: DataFrame, keys: list[str], width: str, height: str)
     return joined.groupBy(*dims, "start", "end").agg(F.sum("strength").alias("strength"))
 
 
-def tall_bands(bands: DataFrame, keys: list[str]) -> DataFrame:
-    """Append the median height of the bands at or over the 70th percentile of heights of the key."""
-    height = F.col("end") - F.col("start")
-    p70 = bands.groupBy(*keys).agg(F.percentile(height, 0.7).alias("p70"))
-    median = bands.join(p70, keys).where(height >= F.col("p70")).groupBy(*keys).agg(F.median(height).alias("typical_height"))
-    return bands.join(median, keys)
+def typical_height(bands: DataFrame, keys: list[str], height: str) -> DataFrame:
+    """Append typical_height: the median height of the lower bands, those up to the 70th percentile, in whole pixels.
+
+    Bands below 8 pixels or 1.5 % of the image's height (column `height`) are left out; null if no other is there.
+    """
+    tall = F.col("end") - F.col("start")
+    least = F.greatest(F.lit(8), (F.col(height) * 0.015).cast("int"))
+    some = bands.withColumn("__tall", F.when(tall >= least, tall))
+    p70 = some.groupBy(*keys).agg(F.percentile("__tall", 0.7).alias("__p70"))
+    short = some.join(p70, keys).where(F.col("__tall") <= F.col("__p70"))
+    median = short.groupBy(*keys).agg(F.greatest(F.max(least), F.median("__tall").cast("int")).alias("typical_height"))
+    return bands.join(median, keys, "left")
+
+
+def parts_of(tall: Column, typical: Column) -> Column:
+    """Into how many symbols a band falls: from 1.6 times the typical height on the rounded ratio, 2 to 6; else 1."""
+    return F.when(tall >= (typical * 1.6).cast("int"), F.greatest(F.lit(2), F.least(F.lit(6), F.bround(tall / typical.cast("double")).cast("int")))).otherwise(1)
 
 
-def choose_segmentation(counts: DataFrame, refined: str, raw: str, merged: str) -> Column:
-    """Which band list has 10 to 12 symbols, refined first, then raw, then merged; else which has at least 8; else none."""
-    first = F.when(F.col(refined).between(10, 12), "refined").when(F.col(raw).between(10, 12), "raw").when(F.col(merged).between(10, 12), "merged")
-    return F.coalesce(first, F.when(F.col(refined) >= 8, "refined").when(F.col(raw) >= 8, "raw").when(F.col(merged) >= 8, "merged"), F.lit("none"))
+def choose_segmentation(refined: Column | str, raw: Column | str, merged: Column | str) -> Column:
+    """Which of three lists of so many symbols counts: the first with 10 to 12; else refined if it has at least 8 and
+    more than raw; else raw if it has at least 8 and more than merged; else merged."""
+    refined, raw, merged = (F.col(c) if isinstance(c, str) else c for c in (refined, raw, merged))
+    few = F.when(refined.between(10, 12), "refined").when(raw.between(10, 12), "raw").when(merged.between(10, 12), "merged")
+    return F.coalesce(few, F.when((refined > raw) & (refined >= 8), "refined").when((raw > merged) & (raw >= 8), "raw").otherwise("merged"))
+
+
+def tall_enough(bands: DataFrame, height: str, least: int = 8, share: float = 0.015) -> DataFrame:
+    """The bands of at least `least` pixels and that share of the image's height."""
+    return bands.where(F.col("end") - F.col("start") >= F.greatest(F.lit(least), (F.col(height) * share).cast("int")))
 
 
 def equal_grid(df: DataFrame, start: str, end: str, parts: int) -> DataFrame:
-    """One row for each of `parts` bands of equal height, with edges rounded half to even."""
-    edge = lambda k: F.bround(F.col(start) + (F.col(end) - F.col(start)) * k / F.lit(float(parts))).cast("int")
-    return df.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.struct(edge(k).alias("a"), edge(k + 1).alias("b")))).alias("part", "g")).withColumn("part_start", F.col("g.a")).withColumn("part_end", F.col("g.b")).drop("g")
+    """One row for each of `parts` bands of equal height; places inside the region are rounded half to even, bands
+    below 8 pixels or 4 % of the region are left out, and fewer than 10 parts give none."""
+    tall = F.col(end) - F.col(start)
+    edge = lambda k: F.bround(tall * k / F.lit(float(parts))).cast("int")
+    cells = df.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.struct(edge(k).alias("a"), edge(k + 1).alias("b")))).alias("part", "__g"))
+    cells = cells.where((F.lit(parts) >= 10) & (F.col("__g.b") - F.col("__g.a") >= F.greatest(F.lit(8), (tall * 0.04).cast("int"))))
+    return cells.withColumn("part_start", F.col(start) + F.col("__g.a")).withColumn("part_end", F.col(start) + F.col("__g.b")).drop("__g")
+
+
+#: A Gaussian over seven places.
+GAUSSIAN_7 = (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)
 
 
-def split_at_valleys(profiles: Column, start: Column, end: Column, parts: int, reach: float = 0.28) -> Column:
-    """Cuts of a band into `parts`: each at the weakest place near an equal cut, and behind the cut before.
+def smoothed(profile: Column) -> Column:
+    """The profile under a Gaussian of seven places, mirrored at both ends."""
+    n = F.size(profile)
+    span = F.greatest(n - 1, F.lit(1))
 
-    `profiles`: array of strengths by place.  A fold, since each cut bounds the next.
+    def at(i: Column) -> Column:
+        inside = F.abs(i) % (span * 2)
+        return F.coalesce(F.try_element_at(profile, F.when(inside < n, inside).otherwise(span * 2 - inside) + 1), profile[0]).cast("double")
+
+    return F.transform(profile, lambda v, i: sum((at(i + k - 3) * w for k, w in enumerate(GAUSSIAN_7)), F.lit(0.0)))
+
+
+def split_at_valleys(profile: Column, start: Column, end: Column, parts: Column) -> Column:
+    """array<struct<start, end>>: a band cut into `parts` at the weakest smoothed places near equal cuts.
+
+    `profile`: strengths by place of the whole image.  A cut is looked for within a third of a part (6 places at
+    least) of its equal place, and a part is half an equal part (10 places at least) high; without room the equal place
+    counts.  Parts below 8 places are dropped; if fewer than two are left, the band stays whole.  A fold, since each
+    cut bounds the next.
     """
-    step = (end - start) / F.lit(float(parts))
+    length = (end - start).cast("int")
+    near = smoothed(F.slice(profile, start + 1, F.greatest(length, F.lit(1))))
+    least = F.greatest(F.lit(10), F.floor(length / F.greatest(parts * 2, F.lit(2))).cast("int"))
+    reach = F.greatest(F.lit(6), F.floor(length / F.greatest(parts * 3, F.lit(3))).cast("int"))
 
     def cut(done: Column, k: Column) -> Column:
-        goal = start + step * k
-        lo = F.greatest(done["at"] + 1, F.floor(goal - step * reach).cast("int"))
-        hi = F.least(end - 1, F.ceil(goal + step * reach).cast("int"))
-        places = F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array(lo))
-        weakest = F.array_min(F.transform(places, lambda p: F.struct(F.coalesce(F.try_element_at(profiles, p + 1), F.lit(1 << 30)).alias("v"), p.alias("p"))))["p"]
-        return F.struct(weakest.alias("at"), F.concat(done["cuts"], F.array(weakest)).alias("cuts"))
+        goal = F.bround(length * k / parts.cast("double")).cast("int")
+        lo, hi = F.greatest(F.element_at(done, -1) + least, goal - reach), F.least(length - (parts - k) * least, goal + reach)
+        places = F.sequence(lo, F.greatest(lo, hi - 1))
+        weakest = F.array_min(F.transform(places, lambda p: F.struct(F.try_element_at(near, p + 1).alias("v"), p.alias("p"))))["p"]
+        return F.concat(done, F.array(F.when(hi <= lo, goal).otherwise(weakest)))
 
-    first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("cuts"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(parts - 1)), first, cut)["cuts"] if parts > 1 else F.array().cast("array<int>")
+    cuts = F.concat(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), parts - 1)), F.array(F.lit(0)), cut), F.array(length))
+    pieces = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda a, i: F.struct((start + a).cast("int").alias("start"), (start + F.element_at(cuts, i + 2)).cast("int").alias("end")))
+    tall = F.filter(pieces, lambda p: p["end"] - p["start"] >= 8)
+    whole = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
+    return F.when((parts <= 1) | (length <= 0), whole).otherwise(F.when(F.size(tall) > 1, tall).otherwise(whole))
 
 
-def deepest_valley(rows: DataFrame, keys: list[str], lo: float = 0.28, hi: float = 0.72, depth: float = 0.62) -> DataFrame:
-    """(keys, cut): the weakest place between `lo` and `hi` of the width, where it is at most `depth` of the peak."""
+def refined_bands(bands: DataFrame, profiles: DataFrame, keys: list[str], height: str) -> DataFrame:
+    """Tall bands cut at valleys: (keys, start, end).  `profiles`: (keys, profile), the strengths by place as an array."""
+    rows = typical_height(bands, keys, height).join(profiles, keys)
+    tall = F.col("end") - F.col("start")
+    parts = F.when(F.col("typical_height").isNull(), 1).otherwise(parts_of(tall, F.col("typical_height"))).cast("int")
+    return rows.select(*keys, F.explode(split_at_valleys(F.col("profile"), F.col("start"), F.col("end"), parts)).alias("__b")).select(*keys, "__b.*")
+
+
+def deepest_valley(rows: DataFrame, keys: list[str], min_part: int, lo: float = 0.28, hi: float = 0.72, depth: float = 0.62) -> DataFrame:
+    """(keys, cut): the first weakest place between `lo` and `hi` of a component's width, if the component falls in two there.
+
+    No cut if the component is narrower than 20 or two parts, if less than 4 places are searched, if the valley is over
+    `depth` of the peak or if a part would be narrower than `min_part`.  Each place of a component is a row (pos, strength).
+    """
     w = Window.partitionBy(*keys)
-    marked = rows.withColumn("__n", F.max("pos").over(w) - F.min("pos").over(w) + 1).withColumn("__at", F.col("pos") - F.min("pos").over(w)).withColumn("__peak", F.max("strength").over(w))
-    inner = marked.where((F.col("__at") >= F.floor(F.col("__n") * lo)) & (F.col("__at") < F.floor(F.col("__n") * hi)))
-    low = inner.groupBy(*keys).agg(F.min(F.struct("strength", "pos")).alias("low"), F.first("__peak").alias("peak"))
-    return low.where(F.col("low.strength") <= depth * F.col("peak")).select(*keys, F.col("low.pos").alias("cut"))
+    first, wide = F.min("pos").over(w), F.max("pos").over(w) - F.min("pos").over(w) + 1
+    marked = rows.withColumn("__n", wide).withColumn("__at", F.col("pos") - first).withColumn("__peak", F.max("strength").over(w))
+    n = F.col("__n")
+    a, b = F.greatest(F.lit(2), (n * lo).cast("int")), F.least(n - 2, (n * hi).cast("int"))
+    inner = marked.where((n >= max(20, 2 * min_part)) & (b - a >= 4) & (F.col("__at") >= a) & (F.col("__at") < b))
+    low = inner.groupBy(*keys).agg(F.min(F.struct("strength", "__at", "pos")).alias("low"), F.first("__peak").alias("peak"), F.first("__n").alias("n"))
+    good = (F.col("peak") > 0) & (F.col("low.strength") <= depth * F.col("peak")) & (F.col("low.__at") >= min_part) & (F.col("n") - F.col("low.__at") >= min_part)
+    return low.where(good).select(*keys, F.col("low.pos").alias("cut"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import codes
 from quaymark.functions.text import clean
-from quaymark.operators.ranking import best
+from quaymark.operators.ranking import best, top
 
 VERTICAL_MAX, TWOLINES_MAX, ONELINE_MIN, HORIZONTAL_MIN = 0.22, 3.0, 3.0, 3.2
 
@@ -63,8 +63,6 @@ def eager_best(attempts: DataFrame, keys: list[str], enough: float = 0.93, stage
 
     Attempts are (keys, stage, ord, score); stage 0 always counts.
     """
-    from pyspark.sql import Window
-
     before = Window.partitionBy(*keys).orderBy("stage", "ord").rowsBetween(Window.unboundedPreceding, -1)
     stage_start = Window.partitionBy(*keys).orderBy("stage").rangeBetween(Window.unboundedPreceding, -1)
     mark = F.lit(float("inf"))
@@ -107,20 +105,79 @@ def shape_crop(df: DataFrame, accept_other: bool = False) -> DataFrame:
     return out.withColumn("result", F.when(F.lit(accept_other) & (found == "NOT_FOUND"), fallback).otherwise(found))
 
 
-def seam_allowed(width: Column, height: Column, cut: Column, max_ratio: float = 3.0) -> Column:
-    """May a door seam at `cut` split the image: tall enough, neither too narrow nor too wide, both sides wide enough."""
+def seam_pad(width: Column) -> Column:
+    """Pixels on either side of a door seam that belong to neither part."""
+    return F.greatest(F.lit(14), (width * 0.014).cast("int"))
+
+
+def sides_of(width: Column, cut: Column) -> Column:
+    """struct<left_end, right_start> of the parts beside a seam; null if one is too narrow."""
+    left, right = F.greatest(F.lit(1), cut - seam_pad(width)), F.least(width, cut + seam_pad(width))
+    wide = (left >= (width * 0.22).cast("int")) & (width - right >= (width * 0.12).cast("int"))
+    return F.when(wide, F.struct(left.alias("left_end"), right.alias("right_start")))
+
+
+def seam_allowed(width: Column, height: Column, cut: Column, max_ratio: float = 3.0, min_height: int = 420) -> Column:
+    """May a door seam at `cut` split the image: tall enough, neither too narrow nor too wide, both sides wide enough beside the seam."""
     ratio = width / F.greatest(height, F.lit(1)).cast("double")
-    return (height >= 420) & ratio.between(1.35, max_ratio) & (cut >= width * 0.22) & (width - cut >= width * 0.12)
+    return (height >= min_height) & ratio.between(1.35, max_ratio) & sides_of(width, cut).isNotNull()
+
 
+def _left_bands(bands: DataFrame, keys: list[str], min_gap: Column) -> DataFrame:
+    """(keys, x, gap, strengths): the two strongest text bands left of each place x, if far enough apart."""
+    two = top(bands, [*keys, "x"], 2, [F.col("strength").desc(), (F.col("end") - F.col("start")).desc(), F.col("start")])
+    both = two.groupBy(*keys, "x").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("b"), F.sum("strength").alias("strengths"), F.first("height").alias("height"))
+    both = both.where(F.size("b") == 2).withColumn("gap", F.col("b")[1]["start"] - F.col("b")[0]["end"])
+    return both.where(F.col("gap") >= min_gap).select(*keys, "x", "gap", "strengths")
 
-def seam(columns: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
-    """(keys, x, seam_score): among the `k` columns with most edges the one with the best edge mean less density, nearest the middle.
 
-    Column rows are (keys, x, edge, density, width).
+def seam(columns: DataFrame, bands: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x): where a door seam is likeliest.
+
+    Column rows are (keys, x, edge, density, width, height), one for each column; band rows are (keys, x, start, end,
+    strength, height), the text bands of the image left of the seam's pad at x.  Between 28 and 72 % of the width the
+    columns with most edge less 0.35 of the peak per density are tried, a fortieth of them, 3 to 10; the two strongest
+    bands at the left add 0.0008 of their strengths and 0.4 of their gap, and 20 of the distance of the left share from
+    0.42 is taken off.  Without a candidate with two bands apart the strongest column counts.
+    """
+    w = Window.partitionBy(*keys)
+    scored = columns.withColumn("__peak", F.greatest(F.lit(1.0), F.max("edge").over(w))).withColumn("__local", F.col("edge") - F.col("density") * F.col("__peak") * 0.35)
+    lo, hi = (F.col("width") * 0.28).cast("int"), (F.col("width") * 0.72).cast("int")
+    inner = scored.where((F.col("width") >= 200) & (F.col("height") >= 120) & (hi - lo >= 24) & (F.col("x") >= lo) & (F.col("x") < hi))
+    order = w.orderBy(F.col("__local").desc(), "x")
+    inner = inner.withColumn("__rank", F.row_number().over(order)).withColumn("__best", F.max("__local").over(w)).where("__best > 0")
+    few = inner.where(F.col("__rank") <= F.least(F.lit(10), F.greatest(F.lit(3), F.floor((hi - lo) / 40))))
+    sides = sides_of(F.col("width"), F.col("x"))
+    few = few.withColumn("__left", sides["left_end"]).where("__left is not null")
+    joined = few.join(_left_bands(bands, keys, F.greatest(F.lit(5), (F.col("height") * 0.02).cast("int"))), [*keys, "x"])
+    score = F.col("__local") + 0.0008 * F.col("strengths") - 20.0 * F.abs(F.col("__left") / F.col("width").cast("double") - 0.42) + 0.4 * F.col("gap")
+    tried = best(joined.withColumn("__score", score).where("__score > -1"), keys, "__score", ["__rank"]).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("x").alias("__x"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return inner.where("__rank = 1").join(tried, same, "left").select(*keys, F.coalesce("__x", "x").alias("x"))
+
+
+def seam_candidates(images: DataFrame, estimated: str = "x") -> DataFrame:
+    """One row for each place to try, each once: the estimated seam, then 30 to 70 % of the width in steps of 1.8 % (18 pixels at least).
+
+    (columns of `images` without the estimate, cand_ord, x)
     """
-    from quaymark.operators.ranking import top
+    lo, hi, step = (F.col("width") * 0.30).cast("int"), (F.col("width") * 0.70).cast("int"), F.greatest(F.lit(18), (F.col("width") * 0.018).cast("int"))
+    steps = F.when(hi > lo, F.sequence(lo, F.greatest(lo, hi - 1), step)).otherwise(F.array().cast("array<int>"))
+    places = F.array_distinct(F.filter(F.concat(F.array(F.col(estimated).cast("int")), steps), lambda x: x.isNotNull()))
+    rest = [c for c in images.columns if c != estimated]
+    return images.select(*rest, F.posexplode(places).alias("cand_ord", "x"))
+
 
-    few = top(columns, keys, k, [F.col("edge").desc(), F.col("x")])
-    peak = columns.groupBy(*keys).agg(F.max("edge").alias("peak"))
-    scored = few.join(peak, keys).withColumn("seam_score", F.col("edge") - 0.35 * F.col("density") * F.col("peak") - F.abs(F.col("x") / F.col("width") - 0.5) * F.col("peak") * 0.1)
-    return best(scored, keys, "seam_score", ["x"]).select(*keys, "x", "seam_score")
+def split_at_seam(candidates: DataFrame, bands: DataFrame, keys: list[str], max_ratio: float = 3.0, min_height: int = 420) -> DataFrame:
+    """(keys, x, seam_score): the candidate (keys, cand_ord, x, width, height) that splits best.
+
+    0.001 of the strengths of the two strongest bands at the left and their gap, less 25 of the distance of the left
+    share from 0.40; none where no candidate is allowed or has two bands apart.
+    """
+    ok = candidates.where(seam_allowed(F.col("width"), F.col("height"), F.col("x"), max_ratio, min_height))
+    ok = ok.withColumn("__left", sides_of(F.col("width"), F.col("x"))["left_end"])
+    rows = ok.join(_left_bands(bands, keys, F.greatest(F.lit(5), (F.col("height") * 0.015).cast("int"))), [*keys, "x"])
+    score = 0.001 * F.col("strengths") + F.col("gap") - 25.0 * F.abs(F.col("__left") / F.col("width").cast("double") - 0.40)
+    return best(rows.withColumn("seam_score", score).where("seam_score > -1"), keys, "seam_score", ["cand_ord"]).select(*keys, "x", "seam_score")

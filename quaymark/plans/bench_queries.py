@@ -69,7 +69,7 @@ def history_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_type, count(*) as n, round(avg(value), 3) as mean_ms, round(quantile_cont(value, 0.95), 3) as p95_ms from events group by event_type")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("mean_ms"), F.round(F.percentile("value", 0.95), 3).alias("p95_ms"))
+    return evaluation.latencies(_t(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @query("select d.lang, count(*) as n, count(l.doc_id) as labelled, round(avg(l.quality), 4) as quality, round(avg(l.toxic), 4) as toxic from documents d left join labels l using (doc_id) group by d.lang")

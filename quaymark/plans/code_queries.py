@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions import codes, text
@@ -27,15 +27,19 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(f"select o_orderkey, b as base10, cast({_CHECK.format(b='b')} as int) as check_digit from (select o_orderkey, 'CSQU' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as b from orders)")
+def _of(*owners: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, owners)), (F.col("o_custkey") % len(owners) + 1).cast("int"))
+
+
+@query(f"select o_orderkey, b as base10, cast({_CHECK.format(b='b')} as int) as check_digit from (select o_orderkey, ['CSQU', 'TCKU', 'MSKU', 'ABZJ'][o_custkey % 4 + 1] || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as b from orders)")
 def check_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.concat(F.lit("CSQU"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))
+    base = F.concat(_of("CSQU", "TCKU", "MSKU", "ABZJ"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))
     return _t(spark, sf_dir, "orders").select("o_orderkey", base.alias("base10")).withColumn("check_digit", codes.check_digit("base10"))
 
 
-@query(f"select o_orderkey, b || d as code, cast({_CHECK.format(b='b')} as varchar) = d as valid from (select o_orderkey, 'TGHU' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as b, cast(o_custkey % 10 as varchar) as d from orders)")
+@query(f"select o_orderkey, b || d as code, cast({_CHECK.format(b='b')} as varchar) = d as valid from (select o_orderkey, ['TGHU', 'CSQU', 'WXYU', 'KLMU'][o_custkey % 4 + 1] || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as b, cast(o_custkey % 10 as varchar) as d from orders)")
 def valid_code_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.concat(F.lit("TGHU"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), (F.col("o_custkey") % 10).cast("string"))
+    code = F.concat(_of("TGHU", "CSQU", "WXYU", "KLMU"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), (F.col("o_custkey") % 10).cast("string"))
     return _t(spark, sf_dir, "orders").select("o_orderkey", code.alias("code"), codes.is_valid(code).alias("valid"))
 
 
@@ -77,14 +81,14 @@ def code_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with n as (select c_custkey, upper(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || cast(cast(floor(c_acctbal) as bigint) % 97 as varchar) as raw from customer)
 select c_custkey, cast(i - 1 as int) as i, r[cast(i as int)] as run from (select c_custkey, regexp_extract_all(translate(regexp_replace(raw, '[^A-Z0-9]+', '', 'g'), 'OQDUILZSBG', '0000112586'), '[0-9]+') as r from n) q, unnest(range(1, len(r) + 1)) t(i) where length(r[cast(i as int)]) >= 6""")
-def digit_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def digit_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.upper(F.regexp_replace("c_name", "[^A-Za-z0-9]", "")), (F.floor("c_acctbal") % 97).cast("string"))
     rows = _t(spark, sf_dir, "customer").select("c_custkey", F.posexplode(codes.digit_runs(raw)).alias("i", "run"))
     return rows.where(F.length("run") >= 6)
 
 
 @query("""
-with t as (select conv_id, row_number() over (partition by conv_id order by turn) as ord, upper(role) as text, (turn % 10) / 16.0::double as score from conversations),
+with t as (select conv_id, row_number() over (partition by conv_id order by turn) as ord, upper(role) || length(text) as text, (turn % 10) / 16.0::double as score from conversations),
 p as (select a.conv_id, a.ord as lo, b.ord as hi, count(*) as n, string_agg(c.text, '' order by c.ord) as raw, sum(c.score) / count(*) as score
   from t a join t b on a.conv_id = b.conv_id and b.ord between a.ord and a.ord + 5 join t c on c.conv_id = a.conv_id and c.ord between a.ord and b.ord group by 1, 2, 3),
 w as (select conv_id, raw, score from p union all
@@ -92,7 +96,7 @@ w as (select conv_id, raw, score from p union all
   select conv_id, string_agg(text, ' ' order by ord), sum(score) / count(*) from t group by conv_id)
 select conv_id, raw, round(min(score), 6) as score from w where raw <> '' group by conv_id, raw, round(score, 6)""")
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("ord"), F.upper("role").alias("text"), ((F.col("turn") % 10) / 16.0).alias("score"))
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("ord"), F.concat(F.upper("role"), F.length("text").cast("string")).alias("text"), ((F.col("turn") % 10) / 16.0).alias("score"))
     groups = tokens.collected(rows, ["conv_id"]).select("conv_id", F.explode(tokens.candidate_groups("pairs")).alias("g"))
     return groups.select("conv_id", "g.raw", F.round("g.score", 6).alias("score"))
 
@@ -162,11 +166,11 @@ def seal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select doc_id, regexp_extract(upper(t), '\\b([A-Z]{4}[0-9]{7})\\b', 1) as code from (
-  select doc_id, case when doc_id % 3 = 0 then 'no code here ' else 'container ' || lower('MSKU') || lpad(cast(doc_id % 10000000 as varchar), 7, '0') || ' seen in ' || source end as t from documents)
+  select doc_id, text || ' ' || case when doc_id % 3 = 0 then 'no code here ' else 'container ' || lower('MSKU') || lpad(cast(doc_id % 10000000 as varchar), 7, '0') || ' seen in ' || source end as t from documents)
 where regexp_extract(upper(t), '\\b([A-Z]{4}[0-9]{7})\\b', 1) <> ''""")
 def code_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.when(F.col("doc_id") % 3 == 0, F.lit("no code here ")).otherwise(F.concat(F.lit("container msku"), F.lpad((F.col("doc_id") % 10000000).cast("string"), 7, "0"), F.lit(" seen in "), "source"))
-    return _t(spark, sf_dir, "documents").select("doc_id", codes.first_code(made).alias("code")).where("code is not null")
+    return _t(spark, sf_dir, "documents").select("doc_id", codes.first_code(F.concat("text", F.lit(" "), made)).alias("code")).where("code is not null")
 
 
 @query("""

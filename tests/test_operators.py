@@ -1,5 +1,8 @@
 """Relational operators against short Python oracles."""
 
+import random
+
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -131,7 +134,57 @@ def test_retention_settings():
     assert retention.Retention.of({"REPORT_MAX_AGE_DAYS": "x"}, {"max_age_days": 0, "keep_runs": "7"}) == retention.Retention(1, 7)
 
 
+def cut_by_rule(profile, start, end, parts):
+    """The rule in plain Python: smooth over seven places, then one cut after the other."""
+    own = profile[start:end]
+    n = len(own)
+    mirror = lambda i: abs(i) if abs(i) < n else 2 * (n - 1) - abs(i)
+    near = [sum(w * own[mirror(i + k - 3)] for k, w in enumerate(bands.GAUSSIAN_7)) for i in range(n)]
+    least, reach, cuts = max(10, n // (2 * parts)), max(6, n // (3 * parts)), [0]
+    for k in range(1, parts):
+        goal = round(n * k / parts)
+        lo, hi = max(cuts[-1] + least, goal - reach), min(n - (parts - k) * least, goal + reach)
+        cuts.append(goal if hi <= lo else min(range(lo, hi), key=lambda i: (near[i], i)))
+    out = [(start + a, start + b) for a, b in zip(cuts, [*cuts[1:], n], strict=True) if b - a >= 8]
+    return out if len(out) > 1 else [(start, end)]
+
+
 def test_valley_cuts(spark):
-    strengths = [5, 5, 5, 0, 5, 5, 5, 5, 1, 5, 5, 5]
-    got = spark.range(1).select(bands.split_at_valleys(F.array(*[F.lit(v) for v in strengths]), F.lit(0), F.lit(12), 3)).first()[0]
-    assert got == [3, 8]
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        n = rng.randint(20, 140)
+        a = rng.randint(0, 5)
+        rows.append((k, [float(rng.randint(0, 9)) for _ in range(n)], a, n - rng.randint(0, 4), rng.randint(1, 5)))
+    df = spark.createDataFrame(rows, "k int, profile array<double>, a int, b int, parts int")
+    got = {r["k"]: [tuple(x) for x in r["c"]] for r in df.select("k", bands.split_at_valleys(F.col("profile"), F.col("a"), F.col("b"), F.col("parts")).alias("c")).collect()}
+    assert got == {k: cut_by_rule(p, a, b, parts) if parts > 1 else [(a, b)] for k, p, a, b, parts in rows}
+
+
+def test_tall_bands_are_cut(spark):
+    rows = [(1, a, b, 200) for a, b in ((0, 12), (20, 32), (40, 52), (60, 96), (100, 104))]
+    df = spark.createDataFrame(rows, "k int, start int, end int, h int")
+    assert {r["typical_height"] for r in bands.typical_height(df, ["k"], "h").collect()} == {12}
+    profile = spark.createDataFrame([(1, [0.0 if i in (71, 83) else 5.0 for i in range(200)])], "k int, profile array<double>")
+    got = sorted((r["start"], r["end"]) for r in bands.refined_bands(df, profile, ["k"], "h").collect())
+    assert got[:3] == [(0, 12), (20, 32), (40, 52)] and got[-1] == (100, 104) and len(got) == 7 and got[3][0] == 60 and got[5][1] == 96
+    low = spark.createDataFrame([(2, 0, 3, 200)], "k int, start int, end int, h int")
+    assert bands.typical_height(low, ["k"], "h").first()["typical_height"] is None
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(6)
+    values = {None: [0.0, -3.5, 1e-9], "a": [rng.choice([1.5, 2.0, 1e6, -7.0]) for _ in range(50)], "b": [rng.uniform(-1e3, 1e5) for _ in range(301)], "c": [4.25]}
+    rows = [(k, v) for k, own in values.items() for v in own] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["p"], r["m"]) for r in evaluation.quantiles(df, ["k"], "v", {"p": 0.95, "m": 0.5}).collect()}
+    assert got.keys() == values.keys()
+    for k, own in values.items():
+        assert np.allclose(got[k], np.quantile(own, [0.95, 0.5]), rtol=1e-12, atol=1e-12)
+
+
+def test_ties_go_to_the_first_reading(spark):
+    base = spark.createDataFrame([(1, "123456")], "k int, base6 string")
+    found = spark.createDataFrame([(1, (n,), "123456", d, 0.5, "r", False, "combo") for n, d in ((2, "7"), (10, "3"))], "k int, ord struct<a:int>, base6 string, check_digit string, score double, raw string, direct boolean, source string")
+    none = spark.createDataFrame([], "k int, ord int, digit string, score double, source string")
+    assert voting.resolve_check_digit(base, found, none, ["k"]).first()["check_digit"] == "7"

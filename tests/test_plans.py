@@ -20,7 +20,10 @@ def test_one_line(spark):
     digits = tokens(spark, [(1, 0, "438607", 0.9), (1, 1, "9", 0.8), (2, 0, "12", 0.4)])
     votes = spark.createDataFrame([(1, 0, "9", 0.7, "square", "primary")], "image_id int, ord int, digit string, score double, source string, zone string")
     got = recognition.code_of_regions(owner, digits, votes, ["image_id"]).collect()
-    assert [(r["image_id"], r["full_code"], r["status"], r["is_valid_iso"]) for r in got] == [(1, "TCKU4386079", "FULL_11", True)]
+    assert sorted((r["image_id"], r["full_code"], r["status"], r["is_valid_iso"]) for r in got) == [(1, "TCKU4386079", "FULL_11", True), (2, "", "RAW_ONLY", False)]
+    score = {r["image_id"]: r["score"] for r in got}
+    # the owner's 0.95 and its bonuses 0.12 and 0.03; two votes for the digit, of which squares are asked since nothing was read as a whole
+    assert score[2] == 0 and score[1] > 0.95 + 0.15
 
 
 def test_split_door_and_vertical(spark):
