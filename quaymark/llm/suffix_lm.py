@@ -1,20 +1,22 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-Symbols are words (ASCII lower case) and one end for each document.  Contexts are runs of words; a context is a
-candidate if it comes at least `MIN_CONTEXT` times, and it is retained if the distribution behind it diverges
-from that of its longest retained suffix by more than the entries it needs would cost (a minimum description
-length test).  The next-symbol distribution of a retained context keeps the symbols seen behind it at least
-`MIN_ENTRY` times, discounted, and gives what is left to its suffix; the root is the smoothed distribution of
+Symbols are words (ASCII lower case) and one end for each document.  Contexts are runs of up to `DEPTH` words; a
+context is a candidate if it comes at least `MIN_CONTEXT` times, and it is retained if the distribution behind it
+diverges from that of its longest retained suffix by more than the entries it needs would cost (a minimum
+description length test).  The next-symbol distribution of a retained context keeps the symbols seen behind it at
+least `MIN_ENTRY` times, discounted, and gives what is left to its suffix; the root is the smoothed distribution of
 single words.  A token is scored from the longest retained context that it follows.
 
-The tree grows by levels, one word to the left each, and stops at `LEVELS` words: longer contexts are never
-retained, however strongly they diverge.  The counts, the test and the tree are tables.
-A context is not grown further if no longer context can pass the test: with q the distribution it is
-scored by, a longer one gains at most what its own symbols cost under q, and needs log(tokens) at least.  Which
-strings a level counts is looked up in bitmaps; a false hit there costs a row and changes no result.
+Texts are read and cut into words once: what is kept is one packed array of 63-bit word hashes for each document.
+Counts grow by levels.  A string of words is counted only if, without its last word, it comes often enough to be a
+context and, without its first word, often enough to be an entry; both are looked up in bitmaps of the level before,
+where a false hit costs a row and changes no result.  Tasks send sorted keys and counts, packed by parts of the
+hash space, and each part is summed by itself; a frequent string is one number from each task, so that no part is
+hot.  Counts, test and tree are tables, and their thresholds are small absolute counts, so that they grow with the
+corpus.
 
-Broadcast are at most 1 / P_WORD words and the `HEAD` most frequent contexts and entries; they are caches.  What
-is not in them is joined.  Words, contexts and entries are named by 63-bit hashes.
+Broadcast are bitmaps of at most `BITS` bits, at most 1 / P_WORD words and at most `HEAD` contexts and entries, the
+most frequent ones; the last two are caches.  What is not in them is joined.  Strings are named by 63-bit hashes.
 
 Defined cases: a null or empty text is one end; a null doc_id is never held out; texts of any length are
 read whole; repeated rows are documents of their own; without training documents every token has
@@ -24,7 +26,6 @@ probability 1 at the root, as the formula says; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -34,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import held_out, keep, utf8
+from quaymark.llm.common import collect_shuffles, discard, held_out, in_bitmap, keep, key_bitmap, released, utf8
 
-P_WORD, MIN_CONTEXT, MIN_ENTRY, DISCOUNT = 1e-6, 8, 2, 0.5
-#: Contexts and entries that are broadcast at most; bits of a bitmap at most.
-HEAD, BITS = 2_000_000, 1 << 27
-#: Words of a context at most.  This cuts the method short; see README.
-LEVELS = 2
+P_WORD, MIN_CONTEXT, MIN_ENTRY, DISCOUNT = 1e-6, 8, 8, 0.5
+#: Words of a context at most.
+DEPTH = 5
+#: Contexts and entries that are broadcast at most; bits of a bitmap at most; tokens of the corpus for each part.
+HEAD, BITS, PART = 4_000_000, 1 << 26, 2_000_000
+#: Tokens that are walked at a time.
+WALK = 1 << 19
 
 
 def word_hash(word: bytes) -> int:
@@ -51,55 +54,44 @@ def word_hash(word: bytes) -> int:
 END = word_hash(b"")
 
 
-class _Numbers(dict):
-    """Word -> its number, or -1 - hash for words without one; forgets all when it is large."""
-
-    def __init__(self, numbers: dict[int, int]) -> None:
-        self.numbers = numbers
+class _Hashes(dict):
+    """Word -> its hash; forgets all when it is large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 300_000:
             self.clear()
-        h = word_hash(word)
-        v = self[word] = self.numbers.get(h, -1 - h)
-        return v
-
-    def hashes(self, text: bytes) -> list[int]:
-        """Hashes of the words and the end; for use without numbers."""
-        return [-1 - v for v in map(self.__getitem__, text.lower().split())] + [END]
+        h = self[word] = word_hash(word)
+        return h
 
     def of(self, text: bytes) -> np.ndarray:
-        """Numbers of the words and the end."""
+        """Hashes of the words and the end."""
         words = text.lower().split()
         out = np.empty(len(words) + 1, np.int64)
         out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        out[-1] = self.numbers.get(END, -1 - END)
+        out[-1] = END
         return out
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(h, c) of all symbols of the training documents; each part of the input is summed before the shuffle."""
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, tokens): the number of symbols of each document, and their hashes as packed numbers.  Kept as a table."""
 
-    def count(batches):
-        seen: Counter[bytes] = Counter()
-        ends = 0
+    def read(batches):
+        lookup = _Hashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                arrays = [lookup.of(t) for t in utf8(batch.column(1).slice(lo, 256))]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(lo, 256), "n": pa.array([len(a) for a in arrays], pa.int64()), "tokens": pa.array([a.tobytes() for a in arrays], pa.binary())})
 
-        def rows():
-            return pa.RecordBatch.from_pydict({"h": pa.array([word_hash(w) for w in seen], pa.int64()), "c": pa.array(list(seen.values()), pa.int64())})
+    rows = docs.select("doc_id", "text").mapInArrow(released(read), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, tokens binary")
+    return keep(rows, "lm-tokens", "zstd")
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                for t in utf8(batch.column(0).slice(lo, 512)):
-                    seen.update(t.lower().split())
-                    ends += 1
-                if len(seen) > 600_000:
-                    yield rows()
-                    seen.clear()
-        yield rows()
-        if ends:
-            yield pa.RecordBatch.from_pydict({"h": [END], "c": [ends]})
 
-    return train.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """63-bit hashes of pairs."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ x >> np.uint64(32)) >> np.uint64(1)).astype(np.int64)
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,147 +102,286 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """63-bit hashes of pairs."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ x >> np.uint64(32)) >> np.uint64(1)).astype(np.int64)
+def _walk(h: np.ndarray, filters: list):
+    """For each level k the contexts of k words that are followed by a symbol, and the strings of k + 1 words that may be their entries.
 
+    `h`: hashes, -1 between documents.  `filters[k - 1]`: bitmaps of the strings of k words that come often enough for
+    entries and for contexts.  Yields (places of the symbols behind contexts, contexts; places of the entries' last
+    symbols, entries, their contexts, the suffixes of these, 0 for single words).  A string is named by the hash of the
+    string without its last word and of that word.
+    """
+    if not filters:
+        return
+    h = np.append(h, -1)
+    at = np.flatnonzero(h >= 0)
+    v = h[at]
+    hit = in_bitmap(filters[0][0], v)
+    at, v = at[hit], v[hit]
+    below = np.zeros(len(v), np.int64)
+    for k, (_, contexts) in enumerate(filters, 1):
+        if contexts is None:
+            return
+        is_context = in_bitmap(contexts, v) & (h[at + 1] >= 0)
+        i = np.flatnonzero(is_context[:-1] & (at[1:] == at[:-1] + 1)) if len(at) else at
+        pos, of, suffix, last = at[i + 1], v[i], below[i], v[i + 1]
+        key = _mix(of, h[pos])
+        if k < len(filters):
+            hit = in_bitmap(filters[k][0], key)
+            pos, key, of, suffix, last = pos[hit], key[hit], of[hit], suffix[hit], last[hit]
+        yield at[is_context] + 1, v[is_context], pos, key, of, suffix
+        if not len(key):
+            return
+        at, v, below = pos, key, last
 
-def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
-    """Bitmap of the column key, of 16 bits for each of `n` keys or BITS; it has no false misses."""
-    size = min(BITS, max(1 << 15, 1 << (16 * n).bit_length()))
-    at = F.pmod("key", F.lit(size))
-    out = np.zeros((size >> 15, 1 << 12), np.uint8)
-    for r in keys.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("at") % (1 << 15)).alias("bits")).toLocalIterator():
-        out[r["b"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out.reshape(-1)
 
+def _stretches(batch: pa.RecordBatch, column: int):
+    """Documents of a batch behind each other, -1 after each, some at a time."""
+    held, size = [], 0
+    for t in batch.column(column):
+        a = np.frombuffer(t.as_py(), np.int64)
+        held += [a, [-1]]
+        size += len(a) + 1
+        if size >= WALK:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
 
-def _hit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (8 * len(bits) - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
-def _walk(h: np.ndarray, filters: list):
-    """(context, entry, entry of the suffix, place) of the strings that each level counts; -1 in `h` lies between documents.
 
-    `filters` has for each level the bitmaps (strings that are frequent enough for contexts, contexts to grow).
-    """
-    ctx, counted = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    j = np.flatnonzero((h[:-1] >= 0) & (h[1:] >= 0)) if len(h) > 1 else np.zeros(0, np.int64)
-    for k, (frequent, grow) in enumerate(filters):
-        if k == 0:
-            j, old = j[_hit(frequent, h[j])], None
-            new = _mix(h[j], h[j])
-        else:
-            j = j[_hit(grow, ctx[j])]
-            j = j[j >= k]
-            j = j[h[j - k] >= 0]
-            # the last word behind the rest is a string of the level before; if that was counted, its count is known
-            known = counted[j - 1]
-            j = j[~known | _hit(frequent, _mix(ctx[j - 1], h[j]))]
-            old = ctx[j]
-            new = _mix(old, h[j - k])
-        s = h[j + 1]
-        yield new, _mix(new, s), s if old is None else _mix(old, s), j + 1
-        if not len(j):
-            return
-        counted[:] = False
-        counted[j], ctx[j] = True, new
+def _bounds(sorted_keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the keys in each part of the hash space that has some."""
+    ends = np.searchsorted(sorted_keys, np.arange(1, parts + 1) * ((1 << 63) / parts))
+    ends[-1] = len(sorted_keys)
+    return [(p, lo, hi) for p, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if hi > lo]
 
 
-def _count(train: DataFrame, shared, level: int) -> DataFrame:
-    """(ctx, key, sfx, c) of the strings of a level; those seen less than MIN_ENTRY times are one row of a context, with key null."""
+def string_counts(train: DataFrame, filters, parts: int, least: int) -> DataFrame:
+    """(key, c) of the strings one word longer than `filters` (a broadcast) has levels, as far as they come `least` times."""
 
     def count(batches):
-        lookup, held, size, filters = _Numbers({}), [], 0, shared.value
+        held, size, levels = [], 0, filters.value
 
         def rows():
-            k, at, n = np.unique(np.concatenate([x[1] for x in held]), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_pydict({"ctx": np.concatenate([x[0] for x in held])[at], "key": k, "sfx": np.concatenate([x[2] for x in held])[at], "c": n})
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            for p, lo, hi in _bounds(k, parts):
+                yield p, k[lo:hi].tobytes(), n[lo:hi].astype(np.int32).tobytes()
+
+        def packed():
+            cols = list(zip(*rows(), strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_pydict({"part": pa.array(cols[0], pa.int64()), "keys": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                parts = [-1]
-                for t in utf8(batch.column(0).slice(lo, 512)):
-                    parts += lookup.hashes(t)
-                    parts.append(-1)
-                for k, found in enumerate(_walk(np.array(parts, np.int64), filters)):
-                    if k == level:
-                        held.append(found)
-                        size += len(found[0])
-                if size > 3_000_000:
-                    yield rows()
+            for h in _stretches(batch, 0):
+                if levels:
+                    found = None
+                    for k, (_, _, _, key, _, _) in enumerate(_walk(h, levels), 1):
+                        found = key if k == len(levels) else None
+                else:
+                    found = h[h >= 0]
+                if found is not None and len(found):
+                    held.append(found)
+                    size += len(found)
+                if size > 2_500_000:
+                    yield packed()
                     held, size = [], 0
         if size:
-            yield rows()
-
-    c = train.select("text").mapInArrow(count, "ctx long, key long, sfx long, c long").groupBy("ctx", "key", "sfx").agg(F.sum("c").alias("c"))
-    often = F.col("c") >= MIN_ENTRY
-    return c.groupBy("ctx", F.when(often, F.col("key")).alias("key"), F.when(often, F.col("sfx")).alias("sfx")).agg(F.sum("c").alias("c"))
-
-
-def _test(counted: DataFrame, below: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Divergence test: contexts (ctx, t, keep, rest, grow) and entries (key, ctx, c, q); `below` has the probabilities (key, p) of the level before."""
-    rows = counted.join(below.select(F.col("key").alias("sfx"), F.col("p").alias("q")), "sfx", "left")
-    is_entry, c, q, cost = F.col("key").isNotNull(), F.col("c"), F.col("q"), math.log(max(total, 2))
-    of = rows.groupBy("ctx").agg(
-        F.sum("c").alias("t"), F.count("key").alias("n"), F.count("q").alias("nq"), F.coalesce(F.sum(F.when(is_entry, c)), F.lit(0)).alias("e"), F.sum("q").alias("sq"),
-        F.sum(F.when(is_entry, c * F.log(c / q))).alias("gain"), F.sum(F.when(is_entry, -c * F.log(q))).alias("cost_q"), F.sum(F.when(is_entry, -c * F.log(c - DISCOUNT))).alias("cost_p"),
-    ).where((F.col("t") >= MIN_CONTEXT) & (F.col("n") > 0) & (F.col("n") == F.col("nq")))
-    t, n, left = F.col("t"), F.col("n"), F.col("t") - F.col("e")
+            yield packed()
+
+    def add(batches):
+        at, keys, counts = None, [], []
+
+        def total():
+            k, n = _summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
+            often = n >= least
+            return pa.RecordBatch.from_pydict({"key": k[often], "c": n[often]})
+
+        for batch in batches:
+            for part, k, n in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                if part != at and keys:
+                    yield total()
+                    keys, counts = [], []
+                at = part
+                keys.append(np.frombuffer(k, np.int64))
+                counts.append(np.frombuffer(n, np.int32))
+        if keys:
+            yield total()
+
+    dealt = train.select("tokens").mapInArrow(released(count), "part long, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(released(add), "key long, c long")
+
+
+def _entries(train: DataFrame, filters, parts: int) -> DataFrame:
+    """(level, key, ctx, sfx): the strings that may be entries, the contexts before them and the entries of the contexts' suffixes.
+
+    Tasks send each string once in a while, as its context, the context's suffix and its last word, packed by parts of the contexts.
+    """
+
+    def find(batches):
+        levels = filters.value
+        held: list[list] = [[] for _ in levels]
+        raw = distinct = 0
+
+        def compact():
+            nonlocal raw, distinct
+            raw = distinct = 0
+            for k, own in enumerate(held):
+                if own:
+                    cols = [np.concatenate([x[i] for x in own]) for i in range(4)]
+                    at = np.unique(cols[0], return_index=True)[1]
+                    held[k] = [tuple(c[at] for c in cols)]
+                    distinct += len(at)
+
+        def packed():
+            for k, own in enumerate(held):
+                for _, ctx, sub, last in own:
+                    order = np.argsort(ctx, kind="stable")
+                    ctx, sub, last = ctx[order], sub[order], last[order]
+                    cuts = _bounds(ctx, parts)
+                    cut = lambda x, cuts=cuts: pa.array([x[lo:hi].tobytes() for _, lo, hi in cuts], pa.binary())
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "level": pa.array([k + 1] * len(cuts), pa.int64()), "ctx": cut(ctx), "sub": cut(sub), "last": cut(last)})
+                own.clear()
+
+        for batch in batches:
+            for h in _stretches(batch, 0):
+                for k, (_, _, pos, key, ctx, sub) in enumerate(_walk(h, levels)):
+                    held[k].append((key, ctx, sub, h[pos]))
+                    raw += len(key)
+                if raw > 1_000_000:
+                    compact()
+                    if distinct > 1_000_000:
+                        yield from packed()
+        compact()
+        yield from packed()
+
+    def gather(batches):
+        at, own = None, {}
+
+        def rows():
+            for k, cols in own.items():
+                ctx, sub, last = (np.concatenate([np.frombuffer(x, np.int64) for x in c]) for c in cols)
+                key, first = np.unique(_mix(ctx, last), return_index=True)
+                ctx, sub, last = ctx[first], sub[first], last[first]
+                yield pa.RecordBatch.from_pydict({"level": np.full(len(key), k), "key": key, "ctx": ctx, "sfx": last if k == 1 else _mix(sub, last)})
+            own.clear()
+
+        for batch in batches:
+            for part, k, *cols in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
+                if part != at:
+                    yield from rows()
+                at = part
+                for held, c in zip(own.setdefault(k, ([], [], [])), cols, strict=True):
+                    held.append(c)
+        yield from rows()
+
+    dealt = train.select("tokens").mapInArrow(released(find), "part long, level long, ctx binary, sub binary, last binary").repartition(parts, "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(released(gather), "level long, key long, ctx long, sfx long")
+
+
+def _test(entries: DataFrame, below: DataFrame, contexts: DataFrame, total: int) -> DataFrame:
+    """Divergence test: (ctx, t, keep, rest) for each context; `below` has the probabilities (key, p) of the level before."""
+    cost = math.log(max(total, 2))
+    rows = entries.join(below.select(F.col("key").alias("sfx"), F.col("p").alias("q")), "sfx")
+    c, q = F.col("c"), F.col("q")
+    of = rows.groupBy("ctx").agg(F.count("*").alias("n"), F.sum("c").alias("e"), F.sum("q").alias("sq"), F.sum(c * F.log(c / q)).alias("gain"))
+    of = of.join(contexts.where(F.col("c") >= MIN_CONTEXT).select(F.col("key").alias("ctx"), F.col("c").alias("t")), "ctx")
+    t, n = F.col("t"), F.col("n")
+    left = F.greatest(t - F.col("e"), F.lit(0))
     small = lambda x: F.greatest(x, F.lit(1e-12))
     of = of.withColumn("rest_q", small(1 - F.col("sq"))).withColumn("rest", (left + DISCOUNT * n) / t)
-    of = of.withColumn("keep", F.col("gain") - F.col("e") * F.log(t) + t * small(left / t) * F.log(small(left / t) / F.col("rest_q")) > (n + 1) * 0.5 * cost)
-    most = F.when(F.col("keep"), F.col("cost_p") + F.col("e") * F.log(t) - left * F.log(F.col("rest") * F.col("rest_q"))).otherwise(F.col("cost_q") - left * F.log("rest_q"))
-    sure = F.col("keep") & (n == 1) & (left == 0)  # its one symbol costs less than DISCOUNT / (1 - DISCOUNT) in all
-    of = of.select("ctx", "t", "keep", "rest", (~sure & (most > cost)).alias("grow"))
-    return of, rows.where(is_entry).select("key", "ctx", "c", "q")
-
-
-def train_tree(train: DataFrame, head: int = HEAD) -> tuple[dict, DataFrame]:
-    """The tree, of which `head` contexts and entries are in arrays and the rest in tables, and the table of all symbol counts."""
-    spark = train.sparkSession
-    words = keep(word_counts(train), "lm-words")
-    total, distinct, many = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum((F.col("c") >= MIN_CONTEXT).cast("long")), F.lit(0))).first()
+    diverges = F.col("gain") - F.col("e") * F.log(t) + t * small(left / t) * F.log(small(left / t) / F.col("rest_q")) > (n + 1) * 0.5 * cost
+    return of.select("ctx", "t", diverges.alias("keep"), "rest")
+
+
+def _most_frequent(rows: DataFrame, rank: str, most: int) -> int:
+    """The least rank that at most `most` rows reach: a count up to 1023, beyond that a power of two."""
+    r = F.col(rank)
+    bucket = F.when(r < 1024, r).otherwise(1014 + F.floor(F.log2(r.cast("double"))))
+    reach, least = 0, 1 << 62
+    for row in rows.groupBy(bucket.alias("b")).count().orderBy(F.desc("b")).collect():  # at most 1,077 rows
+        reach += row["count"]
+        if reach > most:
+            break
+        least = row["b"] if row["b"] < 1024 else 1 << (row["b"] - 1014)
+    return least
+
+
+def train_tree(train: DataFrame, head: int = HEAD, depth: int | None = None) -> tuple[dict, DataFrame]:
+    """The tree, of which at most `head` contexts and `head` entries are in arrays and the rest in tables, and the table (h, c) of all symbol counts.
+
+    `train`: documents, or what `tokenised` makes of them.
+    """
+    spark, depth = train.sparkSession, DEPTH if depth is None else depth
+    own = None if "tokens" in train.columns else tokenised(train)
+    tokens = train if own is None else own
+    parts = max(12, (tokens.agg(F.sum("n")).first()[0] or 0) // PART + 1)
+    none = spark.sparkContext.broadcast([])
+    counted = [keep(string_counts(tokens, none, parts, 1), "lm-words")]
+    words = counted[0].withColumnRenamed("key", "h")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = words.where(F.col("c") >= total * P_WORD).toArrow()  # at most 1 / P_WORD rows
     h, c = frequent["h"].to_numpy(), frequent["c"].to_numpy()
-    order = np.lexsort((h, -c))
+    order = np.argsort(h)
     h, c = h[order], c[order]
     norm = total + 0.1 * (distinct + 1)
-    root = (c + 0.1) / norm
+    filters: list = []
+    while len(counted) <= depth + 1:  # bitmaps of the strings of as many words as there are tables
+        level = counted[-1]
+        often, very = (level.where(F.col("c") >= least).select("key") for least in (MIN_ENTRY, MIN_CONTEXT))
+        n_often, n_very = level.agg(F.count_if(F.col("c") >= MIN_ENTRY), F.count_if(F.col("c") >= MIN_CONTEXT)).first()
+        if not n_often:
+            break
+        last = len(counted) == depth + 1 or not n_very
+        filters.append((key_bitmap(often, n_often, BITS), None if last else key_bitmap(very, n_very, BITS)))
+        if last:
+            break
+        shared = spark.sparkContext.broadcast(filters)
+        counted.append(keep(string_counts(tokens, shared, parts, MIN_ENTRY), f"lm-count{len(counted)}"))
+        shared.destroy()
+        collect_shuffles(spark)
+    while filters and filters[-1][1] is not None:  # the longest contexts have no entries that come often
+        filters[-1] = (filters[-1][0], None)
     below = words.select(F.col("h").alias("key"), ((F.col("c") + 0.1) / F.lit(float(norm))).alias("p"))
-    filters, tree = [(_bitmap(words.where(F.col("c") >= MIN_CONTEXT).select(F.col("h").alias("key")), many), None)] if many else [], []
-    while filters and len(tree) < len(filters) and len(tree) < LEVELS:
+    tree, spent = [], []
+    if len(filters) > 1:
         shared = spark.sparkContext.broadcast(filters)
-        counted = keep(_count(train, shared, len(tree)), f"lm-count{len(tree)}")
-        contexts, entries = _test(counted, below, total)
-        contexts = keep(contexts, f"lm-contexts{len(tree)}")
-        p = F.when(F.col("keep"), (F.col("c") - DISCOUNT) / F.col("t") + F.col("rest") * F.col("q")).otherwise(F.col("q"))
-        entries = keep(entries.join(contexts, "ctx").select("key", "c", "keep", p.alias("p")), f"lm-entries{len(tree)}")
-        tree.append((contexts.where("keep").select("ctx", "t", F.log10("rest").alias("v")), entries.where("keep").select("key", "c", F.log10("p").alias("v"))))
-        often, grow = counted.where((F.col("c") >= MIN_CONTEXT) & F.col("key").isNotNull()).select("key"), contexts.where("grow").select(F.col("ctx").alias("key"))
-        if n := grow.count():
-            filters.append((_bitmap(often, often.count()), _bitmap(grow, n)))
-        shared.unpersist()
-        below = entries
-    model = {"total": total, "distinct": distinct, "norm": norm, "numbers": dict(zip(h.tolist(), range(len(h)), strict=True)), "h": h, "log_root": np.log10(root), "root": root, "filters": filters, "least": total * P_WORD, "tails": []}
+        every = keep(_entries(tokens, shared, parts), "lm-entries")
+        shared.destroy()
+        for k in range(1, len(filters)):
+            own_level = every.where(F.col("level") == k).drop("level").join(counted[k], "key")
+            own_level = keep(own_level, f"lm-level{k}")
+            contexts = keep(_test(own_level, below, counted[k - 1], total), f"lm-contexts{k}")
+            p = F.when(F.col("keep"), (F.col("c") - DISCOUNT) / F.col("t") + F.col("rest") * F.col("q")).otherwise(F.col("q"))
+            entries = own_level.join(below.select(F.col("key").alias("sfx"), F.col("p").alias("q")), "sfx").join(contexts, "ctx").select("key", "c", "keep", p.alias("p"))
+            entries = keep(entries, f"lm-probabilities{k}")
+            tree.append((contexts.where("keep").select("ctx", "t", F.log10("rest").alias("v")), entries.where("keep").select("key", "c", F.log10("p").alias("v"))))
+            discard(own_level)
+            spent += [contexts, entries]
+            below = entries.select("key", "p")
+            collect_shuffles(spark)
+        spent.append(every)
+    model = {"total": total, "distinct": distinct, "norm": norm, "numbers": range(len(h)), "h": h, "log_root": np.log10((c + 0.1) / norm), "filters": filters, "least": total * P_WORD, "tails": []}
     for name, value, rank, which in (("c1", "rest1", "t", 0), ("k1", "e1", "c", 1)):
-        parts = [level[which].toDF("key", rank, "v") for level in tree]
-        every = reduce(DataFrame.unionByName, parts) if parts else None
-        n = every.count() if parts else 0
+        level_rows = [level[which].toDF("key", rank, "v") for level in tree]
+        every = reduce(DataFrame.unionByName, level_rows) if level_rows else None
+        n = every.count() if level_rows else 0
         tail = None
         if n > head:
-            top = keep(every.orderBy(F.desc(rank), "key").limit(head), "lm-head")
-            tail = keep(every.join(top.select("key"), "key", "left_anti").select("key", "v"), "lm-tail")
-            every = top
+            least = _most_frequent(every, rank, head)
+            tail = keep(every.where(F.col(rank) < least).select("key", "v"), "lm-tail")
+            every = every.where(F.col(rank) >= least)
         got = every.select("key", "v").toArrow() if n else pa.table({"key": pa.array([], pa.int64()), "v": pa.array([], pa.float64())})
         k, v = got["key"].to_numpy(), got["v"].to_numpy()
         o = np.argsort(k)
-        model |= {name: k[o], value: 10 ** v[o] if which == 0 else v[o], f"{name}_tail": None if tail is None else _bitmap(tail.select("key"), n - head)}
+        model |= {name: k[o], value: 10 ** v[o] if which == 0 else v[o], f"{name}_tail": None if tail is None else key_bitmap(tail.select("key"), max(1, n - len(k)), BITS)}
         model["tails"].append(tail)
+    discard(*counted[1:], *spent, *([own] if own is not None else []))
     return model, words
 
 
@@ -259,73 +390,95 @@ def _look(keys: np.ndarray, m: dict, name: str, values: np.ndarray) -> tuple[np.
     at, there = _find(m[name], keys)
     v = np.where(there, values[at], 0.0) if len(values) else np.zeros(len(keys))
     tail = m[f"{name}_tail"]
-    return v, there, ~there & _hit(tail, keys) if tail is not None else np.zeros(len(keys), bool)
+    return v, there, ~there & in_bitmap(tail, keys) if tail is not None else np.zeros(len(keys), bool)
 
 
-def _score(x: np.ndarray, m: dict) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, list]:
-    """(base, log probabilities, whether the root is in them or not called for, whether the tail is asked, what it is asked) of the tokens.
-
-    `x` has -1 - hash for the words without a number.
-    """
-    known = x >= 0
-    h = np.where(known, m["h"][np.where(known, x, 0)], -1 - x) if len(m["h"]) else -1 - x
-    p = np.where(known, m["log_root"][np.where(known, x, 0)], 0.0) if len(m["h"]) else np.zeros(len(x))
-    base, done, ask = float(p[known].sum()), known.copy(), np.zeros(len(x), bool)
-    first, levels = p.copy(), []
-    for k, (ctx, key, _, at) in enumerate(_walk(h, m["filters"])):
+def _score(h: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """(whether the word has a number, its root, log probabilities, whether the root is in them or not called for, whether the tail is asked, what it is asked) of the tokens."""
+    at, known = _find(m["h"], h)
+    root = np.where(known, m["log_root"][at], 0.0) if len(m["h"]) else np.zeros(len(h))
+    p, done, ask, levels = root.copy(), known.copy(), np.zeros(len(h), bool), []
+    asks = m["c1_tail"] is not None or m["k1_tail"] is not None
+    e_at, has = np.zeros(len(h)), np.zeros(len(h), bool)
+    for k, (behind, ctx, pos, key, _, _) in enumerate(_walk(h, m["filters"]), 1):
         rest, kept, far = _look(ctx, m, "c1", m["log_rest"])
         e, there, far_e = _look(key, m, "k1", m["e1"])
-        p[at] = np.where(there, e, p[at] + rest)
-        done[at] |= there
-        ask[at] |= far | far_e
-        if m["c1_tail"] is not None or m["k1_tail"] is not None:
-            levels.append((at, np.full(len(at), k + 1), ctx, key, np.where(kept, rest, np.nan), np.where(there, e, np.nan)))
+        has[behind] = False
+        has[pos], e_at[pos] = there, e
+        there = has[behind]
+        p[behind] = np.where(there, e_at[behind], p[behind] + rest)
+        done[behind] |= there
+        if asks:
+            far_at = np.zeros(len(h), bool)
+            far_at[pos] = far_e
+            ask[behind] = ~there & (ask[behind] | far | far_at[behind])  # a known entry makes what is asked of shorter contexts idle
+            keys = -1 - np.arange(len(h))  # no two absent entries share a key
+            keys[pos] = key
+            levels.append((behind, np.full(len(behind), k), ctx, keys[behind], np.where(kept, rest, np.nan), np.where(there, e_at[behind], np.nan)))
     asked = []
     if ask.any():
         at = np.flatnonzero(ask)
-        levels.append((at, np.zeros(len(at), np.int64), np.full(len(at), -1), h[at], np.full(len(at), np.nan), np.where(known[at], first[at], np.nan)))
+        levels.append((at, np.zeros(len(at), np.int64), -1 - at, h[at], np.full(len(at), np.nan), np.where(known[at], root[at], np.nan)))
         asked = [np.concatenate([v[i][ask[v[0]]] for v in levels]) for i in range(6)]
-    return base, p, done, ask, asked
+    return known, root, p, done, ask, asked
 
 
 def score_tokens(x: np.ndarray, m: dict) -> tuple[float, float, int]:
-    """(base, score, known) of the numbered tokens of one document by the head of the tree, without the root probabilities of those that have no number."""
-    base, p, _, _, _ = _score(x, m if "log_rest" in m else m | {"log_rest": np.log10(m["rest1"])})
-    return base, float(p.sum()), int((x >= 0).sum())
+    """(base, score, known) of one document's symbols by the head of the tree, without the root probabilities of those that have no number.
+
+    `x`: numbers of frequent words, -1 - hash for others.
+    """
+    h = np.where(x >= 0, m["h"][np.where(x >= 0, x, 0)], -1 - x) if len(m["h"]) else -1 - x
+    known, root, p, _, _, _ = _score(h, m if "log_rest" in m else m | {"log_rest": np.log10(m["rest1"])})
+    return float(root[known].sum()), float(p.sum()), int(known.sum())
 
 
 _ASKED = ("pos", "k", "ctx", "key", "rest", "p")
 
 
 def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10) -> DataFrame:
-    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    `docs`: documents, or what `tokenised` makes of them.
+    """
+    docs = docs if "tokens" in docs.columns else tokenised(docs)
     contexts, entries = model["tails"]
-    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "tails"} | {"log_rest": np.log10(model["rest1"])})
+    shared = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k not in ("tails", "numbers")} | {"log_rest": np.log10(model["rest1"])})
     asks = contexts is not None or entries is not None
 
     def local(batches):
-        m = shared.value
-        lookup, row = _Numbers(m["numbers"]), TaskContext.get().partitionId() << 40
+        m, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                out = []
-                for t in utf8(batch.column(1).slice(lo, 512)):
-                    x = lookup.of(t)
-                    base, p, done, ask, asked = _score(x, m)
-                    rare, place, times = np.unique(-1 - x[x < 0], return_inverse=True, return_counts=True)
-                    full = np.bincount(place, (~done & ~ask)[x < 0], len(rare)).astype(np.int32)
-                    out.append((row, len(x), int((x >= 0).sum()), base, float(p[~ask].sum()), rare, times.astype(np.int32), full, asked or [np.zeros(0, np.int64)] * 4 + [np.zeros(0)] * 2))
-                    row += 1
-                cols = list(zip(*out, strict=True))
-                lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in parts])]), pa.int32()), pa.array(np.concatenate(parts)))
+            done_rows = 0
+            for h in _stretches(batch, 1):
+                known, root, p, full_root, ask, asked = _score(h, m)
+                ends = np.flatnonzero(h == -1)
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                word = h >= 0
+                known &= word
+                p[~word] = 0.0
+                sums = lambda v: np.add.reduceat(v, starts)  # noqa: E731, B023
+                n = ends - starts
+                of = np.cumsum(~word) - ~word  # the document of each place
+                rare = np.flatnonzero(word & ~known)
+                u, where, times = np.unique(np.stack([of[rare], h[rare]]), axis=1, return_inverse=True, return_counts=True) if len(rare) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                to_root = np.bincount(where.reshape(-1), (~full_root & ~ask)[rare], u.shape[1]).astype(np.int32)
+                cuts = lambda docs_of: pa.array(np.searchsorted(docs_of, np.arange(len(n) + 1)), pa.int32())  # noqa: E731, B023
+                lists = [pa.ListArray.from_arrays(cuts(u[0]), pa.array(v)) for v in (u[1], times.astype(np.int32), to_root)]
+                if asks:
+                    asked = asked or [np.zeros(0, np.int64)] * 4 + [np.zeros(0)] * 2
+                    order = np.argsort(of[asked[0]], kind="stable")
+                    lists += [pa.ListArray.from_arrays(cuts(of[asked[0]][order]), pa.array(a[order])) for a in asked]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 512), *[pa.array(c, pa.int64()) for c in cols[:3]], *[pa.array(c, pa.float64()) for c in cols[3:5]], *[lists(c) for c in cols[5:8]], *[lists([a[i] for a in cols[8]]) for i in range(6) if asks]],
+                    [batch.column(0).slice(done_rows, len(n)), pa.array(row + np.arange(len(n))), pa.array(n), pa.array(sums(known.astype(np.int64))), pa.array(sums(np.where(known, root, 0.0))), pa.array(sums(np.where(ask, 0.0, p))), *lists],
                     ["doc_id", "row", "n_tokens", "known", "base", "full", "rare", "times", "to_root", *[f"ask_{a}" for a in _ASKED if asks]],
                 )
+                row += len(n)
+                done_rows += len(n)
 
     # the row numbers hold from here on, since the rows are written
     more_cols = "".join(f", ask_{a} array<{'double' if a in ('rest', 'p') else 'long'}>" for a in _ASKED if asks)
-    rows = keep(docs.select("doc_id", "text").mapInArrow(local, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, known long, base double, full double, rare array<long>, times array<int>, to_root array<int>{more_cols}"), "lm-local")
+    rows = keep(docs.select("doc_id", "tokens").mapInArrow(released(local), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, n_tokens long, known long, base double, full double, rare array<long>, times array<int>, to_root array<int>{more_cols}"), "lm-local")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times", "to_root")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("n"), F.col("r.to_root").alias("m"))
     counts = words.where(F.col("c") < model["least"]).hint("shuffle_hash")
     c = F.coalesce("c", F.lit(0))
@@ -357,5 +510,6 @@ def _asked(rows: DataFrame, contexts: DataFrame | None, entries: DataFrame | Non
 
 def assess(docs: DataFrame, out_of: int = 10) -> DataFrame:
     """Learn from the documents whose id is not held out, score all."""
-    model, words = train_tree(docs.where(~held_out(F.col("doc_id"), out_of)))
-    return score(docs, model, words, out_of)
+    tokens = tokenised(docs)
+    model, words = train_tree(tokens.where(~held_out(F.col("doc_id"), out_of)))
+    return score(tokens, model, words, out_of)

@@ -1,5 +1,8 @@
 """The suffix tree keeps what is frequent by count, whatever its share, and asks its tables for what is not in the head."""
 
+import math
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
@@ -42,3 +45,61 @@ def test_tables_give_what_the_head_gives(spark, monkeypatch, head, p_word):
     assert len(model["k1"]) <= head and len(model["c1"]) <= head and model["tails"][1] is not None
     got = scores(docs, model, words)
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=0, atol=1e-6) for i in want)
+
+
+def strings(texts):
+    """Every document as hashable symbols."""
+    return [[*t.lower().split(), None] for t in texts]
+
+
+def brute_tree(texts, depth):
+    """The suffix tree by counting every string: (probability of a symbol behind a history, counts by length)."""
+    docs = strings(texts)
+    counts = [Counter(tuple(d[i : i + n]) for d in docs for i in range(len(d) - n + 1)) for n in range(1, depth + 2)]
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    root = lambda s: (counts[0][(s,)] + 0.1) / (total + 0.1 * (distinct + 1))
+    tree = {}  # context -> (rest, {symbol: probability})
+
+    def p(history, symbol, longest):
+        for n in range(min(longest, len(history)), 0, -1):
+            c = tuple(history[len(history) - n :])
+            if c in tree:
+                rest, own = tree[c]
+                return own[symbol] if symbol in own else rest * p(history, symbol, n - 1)
+        return root(symbol)
+
+    for n in range(1, depth + 1):
+        behind = defaultdict(dict)
+        for s, c in counts[n].items():
+            if c >= suffix_lm.MIN_ENTRY and counts[n - 1][s[:-1]] >= suffix_lm.MIN_CONTEXT:
+                behind[s[:-1]][s[-1]] = c
+        new = {}
+        for ctx, own in behind.items():
+            t, q = counts[n - 1][ctx], {s: p(ctx, s, n - 1) for s in own}
+            left, rest_q = t - sum(own.values()), max(1 - sum(q.values()), 1e-12)
+            gain = sum(c * math.log(c / t / q[s]) for s, c in own.items()) + t * max(left / t, 1e-12) * math.log(max(left / t, 1e-12) / rest_q)
+            if gain > (len(own) + 1) * 0.5 * math.log(max(total, 2)):
+                rest = (left + suffix_lm.DISCOUNT * len(own)) / t
+                new[ctx] = (rest, {s: (c - suffix_lm.DISCOUNT) / t + rest * q[s] for s, c in own.items()})
+        tree |= new
+    return lambda text: sum(math.log10(p(d[:i], d[i], depth)) for d in strings([text]) for i in range(len(d))), tree
+
+
+def test_tree_equals_brute_force(spark):
+    docs = chain(spark)
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    texts += ["alpha beta gamma delta epsilon zeta eta"] * 40 + ["other beta gamma delta epsilon theta iota"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score, tree = brute_tree(texts, suffix_lm.DEPTH)
+    assert max(map(len, tree)) == 5 and len(tree) > 8
+    model, words = suffix_lm.train_tree(docs)
+    assert len(model["c1"]) == len(tree)
+    new = spark.createDataFrame([(0, "alpha beta gamma delta epsilon zeta"), (1, "beta gamma delta epsilon theta"), (2, "v1 v2 unseen v1"), (3, None), *[(10 + i, t) for i, t in enumerate(texts[:20])]], "doc_id long, text string")
+    got = scores(new, model, words)
+    for r in new.collect():
+        assert abs(got[r["doc_id"]][1] - score(r["text"] or "")) < 1e-6
+
+
+def test_held_out_documents_gain(spark, data):
+    got = suffix_lm.assess(spark.read.parquet(f"{data}/documents.parquet")).where("held_out").collect()
+    assert len(got) > 5 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
