@@ -24,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset on a local master (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="quaymark-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -38,14 +40,14 @@ def _drop(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
 
     The files go when the process ends, or with `discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quaymark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path

@@ -2,14 +2,16 @@
 
 The words of each source form one stream, cut into blocks of `block` words.  Water-filling gives each
 source a target: shares by weight, stopped at `cap` times the source's size, the excess reshared.  A source
-gets as many slots as its target needs; multinomial draws deal them to output shards.  Slot numbers go
+gets as many slots as its target needs.  Each output shard draws how many it takes of each source from a multinomial;
+what the draws miss of the targets is put right by a few exchanges between sources.  Slot numbers go
 through a pseudorandom permutation of the source's block numbers, once for each turn through the source,
 and a join by block number brings the document spans.  The last slot of a source is cut so that its words
 meet the rounded target; the short block at the end of a stream comes last in each turn.
 
 Nothing depends on the run: seeds are hashes of source names, the order of a stream is a hash of the ids.
 Streams are numbered by a two-level running sum, so that a source with a third of all rows is spread over
-many tasks.  One row for each source is gathered in one place to rank the names.
+many tasks.  One row for each source is gathered in one place to rank the names, and one number for each source is
+broadcast for the draws; more than `MOST_SOURCES` sources are an error.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source, ranked last; equal
 rows are separate documents; an empty table gives an empty mix; other columns are ignored (`mixed_texts`
@@ -26,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import WORD, keep, running_sum, utf8
+from quaymark.llm.common import WORD, free_name, keep, running_sum, utf8
+
+MOST_SOURCES = 1 << 20
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -70,30 +74,59 @@ def _seed(source: str | None, seed: int) -> int:
 
 
 def draw(goals: DataFrame, shards: int, block: int, seed: int) -> DataFrame:
-    """(source, shard, first_slot, n_slots): each source's slots, dealt to shards by one multinomial draw."""
+    """(source, size, want, shard, n_slots, first_slot): how many slots of each source each output shard gets.
+
+    Shards have equal sizes.  Each draws its source counts from a multinomial whose shares are those of the sources'
+    slots.  The draws miss the sources' totals by a little: sources drawn too often give slots back, here and there in a
+    fixed pseudorandom order, and sources drawn too rarely take these places, so that shards keep their sizes.
+    """
+    spark, size = goals.sparkSession, F.col("source_size")
+    want = F.least(F.floor(F.col("target") + 0.5), 2 * size)
+    per_turn = F.floor(size / block) + (size % block > 0).cast("long")
+    n = F.floor(want / size) * per_turn + F.ceil(want % size / block)
+    plan = goals.where("source_size > 0 and target >= 0.5").select(F.col("source").cast("string").alias("source"), size.alias("size"), want.cast("long").alias("want"), n.cast("long").alias("slots"))
+    plan = keep(plan.withColumn("number", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long") - 1), "mix-plan")
+    if plan.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    slots_of = plan.select("number", "slots").toArrow().sort_by("number")["slots"].to_numpy()  # one number for each source
+    total, shares = int(slots_of.sum()), spark.sparkContext.broadcast(slots_of / max(1, slots_of.sum()))
 
     def deal(batches):
         for batch in batches:
-            for source, size, target in zip(*[batch.column(c).to_pylist() for c in ("source", "source_size", "target")], strict=True):
-                if not size or target < 0.5:
-                    continue
-                want = min(int(target + 0.5), 2 * size)
-                full, tail = divmod(size, block)
-                turns, rest = divmod(want, size)
-                n = turns * (full + (tail > 0)) + -(-rest // block)
-                rng = np.random.Generator(np.random.PCG64(_seed(source, seed)))
-                counts = rng.multinomial(n, np.full(shards, 1 / shards)) if n > shards // 8 else np.bincount(rng.integers(shards, size=n), minlength=shards)
-                first = np.cumsum(counts) - counts
+            for shard in batch.column(0).to_pylist():
+                counts = np.random.Generator(np.random.PCG64([seed, shard])).multinomial(total // shards + (shard < total % shards), shares.value)
                 some = np.flatnonzero(counts)
-                for at in range(0, len(some), 100_000):
-                    s = some[at : at + 100_000]
-                    m = len(s)
-                    yield pa.RecordBatch.from_pydict({"source": pa.array([source] * m, pa.string()), "size": pa.array([size] * m), "want": pa.array([want] * m), "shard": s, "first_slot": first[s], "n_slots": counts[s]})
-
-    return goals.select(F.col("source").cast("string").alias("source"), "source_size", "target").mapInArrow(deal, "source string, size long, want long, shard long, first_slot long, n_slots long")
-
-
-def slots(draws: DataFrame, block: int, seed: int) -> DataFrame:
+                yield pa.RecordBatch.from_pydict({"number": some, "shard": np.full(len(some), shard), "n": counts[some]})
+
+    drawn = keep(spark.range(0, shards if total else 0, 1, max(1, min(shards, 256))).mapInArrow(deal, "number long, shard long, n long"), "mix-drawn")
+    off = keep(plan.join(drawn.groupBy("number").agg(F.sum("n").alias("got")), "number", "left").select("number", (F.coalesce("got", F.lit(0)) - F.col("slots")).alias("off")), "mix-off")
+    over = running_sum(drawn.join(off.where("off > 0"), "number"), ["number"], ["shard"], F.col("n"), "before")
+    back = over.select("number", "shard", F.greatest(F.lit(0), F.least("n", F.col("off") - F.col("before"))).alias("n")).where("n > 0")
+    back = keep(running_sum(back, [], ["number", "shard"], F.col("n"), "place"), "mix-back")
+    lacking = off.where("off < 0").select("number", (-F.col("off")).alias("n")).toArrow().sort_by("number")  # at most one number for each source
+    takers = spark.sparkContext.broadcast((lacking["number"].to_numpy(), np.cumsum(lacking["n"].to_numpy())))
+
+    def take(batches):
+        number, ends = takers.value
+        for batch in batches:
+            rows = []
+            for shard, n, place in zip(*[batch.column(c).to_pylist() for c in ("shard", "n", "place")], strict=True):
+                k = int(np.searchsorted(ends, place, "right"))
+                while n:
+                    m = min(n, int(ends[k]) - place)
+                    rows.append((int(number[k]), shard, m))
+                    n, place, k = n - m, place + m, k + 1
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("number", "shard", "n"), cols, strict=True)})
+
+    given = back.select("shard", "n", "place").mapInArrow(take, "number long, shard long, n long")
+    every = drawn.unionByName(back.select("number", "shard", (-F.col("n")).alias("n"))).unionByName(given)
+    every = every.groupBy("number", "shard").agg(F.sum("n").alias("n_slots")).where("n_slots > 0")
+    out = keep(running_sum(every, ["number"], ["shard"], F.col("n_slots"), "first_slot"), "mix-draws")
+    return out.join(plan, "number").select("source", "size", "want", "shard", "first_slot", "n_slots")
+
+
+def slots(draws: DataFrame, block: int, seed: int, tasks: int) -> DataFrame:
     """(source, shard, slot, turn, block, words): where each slot points and how many words it takes of its block."""
 
     def point(batches):
@@ -114,7 +147,7 @@ def slots(draws: DataFrame, block: int, seed: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"source": pa.array([source] * m, pa.string()), "shard": np.full(m, shard), "slot": slot, "turn": turn, "block": to, "words": words})
 
     # a draw is a short row that stands for many slots: deal the rows out before they grow
-    return draws.repartition(F.xxhash64("source", "shard")).mapInArrow(point, "source string, shard long, slot long, turn long, block long, words long")
+    return draws.repartition(tasks, F.xxhash64("source", "shard")).mapInArrow(point, "source string, shard long, slot long, turn long, block long, words long")
 
 
 def place(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -132,7 +165,7 @@ def mix(places: DataFrame, block: int = 128, shard_words: int = 1 << 20, seed: i
     goals = keep(targets(places.groupBy("source").agg(F.sum("size").alias("source_size")), **aim), "mix-goals")
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     shards = max(1, int(total // shard_words) + 1)
-    drawn = slots(draw(goals, shards, block, seed), block, seed)
+    drawn = slots(draw(goals, shards, block, seed), block, seed, max(32, int(total // block // 100_000)))
     last = F.col("start") + F.col("size") - 1
     pieces = places.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))).alias("block"))
     pieces = pieces.withColumn("from_word", F.greatest(F.lit(0), F.col("block") * block - F.col("start"))).withColumn("begin", F.col("start") + F.col("from_word") - F.col("block") * block)
@@ -181,12 +214,14 @@ def mixed_texts(docs: DataFrame, **params) -> DataFrame:
     places = place(docs, [key.alias("text_key")])
     _, spans = mix(places, **params)
     rows = spans.groupBy("source", "start", "turn", "doc_id", "text_key").agg(F.collect_list(F.struct(F.col("from_word").alias("a"), F.col("to_word").alias("b"))).alias("spans"))
-    rows = rows.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("text_key").alias("__k"), "spans")
-    texts = docs.withColumn("__key", key)
+    own = [free_name(docs, n) for n in ("mix_doc", "mix_source", "mix_text", "mix_key", "mix_spans")]
+    d, src, k, text_key, taken_spans = own
+    rows = rows.select(F.col("doc_id").alias(d), F.col("source").alias(src), F.col("text_key").alias(k), F.col("spans").alias(taken_spans))
+    texts = docs.withColumn(text_key, key)
     if not places.groupBy("doc_id", "source", "text_key").count().where("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["doc_id", "source", "__key"])  # equal rows have a decision each, and share their text
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k"))
-    out = texts.join(rows, same).withColumn("text", F.arrow_udf(_cut, "string")("text", "spans"))
+        texts = texts.dropDuplicates(["doc_id", "source", text_key])  # equal rows have a decision each, and share their text
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").cast("string").eqNullSafe(F.col(src)) & (F.col(text_key) == F.col(k))
+    out = texts.join(rows, same).withColumn("text", F.arrow_udf(_cut, "string")("text", taken_spans))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

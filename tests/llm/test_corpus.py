@@ -143,6 +143,47 @@ def test_mix_meets_targets(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter(map(tuple, again))
 
 
+def test_shards_draw_and_totals_hold(spark):
+    goals = spark.createDataFrame([("a", 5000, 7500.0), ("b", 3001, 800.4), (None, 77, 154.0), ("c", 10, 0.2), ("d", 0, 0.0)], "source string, source_size long, target double")
+    block, shards = 16, 9
+    got = mixing.draw(goals, shards, block, 7).collect()
+    slots = {}
+    for source, size, target in (("a", 5000, 7500.0), ("b", 3001, 800.4), (None, 77, 154.0)):
+        want = min(int(target + 0.5), 2 * size)
+        slots[source] = want // size * -(-size // block) + -(-(want % size) // block)
+    by_source, by_shard, at = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        by_source[r["source"]] += r["n_slots"]
+        by_shard[r["shard"]] += r["n_slots"]
+        at[r["source"]].append((r["first_slot"], r["n_slots"]))
+    assert by_source == slots
+    total = sum(slots.values())
+    assert by_shard == {k: total // shards + (k < total % shards) for k in range(shards)}
+    for own in at.values():  # slot numbers of a source are used once each
+        assert sorted(i for first, n in own for i in range(first, first + n)) == list(range(sum(n for _, n in own)))
+    assert len({r["n_slots"] for r in got if r["source"] == "b"}) > 1  # drawn, not shared out evenly
+
+
+def test_slots_take_each_block_once_a_turn(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(1 + i * 7 % 40)), "ab"[i % 2]) for i in range(60)]
+    places = mixing.place(docs_of(spark, rows))
+    _, spans = mixing.mix(places, block=16, shard_words=300)
+    taken = collections.Counter()
+    for r in spans.collect():
+        assert 0 <= r["from_word"] < r["to_word"] <= r["size"] and r["to_word"] - r["from_word"] <= 16
+        for w in range(r["from_word"], r["to_word"]):
+            taken[r["doc_id"], r["turn"], w] += 1
+    assert max(taken.values()) == 1
+
+
+def test_mix_texts_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", "spans", 1, "k", "d"), (2, "d e", "s", "x", 2, "k", "d"), (None, None, None, None, None, None, None)], "doc_id long, text string, source string, spans string, __key int, mix_key string, mix_doc string")
+    out = mixing.mixed_texts(df)
+    assert out.columns == df.columns and {(r["doc_id"], r["spans"], r["__key"], r["mix_key"]) for r in out.collect()} <= {(1, "spans", 1, "k"), (2, "x", 2, "k")}
+    kept = ngram_join.keep_one(df.withColumn("__id", F.lit(5)).withColumn("kept_id", F.lit("x")))
+    assert kept.columns == [*df.columns, "__id", "kept_id"] and kept.count() == 3
+
+
 def test_mix_texts_and_nothing(spark):
     docs = docs_of(spark, [(1, "a b\nc  d " * 90, "s"), (2, "e f g", "s"), (3, None, None)])
     out = mixing.mixed_texts(docs, block=16)
@@ -363,6 +404,24 @@ def test_archive_notices_changed_bytes(spark, tmp_path):
 # pipeline
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns and an empty table go through all stages."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{k}" for k in range(80)) + "."
+    rows = [(1, good, "en", "a", 5, "x"), (1, good, "en", "a", 5, "x"), (2, "", None, None, None, None), (None, None, None, None, None, None), (3, good + " tail", "en", None, 1, "y"), (4, "other " + good.replace("word", "term"), "de", "b", 2, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sequence_id string"
+    spark.createDataFrame([(1, 1, 0), (4, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, docs in (("rows", spark.createDataFrame(rows, schema)), ("none", spark.createDataFrame([], schema))):
+        for stage, f in corpus_pipeline.STAGES:
+            before, docs = docs, f(spark, docs, str(tmp_path))
+            if stage != "packing":
+                assert docs.columns == before.columns
+        got = docs.collect()
+        assert {r["doc_id"] for r in got} == ({1, 4} if name == "rows" else set())
+        check_packing(got)
+
+
 def test_pipeline_stages(spark, data):
     """Each stage takes effect on all that the one before it kept."""
     import corpus_pipeline
