@@ -4,6 +4,11 @@ Toxic documents go, then documents that the quality rules reject, then all but o
 of near copies; what is left is mixed to the source targets and packed into sequences.  Each stage takes
 (spark, docs, sf_dir), where docs is all that the stage before it kept, and returns a DataFrame; `run` writes
 each result as Parquet in the shared folder and reads it again for the next stage.
+
+Defined cases: a null or empty text has no words and goes with the quality rules; a null source is a source; rows without an
+id are kept or dropped by their text alone; of equal rows one stays; labels that are null or lack an id are no
+labels; an empty table stays empty; columns of any other name come through all stages but the last, whose columns are
+those of the packing.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quaymark.llm import line_rules, mixing, ngram_join, packing, toxicity
-from quaymark.llm.common import keep, table
+from quaymark.llm.common import discard, keep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
