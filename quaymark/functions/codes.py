@@ -58,7 +58,7 @@ def _windows(s: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.substr(s, i, F.lit(size)))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value), with the value computed once for all places at which it is used."""
     return F.transform(F.array(value), use)[0]
 
@@ -71,7 +71,7 @@ def _codes_at_every_place(s: Column, size: int) -> Column:
         found = F.transform(starts, lambda i: F.concat(F.substr(x["l"], i, F.lit(3)), F.lit("U"), F.substr(x["d"], i + 4, F.lit(size - 4))))
         return F.filter(found, lambda c: c.rlike(f"^[A-Z]{{4}}[0-9]{{{size - 4}}}$"))
 
-    return _let(F.struct(as_letters(s).alias("l"), as_digits(s).alias("d")), codes)
+    return let(F.struct(as_letters(s).alias("l"), as_digits(s).alias("d")), codes)
 
 
 def _distinct(codes: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.functions.codes import let
 from quaymark.operators.ranking import top
 
 
@@ -107,14 +108,18 @@ GAUSSIAN_7 = (0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125)
 
 def smoothed(profile: Column) -> Column:
     """The profile under a Gaussian of seven places, mirrored at both ends."""
-    n = F.size(profile)
-    span = F.greatest(n - 1, F.lit(1))
 
-    def at(i: Column) -> Column:
-        inside = F.abs(i) % (span * 2)
-        return F.coalesce(F.try_element_at(profile, F.when(inside < n, inside).otherwise(span * 2 - inside) + 1), profile[0]).cast("double")
+    def blur(own: Column) -> Column:
+        n = F.size(own)
+        span = F.greatest(n - 1, F.lit(1))
 
-    return F.transform(profile, lambda v, i: sum((at(i + k - 3) * w for k, w in enumerate(GAUSSIAN_7)), F.lit(0.0)))
+        def at(i: Column) -> Column:
+            inside = F.abs(i) % (span * 2)
+            return F.coalesce(F.try_element_at(own, F.when(inside < n, inside).otherwise(span * 2 - inside) + 1), own[0]).cast("double")
+
+        return F.transform(own, lambda v, i: sum((at(i + k - 3) * w for k, w in enumerate(GAUSSIAN_7)), F.lit(0.0)))
+
+    return let(profile, blur)
 
 
 def split_at_valleys(profile: Column, start: Column, end: Column, parts: Column) -> Column:
@@ -130,15 +135,16 @@ def split_at_valleys(profile: Column, start: Column, end: Column, parts: Column)
     least = F.greatest(F.lit(10), F.floor(length / F.greatest(parts * 2, F.lit(2))).cast("int"))
     reach = F.greatest(F.lit(6), F.floor(length / F.greatest(parts * 3, F.lit(3))).cast("int"))
 
-    def cut(done: Column, k: Column) -> Column:
+    def cut(done: Column, k: Column, near: Column) -> Column:
         goal = F.bround(length * k / parts.cast("double")).cast("int")
         lo, hi = F.greatest(F.element_at(done, -1) + least, goal - reach), F.least(length - (parts - k) * least, goal + reach)
         places = F.sequence(lo, F.greatest(lo, hi - 1))
         weakest = F.array_min(F.transform(places, lambda p: F.struct(F.try_element_at(near, p + 1).alias("v"), p.alias("p"))))["p"]
         return F.concat(done, F.array(F.when(hi <= lo, goal).otherwise(weakest)))
 
-    cuts = F.concat(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), parts - 1)), F.array(F.lit(0)), cut), F.array(length))
-    pieces = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda a, i: F.struct((start + a).cast("int").alias("start"), (start + F.element_at(cuts, i + 2)).cast("int").alias("end")))
+    found = let(near, lambda own: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), parts - 1)), F.array(F.lit(0)), lambda done, k: cut(done, k, own)))
+    pair = lambda cuts: F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda a, i: F.struct((start + a).cast("int").alias("start"), (start + F.element_at(cuts, i + 2)).cast("int").alias("end")))
+    pieces = let(F.concat(found, F.array(length)), pair)
     tall = F.filter(pieces, lambda p: p["end"] - p["start"] >= 8)
     whole = F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
     return F.when((parts <= 1) | (length <= 0), whole).otherwise(F.when(F.size(tall) > 1, tall).otherwise(whole))
