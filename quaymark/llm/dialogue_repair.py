@@ -29,6 +29,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
     for batch in batches:
         number = batch.column("i").to_pylist()
-        heads = iter(batch.filter(pa.compute.equal(batch.column("i"), 0)).to_pylist())
+        heads = iter(batch.filter(pc.equal(batch.column("i"), 0)).to_pylist())
         for i, role, text in zip(number, batch.column("role").to_pylist(), utf8(batch.column("text")), strict=True):
             if i == 0:
                 yield from inserted()

@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def ranked(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
             if not batch.num_rows:
                 continue
             trees = batch.column(tree)
-            heads = np.flatnonzero(pa.compute.not_equal(trees.slice(1), trees.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)) + 1
+            heads = np.flatnonzero(pc.not_equal(trees.slice(1), trees.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)) + 1
             starts = np.concatenate([[0], heads])
             sizes = np.diff(np.append(starts, batch.num_rows))
             at = np.arange(batch.num_rows) - np.repeat(starts, sizes)
