@@ -10,12 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.plans import bench_queries, code_queries, layout_queries, reading_queries
+from quaymark.plans import bench_queries, code_queries, layout_queries, reading_queries, service_queries, strategy_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**bench_queries.QUERIES, **code_queries.QUERIES, **layout_queries.QUERIES, **reading_queries.QUERIES}
+    return {**bench_queries.QUERIES, **code_queries.QUERIES, **layout_queries.QUERIES, **reading_queries.QUERIES, **strategy_queries.QUERIES, **service_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**bench_queries.SQL, **code_queries.SQL, **layout_queries.SQL, **reading_queries.SQL}
+    return {**bench_queries.SQL, **code_queries.SQL, **layout_queries.SQL, **reading_queries.SQL, **strategy_queries.SQL, **service_queries.SQL}

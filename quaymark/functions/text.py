@@ -74,14 +74,24 @@ def mime(path: Column | str) -> Column:
     return F.coalesce(F.try_element_at(types, suffix(path)), F.lit("application/octet-stream"))
 
 
+#: Fixed value: what counts as white space at the ends of a reply, as a Java regex.
+SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
 def json_text(body: Column | str, path: str) -> Column:
-    """A trimmed string field, null where it is missing, blank or no string."""
+    """A string field without white space at its ends, null where it is missing, blank or no string."""
     value = F.try_variant_get(F.try_parse_json(col(body)), path, "variant")
-    return or_null(F.trim(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))))
+    return or_null(strip(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))))
 
 
 def _after_result(c: Column) -> Column:
-    return or_null(F.trim(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)RESULT\s*:\s*(.+)$", 1)))
+    """What follows RESULT: on the last line."""
+    return or_null(strip(F.regexp_extract(F.coalesce(c, F.lit("")), rf"(?id)RESULT{SPACE}*:{SPACE}*(.+)$", 1)))
 
 
 def result_text(body: Column | str, fallback: Column | str) -> Column:

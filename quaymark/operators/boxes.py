@@ -101,3 +101,9 @@ def check_votes(squares: DataFrame, zone_reads: DataFrame, keys: list[str]) -> D
     every = whole.where("rank <= 2").unionByName(inside.where("rank <= 2")).unionByName(zones).where("digit <> ''")
     order = F.row_number().over(Window.partitionBy(*keys).orderBy("zone_ord", "rank", "part"))
     return every.select(*keys, (order - 1).alias("ord"), "digit", "score", "source", "zone")
+
+
+def left_to_right(parts: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
+    """Components in reading order: `i` counts from 0 by their left edges; of equal ones the upper first."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(x, "y")) - 1
+    return parts.withColumn("i", place)

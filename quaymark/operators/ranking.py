@@ -44,3 +44,24 @@ def last_values(df: DataFrame, keys: list[str], order: str, columns: list[str])
 def distinct_in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key."""
     return best(df, keys, F.lit(0), [order])
+
+
+def numbered(df: DataFrame, order: str, out: str = "id", first: int = 1, ranges: int = 256) -> DataFrame:
+    """Append `out`: the number of each row in the order of `order`, from `first` on, with no task that holds all rows.
+
+    `ranges` bounds, taken from a sample of as many hundred values, cut the order into ranges; ranges are numbered inside
+    and start where the counts of the ranges before them end.  The bounds are plain values, so that any run of the plan
+    cuts alike; they decide the balance only, never the numbers.  `order` should be unique: equal values are numbered in any
+    order and stay in one range.  Nulls come first.
+    """
+    sample = df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order)).limit(100 * ranges)
+    values = sorted(r[0] for r in sample.collect())  # at most 100 * ranges values
+    bounds = sorted({values[len(values) * k // ranges] for k in range(1, ranges)}) if values else []
+    at = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(order))), F.lit(0)) if bounds else F.lit(0)
+    rows = df.withColumn("__range", F.when(F.col(order).isNull(), -1).otherwise(at))
+    counts = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    counts = counts.select(F.col("__range").alias("__r"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    rows = rows.withColumn("__i", inside).join(F.broadcast(counts), F.col("__range") == F.col("__r"))
+    return rows.withColumn(out, F.col("__before") + F.col("__i") + (first - 1)).drop("__range", "__r", "__before", "__i")

@@ -97,6 +97,41 @@ def shape_full(df: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("full_code") != "", "ok").otherwise(F.lower("status")))
 
 
+def shape_image(df: DataFrame, accept_other: bool = False) -> DataFrame:
+    """What the full-image reply says: the code, or NOT_FOUND; with `accept_other` the raw text stands in for NOT_FOUND."""
+    out = shape_full(df)
+    found = F.coalesce(F.nullif("full_code", F.lit("")), F.lit("NOT_FOUND"))
+    return out.withColumn("result", F.when(F.lit(accept_other) & (found == "NOT_FOUND"), F.coalesce("raw_text", F.lit(""))).otherwise(found))
+
+
+def shape_of(height: Column, width: Column, channels: Column | None = None) -> Column:
+    """[height, width, channels]; null where the image is missing."""
+    parts = [height, width] if channels is None else [height, width, channels]
+    known = height.isNotNull() & width.isNotNull()
+    return F.when(known, F.filter(F.array(*[p.cast("int") for p in parts]), lambda x: x.isNotNull()))
+
+
+def ratio_line(label: Column, name: Column, source: tuple[Column, Column], crop: tuple[Column, Column], box: Column) -> Column:
+    """The line that says how a crop's sides compare with its image's: (height, width) of both, and the box, which may be null."""
+    none = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    ratio = lambda h, w: none(F.when((h > 0) & (w > 0), F.round(w / h.cast("double"), 3)))
+    side = lambda a, b: F.when(box.isNotNull(), F.greatest(F.lit(0), box[b] - box[a]))
+    fields = {"label": label, "file": F.coalesce(name, F.lit("")), "src_h": none(source[0]), "src_w": none(source[1]), "src_ratio": ratio(*source), "crop_h": none(crop[0]), "crop_w": none(crop[1]), "crop_ratio": ratio(*crop)}
+    fields |= {"container_h": none(crop[0]), "container_w": none(crop[1]), "bbox_h": none(side("y1", "y2")), "bbox_w": none(side("x1", "x2"))}
+    return F.concat(F.lit("[crop-ratio]"), *[F.concat(F.lit(f" {k}="), v) for k, v in fields.items()])
+
+
+def first_valid_crop(results: DataFrame, keys: list[str], stop: bool = True, order: str = "crop") -> DataFrame:
+    """One result of each image from those of its crops, in order: the first with a valid code, else the best by rank.
+
+    With `stop` off the last valid one holds, as every crop is read.
+    """
+    valid = (F.col("base10") != "") & F.col("is_valid_iso")
+    rank = result_rank(F.col("score"), F.col("raw_text"), F.col("base10"), F.col("status"), F.col("is_valid_iso"))
+    place = F.col(order) if stop else -F.col(order)
+    return best(results.withColumn("__r", F.when(valid, F.lit(float("inf"))).otherwise(rank)), keys, "__r", [F.when(valid, place).otherwise(F.col(order))]).drop("__r")
+
+
 def shape_crop(df: DataFrame, accept_other: bool = False) -> DataFrame:
     """What the crop reply holds; with `accept_other` a NOT_FOUND result falls back to the candidate or the raw text."""
     out = shape_full(df).withColumn("candidate", F.col("full_code"))

@@ -84,12 +84,13 @@ def deepest_valley(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.deepest_valley(rows, ["user_id"], 20)
 
 
-@query("""with p as (select event_type, user_id as pos, count(*) as strength from events where event_id % 3 = 0 group by 1, 2), l as (select *, pos - row_number() over (partition by event_type order by pos) as g from p where strength >= 4),
+@query("""with p as (select event_type, user_id as pos, count(*) filter (event_id % 3 = 0) as strength from events group by 1, 2), l as (select *, pos - row_number() over (partition by event_type order by pos) as g from p where strength >= 4),
 r as (select event_type, min(pos) as start, max(pos) + 1 as "end" from l group by event_type, g), o as (select *, case when start - lag("end") over (partition by event_type order by start) <= 3 then 0 else 1 end as opens from r),
 m as (select *, sum(opens) over (partition by event_type order by start rows unbounded preceding) as grp from o), b as (select event_type, min(start) as start, max("end") as "end" from m group by event_type, grp having max("end") - min(start) >= 12)
 select b.event_type, b.start, b."end", cast(sum(p.strength) as bigint) as strength from b join p on p.event_type = b.event_type and p.pos >= b.start and p.pos < b."end" group by 1, 2, 3""")
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("event_type", F.col("user_id").alias("pos")).agg(F.count("*").alias("strength"))
+    pixels = _t(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("y"), F.when(F.col("event_id") % 3 == 0, 255).otherwise(0).alias("v"))
+    rows = bands.profile(pixels, ["event_type"], "y")
     return bands.text_rows(rows.withColumn("w", F.lit(50)).withColumn("h", F.lit(200)), ["event_type"], "w", "h").select("event_type", "start", "end", "strength")
 
 
@@ -206,9 +207,13 @@ def upload_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(_t(spark, sf_dir, "documents")).select("doc_id", evaluation.upload_role("path").alias("role"))
 
 
-@query(f"""with {_PATHS}, q as (select doc_id % 8 as g, list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x <> '')[1] as root from p) select case when count(distinct root) = 1 then 'uploaded:' || min(root) else 'uploaded:folder' end as dataset from q where g in (1, 2, 3)""")
+@query(f"""with {_PATHS}, q as (select list_filter(string_split(replace(path, '\\', '/'), '/'), lambda x: x <> '')[1] as root from p)
+select 'as they are' as paths, case when count(distinct root) = 1 then 'uploaded:' || min(root) else 'uploaded:folder' end as dataset from q union all select 'under one', 'uploaded:one' from q group by 1, 2 union all select 'none', 'uploaded:folder'""")
 def dataset_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.dataset_name(_paths(_t(spark, sf_dir, "documents")).where("doc_id % 8 in (1, 2, 3)"))
+    paths = _paths(_t(spark, sf_dir, "documents"))
+    named = lambda rows, name: evaluation.dataset_name(rows).select(F.lit(name).alias("paths"), "dataset")
+    under = paths.select(F.concat(F.lit("one/"), F.col("path")).alias("path"))
+    return named(paths, "as they are").unionByName(named(under, "under one")).unionByName(named(paths.where("path is null"), "none"))
 
 
 @query("""with n as (select 's' || doc_id as stem, doc_id, i as ord, 'L' || (doc_id * 7 + i) as v from labels, unnest(range(1, 3)) t(i)), m as (select stem, arg_max(v, ord) as label, arg_max(case when doc_id % 2 = 0 then v end, ord) as txt from n group by 1)

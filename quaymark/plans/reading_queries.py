@@ -165,13 +165,13 @@ def pick_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "base6", "check_digit", F.round("score", 9).alias("score"), "has_direct_full", "check_vote_count", F.round("check_margin", 9).alias("check_margin"))
 
 
-_SIDE = """sv as (select user_id, event_id as ord, cast(event_id % 10 as varchar) as digit, (event_id % 32) / 32.0::double as score, case event_id % 3 when 0 then 'square' when 1 then 'square_inner' else 'zone' end as source from events where event_id % 5 = 0)"""
+_SIDE = """sv as (select user_id, event_id as ord, cast(event_id % 10 as varchar) as digit, (event_id % 32) / 32.0::double as score, case event_id % 3 when 0 then 'square' when 1 then 'square_inner' else 'zone' end as source from events)"""
 
 
 def _side(events: DataFrame) -> DataFrame:
     i = F.col("event_id")
     source = F.when(i % 3 == 0, "square").when(i % 3 == 1, "square_inner").otherwise("zone")
-    return events.where(i % 5 == 0).select("user_id", i.alias("ord"), (i % 10).cast("string").alias("digit"), (i % 32 / 32.0).alias("score"), source.alias("source"))
+    return events.select("user_id", i.alias("ord"), (i % 10).cast("string").alias("digit"), (i % 32 / 32.0).alias("score"), source.alias("source"))
 
 
 @query(f"""with {_ORDERED}, {_SIDE}, own as (select c.*, case source when 'direct7' then score + 0.34::double when 'combo' then greatest(0, score * 0.74::double) else greatest(0, score * 0.66::double) end as weight from cand c join base using (user_id, base6) where check_digit <> ''),
@@ -255,18 +255,20 @@ def result_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ONE_LINE = """p as (select p_partkey as k, ['TCKU', 'MSKU', 'CSQU', 'TGHU'][p_partkey % 4 + 1] as t0, lpad(cast(p_partkey * 7919 % 10000000 as varchar), 7, '0') as t1, (p_partkey % 64) / 64.0::double as s0, (p_partkey * 7 % 64) / 64.0::double as s1, (p_partkey * 5 % 64) / 64.0::double as s2 from part)"""
 
 
-@query(f"""with {_ONE_LINE} select k, t0 || t1 as full_code, 'FULL_11' as status, cast({_CHECK.format(b="t0 || substr(t1, 1, 6)")} as varchar) = substr(t1, 7, 1) as is_valid_iso,
-round(s0 + case when k % 5 = 0 then 0.25::double else 0 end + 0.15::double + case when k % 2 = 0 then s1 + 0.24::double else s2 + 0.25::double end, 9) as score,
-t0 || ' ' || case when k % 2 = 1 and s1 + 0.04::double >= s2 + 0.15::double then substr(t1, 1, 6) else t1 end as raw_text from p""")
+@query(f"""with {_ONE_LINE}, x as (select *, k % 7 = 3 as short, case when k % 7 <> 3 then substr(t1, 7, 1) when k % 3 = 0 then '1' else '' end as d from p)
+select k, t0 || substr(t1, 1, 6) || d as full_code, case when d = '' then 'PARTIAL_10' else 'FULL_11' end as status, cast({_CHECK.format(b="t0 || substr(t1, 1, 6)")} as varchar) = d as is_valid_iso,
+round(s0 + case when k % 5 = 0 then 0.25::double else 0 end + 0.15::double + case when short then greatest(s1 + s2 + 0.09::double, case when k % 3 = 0 then 1.08::double else 0 end) when k % 2 = 0 then s1 + 0.24::double else s2 + 0.25::double end, 9) as score,
+t0 || ' ' || case when short or (k % 2 = 1 and s1 + 0.04::double >= s2 + 0.15::double) then substr(t1, 1, 6) else t1 end as raw_text from x""")
 def one_line_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = _t(spark, sf_dir, "part").select(k.alias("k"), F.element_at(F.array(*map(F.lit, ("TCKU", "MSKU", "CSQU", "TGHU"))), (k % 4 + 1).cast("int")).alias("t0"), _digits(k * 7919, 7).alias("t1"), (k % 64 / 64.0).alias("s0"), (k * 7 % 64 / 64.0).alias("s1"), (k * 5 % 64 / 64.0).alias("s2"))
     owner = rows.select("k", F.lit(0).alias("phase"), F.lit(0.0).alias("bonus"), F.lit(0).alias("ord"), F.col("t0").alias("text"), F.col("s0").alias("score"))
     owner = owner.unionByName(rows.where("k % 5 = 0").select("k", F.lit(1).alias("phase"), F.lit(0.0).alias("bonus"), F.lit(0).alias("ord"), F.col("t0").alias("text"), (F.col("s0") + 0.25).alias("score")))
-    zone = [F.lit(0).alias("zone"), F.lit(0.3).alias("zone_x"), F.lit(0).alias("ord")]
-    fast = rows.select("k", F.lit(0).alias("phase"), *zone, F.lit(0.0).alias("bonus"), F.when(F.col("k") % 2 == 0, F.col("t1")).otherwise(F.substring("t1", 1, 6)).alias("text"), F.col("s1").alias("score"))
-    hard = rows.select("k", F.lit(2).alias("phase"), *zone, F.lit(0.01).alias("bonus"), F.col("t1").alias("text"), F.col("s2").alias("score"))
+    zone, short = [F.lit(0).alias("zone"), F.lit(0.3).alias("zone_x"), F.lit(0).alias("ord")], F.col("k") % 7 == 3
+    fast = rows.select("k", F.lit(0).alias("phase"), *zone, F.lit(0.0).alias("bonus"), F.when((F.col("k") % 2 == 0) & ~short, F.col("t1")).otherwise(F.substring("t1", 1, 6)).alias("text"), F.col("s1").alias("score"))
+    hard = rows.select("k", F.lit(2).alias("phase"), *zone, F.lit(0.01).alias("bonus"), F.when(short, F.substring("t1", 1, 6)).otherwise(F.col("t1")).alias("text"), F.col("s2").alias("score"))
     votes = rows.where("k % 3 = 0").select("k", F.lit(0).alias("ord"), F.lit("1").alias("digit"), F.lit(0.9).alias("score"), F.lit("square").alias("source"))
+    votes = votes.unionByName(rows.select("k", F.lit(1).alias("ord"), F.lit("8").alias("digit"), F.lit(1.0).alias("score"), F.lit("zone").alias("source")))  # not asked in one line
     found = recognition.code_of_regions(owner, fast.unionByName(hard), votes, ["k"])
     return found.select("k", "full_code", "status", "is_valid_iso", F.round("score", 9).alias("score"), "raw_text")
 

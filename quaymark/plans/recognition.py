@@ -55,12 +55,13 @@ def _gate(rule, pick: str) -> Column:
     return rule(*[F.col(pick)[c] for c in ("base6", "check_digit", "has_direct_full", "check_vote_count", "check_margin")])
 
 
-def number_of(digit_tokens: DataFrame, side_votes: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
+def number_of(digit_tokens: DataFrame, side_votes: DataFrame, images: DataFrame, keys: list[str], resize: bool = True) -> DataFrame:
     """(keys, base6, check_digit, score, raw, has_direct_full, ..., vote_count, margin, direct_count, square_count).
 
     `digit_tokens`: token rows of all zones, with `phase` (0 fast, 1 enlarged, 2 hard), `zone` (its order), `zone_x` (where
     it begins, a share) and `bonus`.  A later phase counts only for images whose reading so far needs it; enlarged zones
-    from behind 0.30 do not count where one check digit at most has votes.  Side votes are asked under the last gate.
+    from behind 0.30 do not count where one check digit at most has votes.  Of the side votes the squares are asked, under
+    the last gate; readings of a whole zone have no voice here.  `resize` is the setting `enable_resize_digit_pass`.
     """
     at = [*keys, "phase", "zone", "zone_x"]
     found = voting.numeric_candidates(digit_tokens, at, F.col("bonus")).withColumn("ord", F.struct("phase", "zone", "ord"))
@@ -72,12 +73,13 @@ def number_of(digit_tokens: DataFrame, side_votes: DataFrame, images: DataFrame,
     rows = voting.with_pick(rows.withColumn("__c", phase(0)), "__c", "__one")
     narrow = (F.col("__one.check_digit") != "") & (F.col("__one.check_vote_count") <= 1)
     enlarged = F.filter(phase(1), lambda x: ~narrow | (x["zone_x"] <= 0.30))
-    rows = voting.with_pick(rows.withColumn("__c", F.when(_gate(needs_resize, "__one"), F.concat("__c", enlarged)).otherwise(F.col("__c"))), "__c", "__two")
+    rows = voting.with_pick(rows.withColumn("__c", F.when(F.lit(resize) & _gate(needs_resize, "__one"), F.concat("__c", enlarged)).otherwise(F.col("__c"))), "__c", "__two")
     rows = voting.with_pick(rows.withColumn("__c", F.when(_gate(needs_hard, "__two"), F.concat("__c", phase(2))).otherwise(F.col("__c"))), "__c", "__three")
     # one row for each image as it is; the aggregation keeps filters from being pushed below the picks, which would repeat them
     rows = rows.groupBy(*keys).agg(F.first(F.struct("__three", _gate(needs_square, "__three").alias("__ask"), "__c")).alias("__r")).select(*keys, "__r.*").select(*keys, "__three.*", "__ask", "__c")
     every = rows.select(*keys, F.explode_outer("__c").alias("__x")).select(*keys, "__x.*").where("base6 is not null")
-    resolved = voting.resolve_check_digit(rows.select(*keys, "base6"), every, side_votes, keys)
+    squares = side_votes.where(F.col("source").startswith("square"))
+    resolved = voting.resolve_check_digit(rows.select(*keys, "base6"), every, squares, keys)
     counts = ("vote_count", "margin", "direct_count", "square_count")
     resolved = resolved.select(*keys, F.col("check_digit").alias("__digit"), F.col("score").alias("__score"), *counts)
     out = rows.drop("__c").join(resolved, keys, "left").withColumn("__ask", F.col("__ask") & (F.coalesce("__digit", F.lit("")) != ""))
@@ -92,7 +94,7 @@ def longest_text(token_rows: DataFrame, keys: list[str], passes: list[str]) -> D
     return ranking.best(text, keys, F.length("text"), passes).select(*keys, "text")
 
 
-def code_of_regions(owner_tokens: DataFrame, digit_tokens: DataFrame, side_votes: DataFrame, keys: list[str]) -> DataFrame:
+def code_of_regions(owner_tokens: DataFrame, digit_tokens: DataFrame, side_votes: DataFrame, keys: list[str], resize: bool = True) -> DataFrame:
     """One-line images: owner zone, digit zones and votes from beside the number, to one result row.
 
     `owner_tokens` are token rows with `phase` and `bonus` (see `owner_of`), `digit_tokens` as `number_of` takes them; without
@@ -100,7 +102,7 @@ def code_of_regions(owner_tokens: DataFrame, digit_tokens: DataFrame, side_votes
     """
     owner_tokens, digit_tokens = _with_defaults(owner_tokens, phase=0, bonus=0.0), _with_defaults(digit_tokens, phase=0, zone=0, zone_x=0.3, bonus=0.0)
     images = owner_tokens.select(*keys).union(digit_tokens.select(*keys)).distinct()
-    owner, number = owner_of(owner_tokens, keys), number_of(digit_tokens, side_votes, images, keys)
+    owner, number = owner_of(owner_tokens, keys), number_of(digit_tokens, side_votes, images, keys, resize)
     passes = owner_tokens.select(*keys, F.lit(0).alias("part"), "phase", F.lit(0).alias("zone"), "ord", "text", "score").unionByName(digit_tokens.select(*keys, F.lit(1).alias("part"), "phase", "zone", "ord", "text", "score"))
     rows = _named(keys, images, owner, number, longest_text(passes, keys, ["phase", "part", "zone"]))
     full = F.col("owner").isNotNull() & (F.col("base6") != "")
@@ -110,34 +112,13 @@ def code_of_regions(owner_tokens: DataFrame, digit_tokens: DataFrame, side_votes
     return routing.shape_full(rows.select(*keys, raw.alias("raw_text"), F.when(full, F.concat("owner", "base6")).otherwise("").alias("base10"), F.when(full, F.col("check_digit")).otherwise("").alias("check_digit"), score.alias("score"), "vote_count", "margin", "direct_count", "square_count", "has_direct_full"))
 
 
-def code_of_split_door(left: DataFrame, right: DataFrame, owner_tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """A number that a door seam splits: owner above, four digits left, two and the check digit right."""
-    owner = tokens.best_owner(owner_tokens, keys).select(*keys, F.col("code").alias("owner"), F.col("final").alias("owner_score"), F.col("raw").alias("raw_text"))
-    quads = tokens.digit_chunks(left, keys, 4, 4)
-    tails = tokens.digit_chunks(right, keys, 2, 3, short_final=True)
-    number = voting.quads_and_tails(quads, tails, keys)
-    rows = owner.join(number, keys)
-    return routing.shape_full(rows.select(*keys, "raw_text", F.concat("owner", "base6").alias("base10"), "check_digit", F.least("owner_score", "score").alias("score")))
-
-
-def code_of_vertical(letters: DataFrame, digits: DataFrame, check: DataFrame, keys: list[str]) -> DataFrame:
-    """Symbols below each other, by segmentation or grid attempts (`attempt` is a key): the best attempt of each image."""
-    own = [*keys, "attempt"]
-    owner = tokens.best_owner(letters, own).select(*own, F.col("code").alias("owner"), F.col("final").alias("s1"), F.col("raw").alias("r1"))
-    number = tokens.best_number(digits, own).select(*own, "base6", F.col("check_digit").alias("c1"), F.col("final").alias("s2"), F.col("raw").alias("r2"))
-    last = tokens.best_digit(check, own).select(*own, "digit", F.col("final").alias("s3"))
-    rows = _named(own, owner.join(number, own, "full"), last)
-    full = F.col("owner").isNotNull() & F.col("base6").isNotNull()
-    rows = routing.shape_full(rows.select(*own, F.concat_ws(" ", "r1", "r2").alias("raw_text"), F.when(full, F.concat("owner", "base6")).otherwise("").alias("base10"), F.when(full, F.coalesce(F.nullif("c1", F.lit("")), "digit", F.lit(""))).otherwise("").alias("check_digit"), F.coalesce(F.least("s1", "s2"), F.lit(-1.0)).alias("score")))
-    return routing.best_attempt(rows, keys, "attempt")
-
-
-def code_of_any(token_rows: DataFrame, keys: list[str], side_votes: DataFrame | None = None, variant: str = "variant", stage: str | None = None) -> DataFrame:
+def code_of_any(token_rows: DataFrame, keys: list[str], side_votes: DataFrame | None = None, variant: str = "variant", stage: str | None = None, images: DataFrame | None = None) -> DataFrame:
     """Generic fallback over variants (prepared images), by one score: the best of each variant, then of all variants.
 
     In a variant full codes have 0.8 of the text's score and 0.2 of their quality, bases 0.02 less; a variant without
     either has half its best token score.  Variants of a later `stage` count only while nothing before gave a base.  If there
     is a base, the digit with most side votes replaces the check digit.  Validity is that of the code as it was read.
+    With `images`, all of them have a row: NOT_FOUND where nothing was read.
     """
     token_rows = token_rows.withColumn("__stage", F.col(stage) if stage else F.lit(0))
     own = [*keys, "__stage", variant]
@@ -158,12 +139,19 @@ def code_of_any(token_rows: DataFrame, keys: list[str], side_votes: DataFrame |
     rows = ranking.best(last, keys, F.lit(0), ["__stop", F.col("__stage").desc()]).select(*keys, "__best.*")
     rows = rows.join(voting.right_check_vote(side_votes, keys), keys, "left") if side_votes is not None else rows.withColumn("digit", F.lit(None).cast("string")).withColumn("vote", F.lit(None).cast("double"))
     beside = (F.col("code") != "") & F.col("digit").isNotNull()
+    rows = rows if images is None else images.select(*keys).join(rows, keys, "left").withColumns({"raw_text": F.coalesce("raw_text", F.lit("")), "code": F.coalesce("code", F.lit(""))})
     out = routing.shape_full(rows.select(*keys, "raw_text", "code", F.substring("code", 1, 10).alias("base10"), F.when(beside, F.col("digit")).otherwise(F.substring("code", 11, 1)).alias("check_digit"), F.when(beside, F.greatest("final", "vote")).otherwise(F.col("final")).alias("score")))
     return out.withColumn("is_valid_iso", codes.is_valid("code")).drop("code")
 
 
-def seal_of(token_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Seal number: best token of each angle, then the best angle; later stages of angles count only while needed."""
+def seal_of(token_rows: DataFrame, keys: list[str], images: DataFrame | None = None) -> DataFrame:
+    """Seal number: best token of each angle, then the best angle; later stages of angles count only while needed.
+
+    With `images`, all of them have a row: an empty text of score -1 where nothing was read.
+    """
     own = [*keys, "stage", "angle"]
     rows = tokens.best_text(token_rows, own, seal_quality("text")).select(*own, "text", F.col("final").alias("score"), F.col("angle").alias("ord"))
-    return routing.eager_best(rows, keys).select(*keys, "text", "score")
+    found = routing.eager_best(rows, keys).select(*keys, "text", "score")
+    if images is None:
+        return found
+    return images.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(-1.0)).alias("score"))

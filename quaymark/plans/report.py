@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.functions import text
-from quaymark.operators import evaluation
+from quaymark.operators import evaluation, retention
 
 
 def report_parts(items: DataFrame, run_id: int) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +47,25 @@ def write_once(items: DataFrame, run_id: int, folder: str) -> str:
 
 def remove(files: DataFrame, folder: str, dry_run: bool = True) -> list[str]:
     """Delete the report files named in `files` (see `retention.delete_set`); with `dry_run` only say which."""
-    jvm, conf = files.sparkSession.sparkContext._jvm, files.sparkSession.sparkContext._jsc.hadoopConfiguration()
     names = sorted(r["name"] for r in files.select("name").toLocalIterator())
-    for name in [] if dry_run else names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        path.getFileSystem(conf).delete(path, False)
-    return names
+    return names if dry_run else [n for n in names if _deleted(files, folder, n)]
+
+
+def _deleted(files: DataFrame, folder: str, name: str) -> bool:
+    context = files.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    return bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, False))
+
+
+def clean_up(files: DataFrame, runs: DataFrame, folder: str, now: Column, rule: retention.Retention, mode: str = "policy", dry_run: bool = False, reason: str = "manual") -> dict:
+    """Remove reports and say what was done; the names are sorted, the counts are those of the files before.
+
+    `candidate_count` names what the rule takes, `removed_count` what is gone (or would be, in a dry run).
+    """
+    said = {"mode": mode, "reason": reason, "dry_run": dry_run, "cleanup_enabled": rule.enabled, "max_age_days": rule.max_age_days, "keep_last_runs": rule.keep_last_runs, "total_files": files.count()}
+    if retention.skipped(rule, mode, reason):
+        return said | {"removed_count": 0, "removed_files": [], "skipped": "auto cleanup disabled"}
+    kept = sorted(r["run_id"] for r in retention.recent_runs(runs, rule).collect()) if mode == "policy" else []  # at most keep_last_runs
+    names = remove(retention.delete_set(files, runs, now, rule, mode), folder)
+    gone = len(names) if dry_run else sum(_deleted(files, folder, n) for n in names)
+    return said | {"candidate_count": len(names), "removed_count": gone, "removed_files": names, "kept_recent_run_ids": kept}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -20,3 +23,25 @@ SUMMARY = _s("created_at string, dataset_dir string, mode string, endpoint strin
 RUNS = _s("id long!, created_at timestamp!, dataset_dir string!, mode string!, timeout_sec double!, labels_available boolean!, text_available boolean!").add("summary", SUMMARY, False)
 ITEMS = _s("id long!, run_id long!, file_name string!, number_type string, predicted_text string, raw_text string, normalized_predicted string, expected_label string, expected_text string, status_code int, elapsed_ms double, stage_timings timings, error string")
 EXTRACT = _s("file string, result string, candidate string, base10 string, check_digit string, status string, raw_text string, ocr_ms double, total_ms double, http_status int")
+
+#: Runs as they are stored: the summary is text.
+STORED_RUNS = _s("id long!, created_at string, dataset_dir string, mode string, timeout_sec double, labels_available boolean, text_available boolean, summary_json string")
+#: What columns that were added later hold in older files.
+ITEM_DEFAULTS = {"number_type": "unknown", "raw_text": "", "stage_timings": None}
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
+    """A stored table in the form of `schema`, whatever forms its files have.
+
+    Columns that a file lacks are null, or what `defaults` says; columns that `schema` lacks are passed over.  A table
+    that was never written is empty.  Nulls that were written stay nulls unless their column has a default.
+    """
+    wide = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    try:
+        rows = spark.read.schema(wide).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], wide)
+    given = {c: v for c, v in (defaults or {}).items() if v is not None}
+    return rows.select(*[F.coalesce(f.name, F.lit(given[f.name]).cast(f.dataType)).alias(f.name) if f.name in given else F.col(f.name) for f in schema])

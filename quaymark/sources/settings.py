@@ -11,13 +11,18 @@ T = TypeVar("T")
 
 @dataclass(frozen=True)
 class Recognition:
-    """How results are accepted and images routed."""
+    """How images are cropped, results accepted and images routed.  Names and defaults are fixed values."""
 
-    accept_non_iso_result: bool = False
+    use_crop_service: bool = True
+    max_crops_per_image: int = 8
     stop_on_first_valid: bool = True
+    accept_non_iso_result: bool = False
+    save_debug_on_not_found: bool = True
+    enable_resize_digit_pass: bool = True
+    enable_two_lines_hard_fallback: bool = False
     layout_twolines_max_ratio: float = 3.0
     layout_oneline_min_ratio: float = 3.0
-    enable_two_lines_hard_fallback: bool = False
+    layout_split_door_min_height: int = 420
 
 
 @dataclass(frozen=True)

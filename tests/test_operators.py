@@ -130,10 +130,6 @@ def test_routing(spark):
     assert routing.best_attempt(attempts, ["k"]).first()["ord"] == 1
 
 
-def test_retention_settings():
-    assert retention.Retention.of({"REPORT_MAX_AGE_DAYS": "x"}, {"max_age_days": 0, "keep_runs": "7"}) == retention.Retention(1, 7)
-
-
 def cut_by_rule(profile, start, end, parts):
     """The rule in plain Python: smooth over seven places, then one cut after the other."""
     own = profile[start:end]
@@ -188,3 +184,31 @@ def test_ties_go_to_the_first_reading(spark):
     found = spark.createDataFrame([(1, (n,), "123456", d, 0.5, "r", False, "combo") for n, d in ((2, "7"), (10, "3"))], "k int, ord struct<a:int>, base6 string, check_digit string, score double, raw string, direct boolean, source string")
     none = spark.createDataFrame([], "k int, ord int, digit string, score double, source string")
     assert voting.resolve_check_digit(base, found, none, ["k"]).first()["check_digit"] == "7"
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["123456", "654321", "111111"]), st.sampled_from(["", "1", "2", "3"]), st.integers(-4, 16), st.booleans()), max_size=9))
+def test_both_picks_agree(spark, given_rows):
+    """The choice over rows and the choice over an array are one rule."""
+    rows = [(1, k, b, d, s / 16, f"{b}{d}{k}", direct, "x") for k, (b, d, s, direct) in enumerate(given_rows)]
+    kind = "k int, ord int, base6 string, check_digit string, score double, raw string, direct boolean, source string"
+    df = spark.createDataFrame(rows, kind)
+    one = [tuple(r) for r in voting.pick_number(df, ["k"]).collect()]
+    every = df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("ord", "base6", "check_digit", "score", "raw", "direct", "source"))).alias("c"))
+    two = voting.with_pick(every, "c", "p").select("k", "p.*").select("k", "base6", "check_digit", "score", "raw", "has_direct_full", "check_vote_count", "check_margin")
+    assert one == [tuple(r) for r in two.collect()]
+
+
+def test_profiles_and_refined_bands(spark):
+    pixels = spark.createDataFrame([(1, y, 255 if 10 <= y < 100 and y not in (54, 55) else 0) for y in range(120) for _ in range(3)] + [(1, 5, 9)], "k int, y int, v int")
+    rows = bands.profile(pixels, ["k"], "y")
+    assert {r["pos"]: r["strength"] for r in rows.collect()} == {y: 3 * (10 <= y < 100 and y not in (54, 55)) + (y == 5) for y in range(120)}
+    runs = bands.threshold_runs(rows, ["k"], 2)
+    assert sorted((r["start"], r["end"]) for r in runs.collect()) == [(10, 54), (56, 100)]
+    high = runs.withColumn("h", F.lit(4000))
+    assert bands.tall_enough(high, "h").count() == 0 and bands.tall_enough(high.withColumn("h", F.lit(120)), "h").count() == 2
+    strengths = [float(abs(y % 30 - 15)) for y in range(120)]
+    shaped = spark.createDataFrame([(1, 0, 20, 120), (1, 25, 45, 120), (1, 50, 70, 120), (1, 75, 115, 120)], 'k int, start int, `end` int, h int')
+    cut = bands.refined_bands(shaped, spark.createDataFrame([(1, strengths)], "k int, profile array<double>"), ["k"], "h")
+    got = sorted((r["start"], r["end"]) for r in cut.collect())
+    assert got[:3] == [(0, 20), (25, 45), (50, 70)] and got[3:] == cut_by_rule(strengths, 75, 115, 2)
