@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
@@ -34,21 +33,32 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone by then
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _file(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as Hadoop sees them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/quaymark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have `path` deleted when the driver's JVM ends, whether or not the session was stopped before."""
+    p, fs = _file(spark, path)
+    fs.deleteOnExit(p)
 
 
 def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The files go when the process ends, or with `discard`.
+    The files go when the driver ends, or with `discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quaymark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path, compression=compression)
-    atexit.register(_drop, spark, path)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
@@ -57,7 +67,9 @@ def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 def discard(*kept: DataFrame) -> None:
     """Delete what `keep` wrote, once no plan reads it any more."""
     for df in kept:
-        _drop(df.sparkSession, df.kept_at)
+        p, fs = _file(df.sparkSession, df.kept_at)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
 
 
 def collect_shuffles(spark: SparkSession) -> None:

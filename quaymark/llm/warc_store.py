@@ -14,12 +14,10 @@ headers.  Other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import shared_dir
+from quaymark.llm.common import delete_at_end, scratch_path
 
 _HEX32, _RFC32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
@@ -91,8 +89,9 @@ def describe(records: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, name: str = "warc", min_bytes: int = 0) -> DataFrame:
-    """Write an archive in the shared folder and read its records back."""
+    """Write an archive in the shared folder and read its records back; the files go when the driver ends.  (`write_archive` writes one that stays.)"""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/quaymark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     write_archive(pages, path, min_bytes)
+    delete_at_end(spark, path)
     return read_archive(spark, path)
