@@ -45,6 +45,8 @@ from quaymark.llm.common import discard, free_name, in_bitmap, keep, key_bitmap,
 MOST_SHARED = 1_000_000
 BROADCAST_IDS = 2_000_000  # at most so many ids are broadcast; beyond that Spark shuffles
 LOT = 400
+#: Postings that are put in order together.
+MERGED = 300_000
 #: Members of a list that one task holds at most; proposals of a class in a list in round 2, and how they grow by rounds.
 HOT, PROPOSALS, GROWTH = 100_000, 8, 32
 _TOP = np.uint64(1 << 63)
@@ -222,16 +224,20 @@ def _postings(rows: DataFrame, parts: int) -> DataFrame:
     return rows.select("node", "probe").mapInArrow(released(deal), "part long, first long, key binary, node binary")
 
 
-def leaders(rows: DataFrame, parts: int, hot: int) -> DataFrame:
+def leaders(rows: DataFrame, parts: int, hot: int, at_once: int = MERGED) -> DataFrame:
     """(node, leader, n): classes that share n probing n-grams with the leader of their lists.
 
-    Rows with a null node name, as leader, the n-grams of lists with more than `hot` members.  Lists are streamed; what
-    is kept is the leader and the length of each list of a part, however long.
+    Rows with a null node name, as leader, the n-grams of lists with more than `hot` members.  A part's rows come in the
+    order of their first class, which leads.  They are gathered up to `at_once` postings, put in order together and merged with
+    the lists known so far; what is kept is the leader and the length of each list of a part, however long.  A part has
+    about half a million postings, so that it is merged a few times at most, and only lists of many members make more.
     """
 
     def stream(batches):
         at, keys, lead, many = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list = []
         pairs: list = []
+        size = 0
 
         def flush():
             a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -243,32 +249,45 @@ def leaders(rows: DataFrame, parts: int, hot: int) -> DataFrame:
             of = many > hot
             return pa.RecordBatch.from_pydict({"node": pa.nulls(int(of.sum()), pa.int64()), "leader": keys[of].view(np.int64), "n": many[of]})
 
+        def merge():
+            nonlocal keys, lead, many, size
+            if not held:
+                return
+            k, v = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in held]), np.concatenate([np.frombuffer(x, np.int64) for _, x in held])
+            held.clear()
+            size = 0
+            order = np.lexsort((v, k))
+            k, v = k[order], v[order]
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            group = np.cumsum(first) - 1
+            own, own_lead, own_many = k[first], v[first], np.bincount(group)
+            new = np.ones(len(own), bool)
+            if len(keys):
+                p = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                known = keys[p] == own
+                own_lead, new = np.where(known, lead[p], own_lead), ~known
+                many[p[known]] += own_many[known]
+            by = own_lead[group]
+            other = by != v
+            if other.any():
+                pairs.append((v[other], by[other]))
+            keys, lead, many = np.concatenate([keys, own[new]]), np.concatenate([lead, own_lead[new]]), np.concatenate([many, own_many[new]])
+            order = np.argsort(keys, kind="stable")
+            keys, lead, many = keys[order], lead[order], many[order]
+
         for batch in batches:
             for part, key, node in zip(batch.column("part").to_pylist(), batch.column("key").to_pylist(), batch.column("node").to_pylist(), strict=True):
                 if part != at:
+                    merge()
                     yield hot_lists()
                     at, keys, lead, many = part, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                k, v = np.frombuffer(key, np.uint64), np.frombuffer(node, np.int64)
-                order = np.lexsort((v, k))
-                k, v = k[order], v[order]
-                first = np.concatenate([[True], k[1:] != k[:-1]])
-                group = np.cumsum(first) - 1
-                own, own_lead, own_many = k[first], v[first], np.bincount(group)
-                new = np.ones(len(own), bool)
-                if len(keys):
-                    p = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    known = keys[p] == own
-                    own_lead, new = np.where(known, lead[p], own_lead), ~known
-                    many[p[known]] += own_many[known]
-                by = own_lead[group]
-                other = by != v
-                if other.any():
-                    pairs.append((v[other], by[other]))
-                keys, lead, many = np.concatenate([keys, own[new]]), np.concatenate([lead, own_lead[new]]), np.concatenate([many, own_many[new]])
-                order = np.argsort(keys, kind="stable")
-                keys, lead, many = keys[order], lead[order], many[order]
+                held.append((key, node))
+                size += len(key) // 8
+                if size >= max(at_once, len(keys)):
+                    merge()
                 if sum(len(x[0]) for x in pairs) > 1_000_000:
                     yield flush()
+        merge()
         yield hot_lists()
         if pairs:
             yield flush()
