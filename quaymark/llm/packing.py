@@ -258,15 +258,39 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return full + [x for own in by_gap.values() for x in own]
 
 
+def _counted(found: Plan) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for lengths, n in found:
+        for a in lengths:
+            out[a] = out.get(a, 0) + n
+    return out
+
+
 def plan(counts: dict[int, int], capacity: int) -> Plan:
     """Which lengths share a sequence, and how many sequences are like that; every piece is used once.
 
-    Exact complements may use up short pieces that longer ones need.  So they are looked for among three, two, one
-    and no further lengths, and the shortest plan counts, the one with more exact complements at equal length; it is
-    never longer than that of best fit.
+    Exact complements of one, two and three further lengths come first, best fit takes what is left.  That may leave the
+    last sequences short of pieces which exact ones have used up.  As long as fewer sequences are thinkable, the last of the plan
+    are taken apart, twice as many each time, and their pieces are laid out once more: by complements of fewer lengths, which
+    spare the short pieces, or by best fit.  The rest of the plan stays as it is.
     """
-    tried = [exact_first(counts, capacity, most) for most in (3, 2, 1, 0)] + [best_fit(counts, capacity)]
-    return min(tried, key=lambda found: sum(n for _, n in found))
+    found = exact_first(counts, capacity, 3)
+    size = lambda p: sum(n for _, n in p)
+    fewest = -(-sum(a * n for a, n in counts.items()) // capacity)
+    full = [x for x in found if sum(x[0]) == capacity]
+    open_ = [x for x in found if sum(x[0]) < capacity]
+    again = 1
+    while open_ and size(found) > fewest:
+        at = max(0, len(full) - again)
+        pool = _counted(full[at:] + open_)
+        redone = min((exact_first(pool, capacity, most) for most in (2, 1, 0)), key=size)
+        redone = min(redone, best_fit(pool, capacity), key=size)
+        if size(full[:at]) + size(redone) < size(found):
+            found = full[:at] + redone
+        if not at:
+            break
+        again *= 2
+    return found
 
 
 def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
