@@ -32,6 +32,17 @@ def tokens_of_json(df: DataFrame, body: str, keys: list[str]) -> DataFrame:
     return rows.where("text <> ''")
 
 
+def zipped_passes(rows: DataFrame, keys: list[str], readings: str, bonuses: tuple[float, ...]) -> DataFrame:
+    """(keys, ord, text, score) from one array of (text, score) for each key, a reading for each prepared picture of a batch.
+
+    Readings stand beside the bonus of their pass by position, as far as both lists reach; passes without text give no
+    token, and a score with its bonus is 1 at most.
+    """
+    both = F.zip_with(readings, F.array(*map(F.lit, bonuses)), lambda r, b: F.struct(r["text"].alias("text"), F.least(F.lit(1.0), r["score"] + b).alias("score")))
+    found = rows.select(*keys, F.posexplode(both).alias("ord", "t")).select(*keys, "ord", "t.text", "t.score")
+    return found.where("text <> '' and score is not null")
+
+
 def collected(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key with the ordered token array `pairs`."""
     return tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "text", "score"))).alias("pairs"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions import text
-from quaymark.operators import boxes, history, routing
+from quaymark.operators import boxes, history, routing, tokens
 from quaymark.plans.code_queries import _CHECK
 from quaymark.sources import inference
 
@@ -135,3 +135,12 @@ def padded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.expr(_REPLY)
     fallback = F.lit("first line RESULT: no\nresult : END \n")
     return _t(spark, sf_dir, "events").select("event_id", text.result_text(body, fallback).alias("result"), text.raw_text(body, fallback).alias("raw"), text.failure_reason(body).alias("reason"))
+
+
+@query("""with x as (select event_id, i, case when (event_id + i) % 4 = 0 then '' else 'T' || event_id % 100 || i end as text, (event_id * (i + 3) % 64) / 64.0::double as score from events, unnest(range(4)) t(i))
+select event_id, cast(i as int) as ord, text, round(least(1.0::double, score + [0.05::double, 0.06::double, 0.04::double][i + 1]), 9) as score from x where i < 3 and text <> ''""")
+def zipped_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    reading = lambda i: F.struct(F.when((e + i) % 4 == 0, "").otherwise(F.concat(F.lit("T"), (e % 100).cast("string"), F.lit(str(i)))).alias("text"), (e * (i + 3) % 64 / 64.0).alias("score"))
+    rows = _t(spark, sf_dir, "events").select("event_id", F.array(*map(reading, range(4))).alias("r"))
+    return tokens.zipped_passes(rows, ["event_id"], "r", (0.05, 0.06, 0.04)).select("event_id", "ord", "text", F.round("score", 9).alias("score"))

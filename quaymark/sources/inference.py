@@ -20,6 +20,34 @@ class Detector(Protocol):
         """For each image its boxes (confidence, x1, y1, x2, y2)."""
 
 
+class Decoder(Protocol):
+    def size(self, image: bytes) -> tuple[int, int] | None:
+        """Height and width of a picture; none if it cannot be decoded."""
+
+
+def decoded(images: DataFrame, make: Callable[[], Decoder]) -> DataFrame:
+    """Images (image_id, content) with `decoded`, `height` and `width`; contents that are missing, broken or make the decoder raise are not decoded.
+
+    Contents stay in their tasks; the columns beside them come through.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = make()
+
+        def size(content) -> tuple[int, int] | None:
+            try:
+                return decoder.size(bytes(content)) if content is not None else None
+            except Exception:  # noqa: BLE001  a decoder may raise anything
+                return None
+
+        for pdf in frames:
+            sizes = [size(c) for c in pdf["content"]]
+            yield pdf.assign(decoded=[s is not None for s in sizes], height=pd.array([s[0] if s else None for s in sizes], "Int32"), width=pd.array([s[1] if s else None for s in sizes], "Int32"))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.schema)
+    return images.mapInPandas(run, f"{kinds}, decoded boolean, height int, width int")
+
+
 def recognise(images: DataFrame, make: Callable[[], Recogniser]) -> DataFrame:
     """(image_id, ord, text, score) rows from (image_id, content); equal contents are recognised once.
 

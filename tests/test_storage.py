@@ -187,3 +187,15 @@ def test_cleanup_settings():
 def test_recognition_settings():
     s = settings.load(settings.Recognition, '{"max_crops_per_image": "3", "use_crop_service": "off", "layout_split_door_min_height": "x"}')
     assert (s.max_crops_per_image, s.use_crop_service, s.layout_split_door_min_height, s.save_debug_on_not_found, s.enable_resize_digit_pass) == (3, False, 420, True, True)
+
+
+def test_decoding(spark):
+    class Sizes:
+        def size(self, image):
+            if image == b"bad":
+                raise ValueError("bad")
+            return (len(image), 7) if image != b"no" else None
+
+    rows = spark.createDataFrame([("a", bytearray(b"xyz"), 1), ("b", bytearray(b"bad"), 2), ("c", bytearray(b"no"), 3), ("d", None, 4)], "image_id string, content binary, ord int")
+    got = {r["image_id"]: (r["decoded"], r["height"], r["width"], r["ord"]) for r in inference.decoded(rows, Sizes).collect()}
+    assert got == {"a": (True, 3, 7, 1), "b": (False, None, None, 2), "c": (False, None, None, 3), "d": (False, None, None, 4)}
