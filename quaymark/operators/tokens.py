@@ -38,7 +38,7 @@ def zipped_passes(rows: DataFrame, keys: list[str], readings: str, bonuses: tupl
     Readings stand beside the bonus of their pass by position, as far as both lists reach; passes without text give no
     token, and a score with its bonus is 1 at most.
     """
-    both = F.zip_with(readings, F.array(*map(F.lit, bonuses)), lambda r, b: F.struct(r["text"].alias("text"), F.least(F.lit(1.0), r["score"] + b).alias("score")))
+    both = F.zip_with(F.slice(readings, 1, len(bonuses)), F.array(*map(F.lit, bonuses)), lambda r, b: F.struct(r["text"].alias("text"), F.least(F.lit(1.0), r["score"] + b).alias("score")))
     found = rows.select(*keys, F.posexplode(both).alias("ord", "t")).select(*keys, "ord", "t.text", "t.score")
     return found.where("text <> '' and score is not null")
 
