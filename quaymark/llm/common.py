@@ -50,14 +50,14 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
-def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The files go when the driver ends, or with `discard`.
+    The files go when the driver ends, or with `discard`.  `by`: a column by whose values the files are divided (see `discard_part`).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path, compression=compression, partitionBy=by)
     delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
@@ -72,6 +72,12 @@ def discard(*kept: DataFrame) -> None:
         fs.cancelDeleteOnExit(p)
 
 
+def discard_part(kept: DataFrame, part: str) -> None:
+    """Delete one part, such as `level=1`, of what `keep` divided, once no plan reads it any more; readers of other parts must filter by the column."""
+    p, fs = _file(kept.sparkSession, f"{kept.kept_at}/{part}")
+    fs.delete(p, True)
+
+
 def collect_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
     gc.collect()

@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import collect_shuffles, discard, held_out, in_bitmap, keep, key_bitmap, released, utf8
+from quaymark.llm.common import collect_shuffles, discard, discard_part, held_out, in_bitmap, keep, key_bitmap, released, utf8
 
-P_WORD, MIN_CONTEXT, MIN_ENTRY, DISCOUNT = 1e-6, 8, 8, 0.5
+P_WORD, MIN_CONTEXT, MIN_ENTRY, DISCOUNT = 1e-6, 8, 2, 0.5
 #: Words of a context at most.
 DEPTH = 5
 #: Contexts and entries that are broadcast at most; bits of a bitmap at most; tokens of the corpus for each part.
@@ -348,10 +348,10 @@ def train_tree(train: DataFrame, head: int = HEAD, depth: int | None = None) ->
     while filters and filters[-1][1] is not None:  # the longest contexts have no entries that come often
         filters[-1] = (filters[-1][0], None)
     below = words.select(F.col("h").alias("key"), ((F.col("c") + 0.1) / F.lit(float(norm))).alias("p"))
-    tree, spent = [], []
+    tree, spent, full = [], [], []
     if len(filters) > 1:
         shared = spark.sparkContext.broadcast(filters)
-        every = keep(_entries(tokens, shared, parts), "lm-entries")
+        every = keep(_entries(tokens, shared, parts), "lm-entries", by="level")
         shared.destroy()
         for k in range(1, len(filters)):
             own_level = every.where(F.col("level") == k).drop("level").join(counted[k], "key")
@@ -360,12 +360,16 @@ def train_tree(train: DataFrame, head: int = HEAD, depth: int | None = None) ->
             p = F.when(F.col("keep"), (F.col("c") - DISCOUNT) / F.col("t") + F.col("rest") * F.col("q")).otherwise(F.col("q"))
             entries = own_level.join(below.select(F.col("key").alias("sfx"), F.col("p").alias("q")), "sfx").join(contexts, "ctx").select("key", "c", "keep", p.alias("p"))
             entries = keep(entries, f"lm-probabilities{k}")
-            tree.append((contexts.where("keep").select("ctx", "t", F.log10("rest").alias("v")), entries.where("keep").select("key", "c", F.log10("p").alias("v"))))
-            discard(own_level)
-            spent += [contexts, entries]
+            # the tree holds what is kept; the other probabilities are only needed by the next level
+            kept = [keep(contexts.where("keep").select("ctx", "t", F.log10("rest").alias("v")), f"lm-tree-contexts{k}"), keep(entries.where("keep").select("key", "c", F.log10("p").alias("v")), f"lm-tree-entries{k}")]
+            tree.append(tuple(kept))
+            discard(own_level, contexts, *full, *([counted[k - 1]] if k > 1 else []))
+            discard_part(every, f"level={k}")
+            full, spent = [entries], [*spent, *kept]
             below = entries.select("key", "p")
             collect_shuffles(spark)
-        spent.append(every)
+        discard(*full, *counted[len(filters) - 1 :], every)
+        counted = counted[:1]
     model = {"total": total, "distinct": distinct, "norm": norm, "numbers": range(len(h)), "h": h, "log_root": np.log10((c + 0.1) / norm), "filters": filters, "least": total * P_WORD, "tails": []}
     for name, value, rank, which in (("c1", "rest1", "t", 0), ("k1", "e1", "c", 1)):
         level_rows = [level[which].toDF("key", rank, "v") for level in tree]
