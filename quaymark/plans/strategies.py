@@ -278,3 +278,22 @@ def code_of_two_lines(token_rows: DataFrame, bottom_votes: DataFrame, door: tupl
     first = _prefer(_not_found(images, keys), _result(out, keys), keys, F.lit(True))
     second = code_of_split_door(*door, images, keys, hard)
     return _prefer(first, second, keys, (F.col("a.base10") == "") & ((F.col("b.base10") != "") | (F.col("b.raw_text") != "")))
+
+
+# All layouts.
+
+#: What the replies of all strategies have.
+REPLY = ("raw_text", "base10", "check_digit", "score", "full_code", "status", "is_valid_iso", "reason")
+
+
+def code_by_layout(images: DataFrame, one_line: DataFrame, two_lines: DataFrame, upright: DataFrame, generic: DataFrame, keys: list[str]) -> DataFrame:
+    """One reply for each image (keys, layout, width, height): the first of the strategies for its layout and shape that found something, else the generic one.
+
+    An image for which no strategy has a row is not found.  `strategy` names the one that answered.
+    """
+    out = images
+    for name, replies in (("oneline", one_line), ("twolines", two_lines), ("vertical", upright), ("generic", generic)):
+        out = out.join(replies.select(*keys, F.struct(*REPLY, F.lit(name).alias("strategy")).alias(name)), keys, "left")
+    found = routing.route(F.col("layout"), routing.is_horizontal(F.col("width"), F.col("height")), routing.is_vertical(F.col("width"), F.col("height")), *map(F.col, ("oneline", "twolines", "vertical", "generic")))
+    chosen = out.select(*keys, found.alias("r")).where("r is not null").select(*keys, "r.*")
+    return _prefer(_not_found(images, keys).select(*keys, *REPLY).withColumn("strategy", F.lit("none")), chosen, keys, F.lit(True))

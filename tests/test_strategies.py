@@ -116,3 +116,19 @@ def test_steps_bound_the_score(spark):
     rows = spark.createDataFrame([(1, 0, 0, "a", 0.99), (1, 1, 0, "b", 0.5), (1, 2, 0, "c", 0.5)], "k int, pass int, ord int, text string, score double")
     got = strategies.in_steps(rows, [(7, F.lit(True), "light", 0.1)]).orderBy("ord").collect()
     assert [(r["step"], r["text"], round(r["score"], 9)) for r in got] == [(7, "a", 1.0), (7, "b", 0.64)]
+
+
+def test_replies_by_layout(spark):
+    """The strategy of the layout answers if it found something; a wide image counts as one line; nothing anywhere is not found."""
+
+    def replies(rows):
+        df = spark.createDataFrame(rows, "k int, base10 string, check_digit string, raw_text string, score double")
+        return strategies.routing.shape_full(df)
+
+    images = spark.createDataFrame([(1, "oneline", 400, 100), (2, "twolines", 200, 100), (3, "vertical", 10, 100), (4, "unknown", 200, 100), (5, "twolines", 400, 100), (6, "vertical", 10, 100)], "k int, layout string, width int, height int")
+    one = replies([(1, "TCKU438607", "9", "a", 0.5), (5, "TCKU438607", "", "b", 0.5)])
+    two = replies([(2, "", "", "text alone", -1.0), (5, "MSKU273706", "0", "c", 0.5), (4, "MSKU273706", "0", "not asked", 0.5)])
+    upright = replies([(3, "", "", "", -1.0), (6, "", "", "raw", -1.0)])
+    generic = replies([(k, "CSQU305438", "3", "g", 0.1) for k in (1, 2, 3)])
+    got = {r["k"]: (r["strategy"], r["full_code"], r["status"]) for r in strategies.code_by_layout(images, one, two, upright, generic, ["k"]).collect()}
+    assert got == {1: ("oneline", "TCKU4386079", "FULL_11"), 2: ("twolines", "", "RAW_ONLY"), 3: ("generic", "CSQU3054383", "FULL_11"), 4: ("none", "", "NOT_FOUND"), 5: ("oneline", "TCKU438607", "PARTIAL_10"), 6: ("vertical", "", "RAW_ONLY")}
