@@ -9,86 +9,101 @@ TOKENS = "k int, part string, grp int, pass int, ord int, text string, score dou
 GROUPS, SYMBOLS, VOTES = "k int, part string, grp int, n int, height int, width int", "k int, part string, grp int, i int, digit string, score double", "k int, ord int, digit string, score double, source string"
 
 
-def vertical(spark, sizes, tokens):
-    """One image: {attempt: part heights}, tokens (attempt, part, pass, text, score)."""
-    parts = spark.createDataFrame([(1, a, i, h, 10) for a, hs in sizes.items() for i, h in enumerate(hs)], "k int, attempt string, i int, height int, width int")
-    rows = spark.createDataFrame([(1, a, p, n, 0, t, s) for a, p, n, t, s in tokens], "k int, attempt string, part string, pass int, ord int, text string, score double")
-    return strategies.code_of_vertical(rows, parts, spark.createDataFrame([(1,)], "k int"), ["k"]).first()
-
-
-def test_vertical_score_is_a_sum_and_the_strip_may_raise_it(spark):
-    got = vertical(spark, {"segments": [20] * 11}, [("segments", "letters", 0, "TCKU", 0.5), ("segments", "digits7", 0, "438607", 0.4), ("segments", "check", 0, "9", 0.6)])
+_ELEVEN, _TEN = {"segments": [20] * 11}, {"segments": [20] * 10}
+_BOXED = [("segments", "letters", 0, "TCKU", 0.5), ("segments", "digits7", 0, "438607", 0.4), ("segments", "check", 0, "9", 0.6)]
+_GRIDS = {"segments": [20] * 3, "grid11": [15] * 11, "grid10": [16] * 10}
+_READ_TEN = [("grid10", "letters", 0, "TCKU", 0.9), ("grid10", "digits6", 0, "438607", 0.9)]
+_BOTH = {"segments": [20] * 13, "grid11": [15] * 11}
+_SECOND = [("grid11", "letters", 0, "MSKU", 0.9), ("grid11", "digits7", 0, "2737060", 0.9)]
+#: Image: parts' heights by attempt, tokens (attempt, part, pass, text, score).
+VERTICAL = {
+    "boxed": (_ELEVEN, _BOXED), "no box": (_TEN, [("segments", "letters", 0, "TCKU", 0.5), ("segments", "digits6", 0, "438607", 0.4), ("segments", "check", 0, "9", 0.6)]),
+    "halves": ({"segments": [20] * 9, "grid11": [15] * 11}, [("segments", "letters", 0, "TCKU", 1.0), ("grid11", "digits7", 0, "4386079", 1.0)]),
+    "six": (_GRIDS, [("grid11", "digits7", 0, "438607", 0.9), *_READ_TEN]), "seven": (_GRIDS, [("grid11", "digits7", 0, "4386071", 0.9), *_READ_TEN]), "no eleven": ({k: v for k, v in _GRIDS.items() if k != "grid11"}, _READ_TEN),
+    "same parts": (_GRIDS | {"grid11": [16] * 10}, [("grid11", "digits6", 0, "438607", 0.9), *_READ_TEN]),
+    "valid first": (_BOTH, [("segments", "letters", 0, "TCKU", 0.1), ("segments", "digits7", 0, "4386079", 0.1), *_SECOND]), "valid second": (_BOTH, [("segments", "letters", 0, "TCKU", 0.1), ("segments", "digits7", 0, "4386078", 0.1), *_SECOND]),
+    "few": ({"segments": [20] * 2}, [("segments", "letters", 0, "TCKU", 0.9)]), "none": ({}, []),
+}
+
+
+@pytest.fixture(scope="module")
+def vertical(spark):
+    parts = spark.createDataFrame([(k, a, i, h, 10) for k, (sizes, _) in VERTICAL.items() for a, hs in sizes.items() for i, h in enumerate(hs)], "k string, attempt string, i int, height int, width int")
+    rows = spark.createDataFrame([(k, a, p, n, 0, t, s) for k, (_, tokens) in VERTICAL.items() for a, p, n, t, s in tokens], "k string, attempt string, part string, pass int, ord int, text string, score double")
+    return {r["k"]: r for r in strategies.code_of_vertical(rows, parts, spark.createDataFrame([(k,) for k in VERTICAL], "k string"), ["k"]).collect()}
+
+
+def test_vertical_score_is_a_sum_and_the_strip_may_raise_it(vertical):
+    got = vertical["boxed"]
     assert (got["full_code"], got["is_valid_iso"], got["raw_text"]) == ("TCKU4386079", True, "TCKU 438607")
     assert got["score"] == pytest.approx(0.5 + 0.05 + 0.15 + max(0.4 + 0.11 + 0.08, 0.6 + 0.03 + 0.12 + 0.04 + 0.04))
-    got = vertical(spark, {"segments": [20] * 10}, [("segments", "letters", 0, "TCKU", 0.5), ("segments", "digits6", 0, "438607", 0.4), ("segments", "check", 0, "9", 0.6)])
-    assert (got["full_code"], got["status"]) == ("TCKU438607", "PARTIAL_10")  # ten parts have no box to ask
-
-
-def test_vertical_half_a_reading_ranks_low(spark):
-    got = vertical(spark, {"segments": [20] * 9, "grid11": [15] * 11}, [("segments", "letters", 0, "TCKU", 1.0), ("grid11", "digits7", 0, "4386079", 1.0)])
-    assert (got["status"], got["score"], got["base10"], got["check_digit"], got["raw_text"]) == ("RAW_ONLY", -1.0, "", "", "4386079")
+    assert (vertical["no box"]["full_code"], vertical["no box"]["status"]) == ("TCKU438607", "PARTIAL_10")  # ten parts have no box to ask
 
 
-def test_vertical_grid_of_ten_only_after_six_digits(spark):
-    sizes = {"segments": [20] * 3, "grid11": [15] * 11, "grid10": [16] * 10}
-    ten = [("grid10", "letters", 0, "TCKU", 0.9), ("grid10", "digits6", 0, "438607", 0.9)]
-    assert vertical(spark, sizes, [("grid11", "digits7", 0, "438607", 0.9), *ten])["base10"] == "TCKU438607"
-    assert vertical(spark, sizes, [("grid11", "digits7", 0, "4386071", 0.9), *ten])["base10"] == ""
-    assert vertical(spark, {k: v for k, v in sizes.items() if k != "grid11"}, ten)["status"] == "NOT_FOUND"
-    assert vertical(spark, sizes | {"grid11": [16] * 10}, [("grid11", "digits6", 0, "438607", 0.9), *ten])["base10"] == ""  # the same parts are not read again
+def test_vertical_half_a_reading_ranks_low(vertical):
+    got = vertical["halves"]
+    assert (got["status"], got["score"], got["base10"], got["check_digit"], got["raw_text"]) == ("RAW_ONLY", -1.0, "", "", "4386079")  # nine parts are too few to read
 
 
-def test_vertical_stops_at_a_valid_code(spark):
-    sizes = {"segments": [20] * 13, "grid11": [15] * 11}
-    first = [("segments", "letters", 0, "TCKU", 0.1), ("segments", "digits7", 0, "4386079", 0.1)]
-    second = [("grid11", "letters", 0, "MSKU", 0.9), ("grid11", "digits7", 0, "2737060", 0.9)]
-    assert vertical(spark, sizes, first + second)["full_code"] == "TCKU4386079"
-    assert vertical(spark, sizes, [("segments", "letters", 0, "TCKU", 0.1), ("segments", "digits7", 0, "4386078", 0.1), *second])["full_code"] == "MSKU2737060"
+def test_vertical_grid_of_ten_only_after_six_digits(vertical):
+    assert (vertical["six"]["base10"], vertical["seven"]["base10"], vertical["no eleven"]["status"]) == ("TCKU438607", "", "NOT_FOUND")
+    assert vertical["same parts"]["base10"] == ""  # the same parts are not read again
 
 
-def test_vertical_without_parts(spark):
-    assert vertical(spark, {"segments": [20] * 2}, [("segments", "letters", 0, "TCKU", 0.9)])["status"] == "NOT_FOUND"
+def test_vertical_stops_at_a_valid_code(vertical):
+    assert (vertical["valid first"]["full_code"], vertical["valid second"]["full_code"]) == ("TCKU4386079", "MSKU2737060")
 
 
-def door(spark, tokens=(), groups=(), symbols=(), votes=(), split=True, hard=True):
-    make = lambda rows, kind: spark.createDataFrame([(1, *r) for r in rows], kind)
-    images = spark.createDataFrame([(1, split)], "k int, split boolean")
-    return strategies.code_of_split_door(make(tokens, TOKENS), make(symbols, SYMBOLS), make(groups, GROUPS), make(votes, VOTES), images, ["k"], hard).first()
+def test_vertical_without_parts(vertical):
+    assert vertical["few"]["status"] == vertical["none"]["status"] == "NOT_FOUND" and len(vertical) == len(VERTICAL)
 
 
 OWNER = ("owner", -1, 0, 0, "TCKU", 0.5)
-
-
-def test_door_from_symbols(spark):
-    symbols = [("left", 0, i, d, 0.5) for i, d in enumerate("4386")] + [("right", 0, i, d, 0.9) for i, d in enumerate("079")]
-    got = door(spark, [OWNER], [("left", 0, 4, 1, 1), ("right", 0, 3, 1, 1)], symbols)
-    assert (got["full_code"], got["raw_text"]) == ("TCKU4386079", "TCKU 4386 079")
-    assert got["score"] == pytest.approx(0.5 + 0.06 + 0.15 + 0.9)
-
-
-def test_door_repairs_from_its_raw_text(spark):
-    got = door(spark, [("owner", -1, 0, 0, "TCK", 0.5), ("left", -1, 0, 0, "U 43", 0.5), ("right", -1, 0, 0, "86079", 0.5)], hard=False)
+_STRONG = ("owner", -1, 2, 0, "TCKU", 0.5)  # only the strongest pass reads it, which the first reading does not have
+_TWICE = [("left", g, i, d, s) for g, s in ((1, 0.3), (2, 0.9)) for i, d in enumerate("4386")] + [("right", 1, i, d, 0.5) for i, d in enumerate("079")]
+_CUT = [OWNER, ("left", -1, 0, 0, "438", 0.5), ("right", -1, 0, 0, "6079", 0.5)]
+#: Image: tokens, groups, symbols, votes, whether a seam was found.
+DOORS = {
+    "symbols": ([OWNER], [("left", 0, 4, 1, 1), ("right", 0, 3, 1, 1)], [("left", 0, i, d, 0.5) for i, d in enumerate("4386")] + [("right", 0, i, d, 0.9) for i, d in enumerate("079")], [], True),
+    "other signs": ([("owner", -1, 0, 0, "TCK", 0.5), ("left", -1, 0, 0, "U 43", 0.5), ("right", -1, 0, 0, "86079", 0.5)], [], [], [], True), "cut": (_CUT, [], [], [], True),
+    "vote": ([OWNER], [], [], [(0, "7", 0.5, "square")], True), "no seam": ([OWNER], [], [], [], False), "nothing": ([], [], [], [], True),
+    "twice": ([_STRONG], [("left", 1, 4, 1, 1), ("left", 2, 4, 1, 1), ("right", 1, 3, 1, 1)], _TWICE, [], True),
+}
+
+
+@pytest.fixture(scope="module")
+def doors(spark):
+    """(without, with) the hard reading."""
+    make = lambda at, kind: spark.createDataFrame([(k, *r) for k, case in DOORS.items() for r in case[at]], kind.replace("k int", "k string"))
+    images = spark.createDataFrame([(k, case[4]) for k, case in DOORS.items()], "k string, split boolean")
+    tables = make(0, TOKENS), make(2, SYMBOLS), make(1, GROUPS), make(3, VOTES)
+    return [{r["k"]: r for r in strategies.code_of_split_door(*tables, images, ["k"], hard).collect()} for hard in (False, True)]
+
+
+def test_door_from_symbols(doors):
+    for got in (d["symbols"] for d in doors):
+        assert (got["full_code"], got["raw_text"]) == ("TCKU4386079", "TCKU 4386 079") and got["score"] == pytest.approx(0.5 + 0.06 + 0.15 + 0.9)
+
+
+def test_door_repairs_from_its_raw_text(doors):
+    got = doors[0]["other signs"]
     assert (got["full_code"], got["raw_text"]) == ("UABU0438600", "U 43 86079")  # digits of the text stand for letters, and letters for digits
     assert got["score"] == pytest.approx(0.35 + 0.03)
-    got = door(spark, [OWNER, ("left", -1, 0, 0, "438", 0.5), ("right", -1, 0, 0, "6079", 0.5)], hard=False)
+    got = doors[0]["cut"]
     assert (got["full_code"], got["raw_text"], got["score"]) == ("TCKU4386077", "TCKU 438 6079", pytest.approx(0.71))
 
 
-def test_door_keeps_what_it_read(spark):
-    got = door(spark, [OWNER], votes=[(0, "7", 0.5, "square")], hard=False)
+def test_door_keeps_what_it_read(doors):
+    got = doors[0]["vote"]
     assert (got["status"], got["base10"], got["check_digit"], got["score"]) == ("RAW_ONLY", "", "7", -1.0)
-    assert door(spark, split=False)["status"] == "NOT_FOUND" and door(spark)["status"] == "NOT_FOUND"
+    assert all(d[k]["status"] == "NOT_FOUND" for d in doors for k in ("no seam", "nothing"))
 
 
-def test_door_hard_first_seen_counts(spark):
+def test_door_hard_first_seen_counts(doors):
     """A block read twice keeps the score of its first reading."""
-    groups = [("left", 1, 4, 1, 1), ("left", 2, 4, 1, 1), ("right", 1, 3, 1, 1)]
-    symbols = [("left", g, i, d, s) for g, s in ((1, 0.3), (2, 0.9)) for i, d in enumerate("4386")] + [("right", 1, i, d, 0.5) for i, d in enumerate("079")]
-    tokens = [("owner", -1, 2, 0, "TCKU", 0.5)]  # only the strongest pass reads it, which the first reading does not have
-    got = door(spark, tokens, groups, symbols)
-    assert got["full_code"] == "TCKU4386079"
+    got = doors[1]["twice"]
+    assert got["full_code"] == "TCKU4386079" and doors[0]["twice"]["base10"] == ""
     assert got["score"] == pytest.approx((0.5 + 0.06 + 0.15) + 0.58 * 0.4 + 0.42 * 0.61 + 0.04)
-    assert door(spark, tokens, groups, symbols, hard=False)["base10"] == ""
 
 
 def test_two_lines_hand_on(spark):
