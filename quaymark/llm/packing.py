@@ -14,59 +14,76 @@ whole; equal rows are separate documents; an empty table gives no sequences; oth
 from __future__ import annotations
 
 import bisect
+import codecs
 import gc
 import json
 import re
 import zlib
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import keep, running_sum, utf8
+from quaymark.llm.common import keep, released, running_sum, utf8
+
+
+def _byte_level() -> str:
+    """The character that stands for each byte in a byte-level vocabulary; the end of a line stays."""
+    out, more = [], 256
+    for b in range(256):
+        own = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b if own or b == 10 else more))
+        more += not own
+    return "".join(out)
+
+
+_BYTE_LEVEL = _byte_level()
 
 
 class _Words(dict):
-    """Word -> its token ids as little-endian 32-bit numbers; forgets all when it is large.
+    """Word -> its token ids as little-endian 32-bit numbers; in two generations, the older of which goes when the younger is full.
 
     The tokenizer drops white space and never joins across it, so that words can be encoded one by one.  It
     lowers letters, too, so that texts without marks of special tokens can be lowered first.  Words of plain
     lower-case letters are what its normalizer and splitter leave alone: these skip both and are encoded many
     at a time, since the last token of a word, and no other, carries the word-end suffix.  ASCII punctuation behind
     such a word is split off as a whole.  Other words of visible ASCII without capitals skip the normalizer.
+    The words of a lot of texts become a dictionary column, so that Python sees each distinct one once.
     """
 
     #: Words on lines: a to z and the lower-case letters from U+00DF to U+00FF, then perhaps ASCII punctuation.
     PLAIN = re.compile(rb"^((?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*)$", re.MULTILINE)
     VISIBLE = re.compile(rb"[!-@\[-~]+")
-    #: Words held at most, about 200 bytes each; words encoded at a time.
-    HELD, LOT = 500_000, 4096
-
-    def __init__(self, path: str) -> None:
+    #: White space to one kind of it, for whole texts; letters, too, unless there may be marks of special tokens.
+    BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+    LOWER = bytes.maketrans(b"\t\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
+    #: Words encoded at a time.
+    LOT = 512
+
+    def __init__(self, path: str, held: int = 250_000) -> None:
+        self.held = held  # words in a generation, about 180 bytes each
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.full = Tokenizer.from_file(path)
-        byte_level = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "ByteLevel")
-        lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
-        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [lines, byte_level]}, "added_tokens": []}))
-        self.unchanged = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+        self.plain, self.unchanged = Tokenizer(self.full.model), Tokenizer(self.full.model)  # one vocabulary in memory
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.unchanged.pre_tokenizer = self.full.pre_tokenizer
         vocabulary = spec["model"]["vocab"]
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for token, k in vocabulary.items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.runs: dict[bytes, bytes] = {}  # punctuation behind words
+        self.old: dict[bytes, bytes] = {}
 
     @staticmethod
     def _encode(tokenizer, words: list[bytes]) -> list[bytes]:
-        gc.disable()  # a list for each word: nothing to collect, much to walk through
         ids = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        gc.enable()
         flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
         ends = np.cumsum([4 * len(x) for x in ids]).tolist()
         return [flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
@@ -74,18 +91,20 @@ class _Words(dict):
     def _encode_plain(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for lo in range(0, len(words), self.LOT):
-            ids = np.array(self.plain.encode_batch_fast([b"\n".join(words[lo : lo + self.LOT]).decode()], add_special_tokens=False)[0].ids, "<u4")
+            lines = codecs.charmap_decode(b"\n".join(words[lo : lo + self.LOT]), "strict", _BYTE_LEVEL)[0]
+            ids = np.array(self.plain.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
             flat, ends = ids.tobytes(), (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             out += [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         return out
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words that are not there yet; they are there from now on."""
-        if len(self) + len(words) > self.HELD:
-            self.clear()
+        """The ids of words that are not in the younger generation; they are there from now on."""
+        out = {w: self.old[w] for w in words if w in self.old}
+        words = words.difference(out)
         split = self.PLAIN.findall(b"\n".join(words))
         cores = {core for core, _ in split}
-        out = {core: self[core] for core in cores if core in self}
+        for held in (self, self.old):
+            out.update({core: held[core] for core in cores if core in held})
         new = list(cores.difference(out))
         out.update(zip(new, self._encode_plain(new), strict=True))
         if len(self.runs) > 20_000:
@@ -95,32 +114,64 @@ class _Words(dict):
         run_ids = self.runs
         out.update({core + run: out[core] + run_ids[run] for core, run in split if run})
         rest = words.difference(out)
-        visible = [w for w in rest if self.VISIBLE.fullmatch(w)]
+        visible = [w for w in rest if b"<|" not in w and self.VISIBLE.fullmatch(w)]
         other = list(rest.difference(visible))
         out.update(zip(visible, self._encode(self.unchanged, visible), strict=True))
         out.update(zip(other, self._encode(self.full, other), strict=True))
+        if len(self) + len(out) > self.held:
+            self.old = dict(self)
+            self.clear()
         self.update(out)
         return out
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        flat = list(chain.from_iterable(split))
-        got = list(map(self.get, flat))
+        gc.disable()  # many small objects: nothing to collect, much to walk through
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        lot = b"".join([t.translate(self.BLANK if b"<|" in t else self.LOWER) + b" " for t in texts])
+        spaces = np.flatnonzero(np.frombuffer(lot, np.uint8) == 32)
+        starts = np.zeros(len(spaces) + 1, np.int64)
+        starts[1:] = spaces + 1
+        # each word has the one space behind it; between two spaces there is an empty word
+        found = pa.Array.from_buffers(pa.large_binary(), len(spaces), [None, pa.py_buffer(starts), pa.py_buffer(lot)]).dictionary_encode()
+        distinct = found.dictionary
+        words = distinct.buffers()[2].to_pybytes()[: np.frombuffer(distinct.buffers()[1], np.int64)[len(distinct)] - 1].split(b" ")
+        got = list(map(self.get, words))
         lacking = [k for k, ids in enumerate(got) if ids is None]
         if lacking:
-            new = self.learn({flat[k] for k in lacking})
+            new = self.learn({words[k] for k in lacking})
             for k in lacking:
-                got[k] = new[flat[k]]
-        ends = np.cumsum([len(x) for x in split]).tolist()
-        return [b"".join(got[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+                got[k] = new[words[k]]
+        flat = pa.array(got, pa.large_binary()).take(found.indices)
+        ends = np.searchsorted(spaces, np.cumsum([len(t) + 1 for t in texts]))
+        cuts = np.frombuffer(flat.buffers()[1], np.int64)[np.concatenate([[0], ends])].tolist()
+        data = memoryview(flat.buffers()[2] or b"")
+        return [bytes(data[lo:hi]) for lo, hi in pairwise(cuts)]
 
 
+#: Text that is encoded at a time, about.
+LOT_BYTES = 2_500_000
 _WORDS: dict[str, _Words] = {}  # one for each tokenizer in a Python worker, kept from task to task
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's tokens and the end token, cut at `capacity`."""
+def _words(path: str, held: int) -> _Words:
+    words = _WORDS.get(path)
+    if words is None:
+        words = _WORDS[path] = _Words(path)
+    words.held = held
+    return words
+
+
+def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 2048, with_ids: bool = False, held: int = 250_000) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's tokens and the end token, cut at `capacity`.
+
+    A Python worker holds the ids of at most 2 * `held` words, with the words of one lot of texts beside them.
+    """
 
     def cut(batches):
         if tokenizer:
@@ -129,16 +180,17 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        words, end, step = _WORDS.get(path) or _WORDS.setdefault(path, _Words(path)), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        words, end, step = _words(path, held), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 256):
+            lot = min(max(1, LOT_BYTES * batch.num_rows // (batch.nbytes + 1)), 4096)
+            for lo in range(0, len(ids), lot):
                 rows = []
-                for doc_id, own in zip(ids[lo : lo + 256], words.encoded(utf8(texts.slice(lo, 256))), strict=True):
+                for doc_id, own in zip(ids[lo : lo + lot], words.encoded(utf8(texts.slice(lo, lot))), strict=True):
                     data = own + end
                     for k, at in enumerate(range(0, len(data), step)):
                         part = data[at : at + step]
-                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
                 cols = list(zip(*rows, strict=True))
                 out = {"doc_id": pa.array(cols[0], pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(("piece", "start", "length", "ids_crc32"), cols[1:5], strict=True)}}
                 if with_ids:
@@ -147,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(cut), schema)
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -327,9 +379,9 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     return numbered.select(*cut.columns, "__number").mapInArrow(assign, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(keep(pieces(docs, tokenizer, end_id, capacity), "pack-pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 2048, held: int = 250_000) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  `held`: see `pieces`."""
+    return pack(keep(pieces(docs, tokenizer, end_id, capacity, held=held), "pack-pieces"), capacity)
 
 
 def sequences(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:

@@ -271,6 +271,20 @@ def test_words_are_encoded_as_whole_texts(texts):
     assert got == want
 
 
+def test_held_words_are_bounded():
+    """Words of older lots go, what comes again is right again, and each distinct word of a lot is asked for once."""
+    import public_tokenizers
+
+    words = packing._Words(public_tokenizers.path("word_bpe_49k.json"), held=40)
+    texts = [" ".join(f"{a}{b}{c}, é{b}{c}! {k}x" for k, c in enumerate("abcdef")) + "\t \n" for a in "qrst" for b in "uvwxyz"] * 2
+    want = [np.array(words.full.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    got = []
+    for lo in range(0, len(texts), 3):
+        got += words.encoded([t.encode() for t in texts[lo : lo + 3]])
+        assert len(words) <= 40 + 90 and len(words.old) <= 40 + 90  # a lot has at most 90 words, with and without marks
+    assert got == want and words.encoded([]) == [] and words.encoded([b"", b" "]) == [b"", b""]
+
+
 @functools.cache
 def _words():
     import public_tokenizers
