@@ -271,6 +271,19 @@ def test_words_are_encoded_as_whole_texts(texts):
     assert got == want
 
 
+def test_stages_send_small_batches(spark):
+    import corpus_pipeline
+
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("64", "64")):
+            spark.conf.set(name, given)
+            corpus_pipeline.pack_sequences(spark, docs_of(spark, [(1, "a b", "s")]), "")
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_held_words_are_bounded():
     """Words of older lots go, what comes again is right again, and each distinct word of a lot is asked for once."""
     import public_tokenizers
