@@ -80,7 +80,7 @@ def discard_part(kept: DataFrame, part: str) -> None:
 
 def collect_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are done: it does so when the driver collects its garbage."""
-    gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -92,6 +92,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function for `mapInArrow`, which gives the memory it held back to the system when a task ends: workers live on."""
 
@@ -99,10 +107,7 @@ def released(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         try:
             yield from batches(rows)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):  # a C library without it keeps the memory
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run
 

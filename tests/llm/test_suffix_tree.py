@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -47,6 +48,22 @@ def test_tables_give_what_the_head_gives(spark, monkeypatch, head, p_word):
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=0, atol=1e-6) for i in want)
 
 
+def test_what_scores_need_of_the_tables_is_small(spark, monkeypatch):
+    """A key that the head lacks is asked for once for some documents, not once for each token and level."""
+    docs = chain(spark)
+    model, words = suffix_lm.train_tree(docs, 0)
+    kept, keep = {}, suffix_lm.keep
+
+    def noted(df, name, *more, **named):
+        out = keep(df, name, *more, **named)
+        kept[name] = sum(f.stat().st_size for f in Path(out.kept_at.removeprefix("file:")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(suffix_lm, "keep", noted)
+    tokens = sum(r["n_tokens"] for r in suffix_lm.score(docs, model, words).collect())
+    assert tokens > 10_000 and sum(kept.values()) < 8 * tokens
+
+
 def strings(texts):
     """Every document as hashable symbols."""
     return [[*t.lower().split(), None] for t in texts]
