@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -101,8 +102,9 @@ def give_back() -> None:
 
 
 def released(batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function for `mapInArrow`, which gives the memory it held back to the system when a task ends: workers live on."""
+    """The function for `mapInArrow` or an iterator UDF, which gives the memory it held back to the system when a task ends: workers live on."""
 
+    @functools.wraps(batches)
     def run(rows):
         try:
             yield from batches(rows)

@@ -15,6 +15,7 @@ the base rules alone decide.  Columns of the input keep their names, values and
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import labelled_sample, utf8
+from quaymark.llm.common import labelled_sample, released, utf8
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -181,15 +182,16 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 120, l2: float =
     return w, t
 
 
-def _line_features(texts: pa.Array) -> pa.Array:
-    reader = Reader()
-    return pa.array([reader.read(x)[2].tobytes() for x in utf8(texts)], pa.binary())
+def _line_features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        reader = Reader()
+        yield pa.array([reader.read(x)[2].tobytes() for x in utf8(texts)], pa.binary())
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000) -> tuple[np.ndarray, np.ndarray]:
     """Fit the field on at most `max_docs` labelled documents, in one task; only the weights come to the driver."""
     sample = F.broadcast(labelled_sample(docs, labels, "quality", max_docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "y", F.arrow_udf(_line_features, "binary")("text").alias("x"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "y", F.arrow_udf(released(_line_features), "binary")("text").alias("x"))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))  # one row for each id, so that the bound holds
 
     def fit_group(t: pa.Table) -> pa.Table:

@@ -318,7 +318,7 @@ def proposals(rows: DataFrame, parts: int, percent: int, most: int, hot) -> Data
         for batch in _slices(batches):
             probes = [np.frombuffer(p, np.uint64) for p in batch.column("probe").to_pylist()]
             of = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
-            key, pos = np.concatenate(probes), np.frombuffer(b"".join(batch.column("pos").to_pylist()), np.int32)
+            key, pos = np.concatenate(probes), np.frombuffer(b"".join(_places(batch)), np.int32)
             node, lot = batch.column("node").to_numpy()[of], np.zeros(len(key), np.int32)
             part = _parts_of(key, parts)
             if len(keys):
@@ -410,13 +410,18 @@ def proposals(rows: DataFrame, parts: int, percent: int, most: int, hot) -> Data
     return dealt.mapInArrow(released(by_part), "a long, b long, key long").distinct()
 
 
+def _places(batch: pa.RecordBatch) -> list[bytes]:
+    """The places of the probing ends' n-grams; null: all of them, from the far end of the order.  Made where they are read: one more Python step would be one more worker for each task."""
+    return [np.arange(len(p) // 8 - 1, -1, -1, dtype=np.int32).tobytes() if at is None else at for p, at in zip(batch.column("probe").to_pylist(), batch.column("pos").to_pylist(), strict=True)]
+
+
 def _open_postings(rows: DataFrame, bits) -> DataFrame:
     """The rows with the n-grams of their probing end, and their places, that `bits` (a broadcast bitmap) may hold."""
 
     def narrow(batches):
         for batch in _slices(batches):
             probes, places = [], []
-            for p, at in zip(batch.column("probe").to_pylist(), batch.column("pos").to_pylist(), strict=True):
+            for p, at in zip(batch.column("probe").to_pylist(), _places(batch), strict=True):
                 k, at = np.frombuffer(p, np.uint64), np.frombuffer(at, np.int32)
                 hit = in_bitmap(bits.value, k.view(np.int64))
                 probes.append(k[hit].tobytes())
@@ -582,15 +587,9 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 75, hot: int = HOT,
         discard(pairs, wanted, sets)
         return found
 
-    def placed_at_end(batches):
-        for batch in batches:
-            sizes = pa.compute.binary_length(batch.column("probe")).to_numpy() // 8
-            pos = [np.arange(m - 1, -1, -1, dtype=np.int32).tobytes() for m in sizes.tolist()]  # from the far end of the order
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pos, pa.binary())], [*batch.schema.names, "pos"])
-
     links = links_of(met, "ngram-first")
     comps = keep(components(links), "ngram-components")
-    source = members.select("node", "size", "sig", "probe").mapInArrow(placed_at_end, "node long, size int, sig binary, probe binary, pos binary")
+    source = members.select("node", "size", "sig", "probe", F.lit(None).cast("binary").alias("pos"))
     spent: list[DataFrame] = []
     while True:
         weight = comps.groupBy("comp").agg(F.floor(F.log2(F.count("*").cast("double"))).cast("tinyint").alias("weight"))

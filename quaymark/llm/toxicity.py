@@ -15,13 +15,14 @@ the input keep their names, values and order in `filter_documents`.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import held_out, labelled_sample, utf8
+from quaymark.llm.common import give_back, held_out, labelled_sample, released, utf8
 
 _STRIP = b".,;:!?()[]{}\"'*#$%&|<>-_"
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -59,7 +60,30 @@ class Features:
         return np.unique(self.raw(text))
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 20.0, l2: float = 1.0, passes: int = 3) -> np.ndarray:
+def packed(x: np.ndarray, bits: int) -> bytes:
+    """Sorted numbers below 2**bits in half the room: how many there are for each value of their upper bits, then the lower 16 bits of each."""
+    return np.bincount(x >> 16, minlength=1 << max(0, bits - 16)).astype(np.uint32).tobytes() + x.astype(np.uint16).tobytes()
+
+
+def unpacked(x, bits: int) -> np.ndarray:
+    upper = 1 << max(0, bits - 16)
+    return (np.repeat(np.arange(upper), np.frombuffer(x, np.uint32, upper)) << 16) + np.frombuffer(x, np.uint16, offset=4 * upper)
+
+
+class Examples:
+    """Examples that are unpacked each time they are read, so that they are held packed."""
+
+    def __init__(self, rows: list[tuple[pa.Buffer, int]], bits: int) -> None:
+        self.rows, self.bits = rows, bits
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        return ((unpacked(x, self.bits), y) for x, y in self.rows)
+
+
+def ftrl(examples: list[tuple[np.ndarray, int]] | Examples, bits: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 20.0, l2: float = 1.0, passes: int = 3) -> np.ndarray:
     """Dense weights after `passes` over the examples in order; both labels weigh the same in all."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     ys = [y for _, y in examples]
@@ -74,29 +98,39 @@ def ftrl(examples: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.3,
             more = nx + g * g
             z[x] = zx + g - (np.sqrt(more) - np.sqrt(nx)) / alpha * w
             n[x] = more
-    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+    for lo in range(0, len(z), 1 << 16):  # in place and in pieces: no more dense arrays beside these two
+        zx, nx = z[lo : lo + (1 << 16)], n[lo : lo + (1 << 16)]
+        zx[:] = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(nx)) / alpha + l2))
+    return z
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 22, max_docs: int = 16000, shards: int = 2, parts_out: int = 5) -> dict:
     """Fit on at most `max_docs` labelled rows whose id is not held out; the driver gets the non-zero weights."""
     sample = F.broadcast(labelled_sample(docs, labels, "toxic", max_docs, parts_out))
 
-    def features(texts: pa.Array) -> pa.Array:
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = Features(bits)
-        return pa.array([f.of(t).astype(np.uint32).tobytes() for t in utf8(texts)], pa.binary())
+        for texts in batches:
+            yield pa.array([packed(f.of(t), bits) for t in utf8(texts)], pa.binary())
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "y", F.arrow_udf(features, "binary")("text").alias("x"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "y", F.arrow_udf(released(features), "binary")("text").alias("x"))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))  # one row for each id, so that the bound holds
 
     def learn(t: pa.Table) -> pa.Table:
-        ids, xs, ys = t["doc_id"].to_numpy(), t["x"].to_pylist(), t["y"].to_pylist()
+        ids, xs, ys = t["doc_id"].to_numpy(), [x.as_buffer() for x in t["x"]], t["y"].to_pylist()  # views: the features lie in memory once
         order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i]))
-        examples = [(np.frombuffer(xs[i], np.uint32), int(ys[i] > 0)) for i in order]
+        examples = Examples([(xs[i], int(ys[i] > 0)) for i in order], bits)
         w = ftrl(examples, bits)
         at = np.flatnonzero(w)
-        return pa.table({"at": at.astype(np.int64), "w": w[at], "n": np.full(len(at), len(examples)), "toxic": np.full(len(at), sum(y for _, y in examples))})
+        return pa.table({"at": at.astype(np.int64), "w": w[at], "n": np.full(len(at), len(examples)), "toxic": np.full(len(at), sum(y > 0 for y in ys))})
+
+    def learned(t: pa.Table) -> pa.Table:
+        try:
+            return learn(t)
+        finally:
+            give_back()
 
-    found = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(learn, "at long, w double, n long, toxic long")
+    found = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(learned, "at long, w double, n long, toxic long")
     got = found.groupBy("at").agg((F.sum("w") / shards).alias("w")).toArrow()  # at most 2**bits rows
     at, w = got["at"].to_numpy(), got["w"].to_numpy()
     order = np.argsort(at)
@@ -107,20 +141,21 @@ def scorer(docs: DataFrame, model: dict):
     """A column function text -> probability that the text is toxic, by a broadcast of the sparse weights."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(texts: pa.Array) -> pa.Array:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         f = Features(m["bits"])
         live = np.zeros(1 << m["bits"], np.float32)
         live[m["at"]] = m["w"]
-        out = []
-        for t in utf8(texts):
-            x = f.raw(t)
-            x = x[live[x] != 0]  # a few: only these are made distinct
-            s = float(live[np.unique(x)].sum(dtype=np.float64)) if len(m["at"]) else -35.0
-            out.append(1 / (1 + np.exp(-min(max(s, -35.0), 35.0))))
-        return pa.array(out, pa.float64())
-
-    return F.arrow_udf(score, "double").asNondeterministic()  # else the optimiser may run it once more for a filter
+        for texts in batches:
+            out = []
+            for t in utf8(texts):
+                x = f.raw(t)
+                x = x[live[x] != 0]  # a few: only these are made distinct
+                s = float(live[np.unique(x)].sum(dtype=np.float64)) if len(m["at"]) else -35.0
+                out.append(1 / (1 + np.exp(-min(max(s, -35.0), 35.0))))
+            yield pa.array(out, pa.float64())
+
+    return F.arrow_udf(released(score), "double").asNondeterministic()  # else the optimiser may run it once more for a filter
 
 
 def assess(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:

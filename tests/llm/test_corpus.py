@@ -10,6 +10,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -82,6 +83,13 @@ def test_join_of_nothing(spark):
     assert ngrams_of(docs_of(spark, [(1, None, None), (2, "", None)])) == {(1, 0, 1): 1, (2, 0, 2): 1}
 
 
+def test_places_are_made_where_they_are_read():
+    probe = pa.array([np.arange(3, dtype=np.uint64).tobytes(), b"", np.arange(2, dtype=np.uint64).tobytes()], pa.binary())
+    pos = pa.array([None, None, np.array([9, 4], np.int32).tobytes()], pa.binary())
+    got = ngram_join._places(pa.RecordBatch.from_pydict({"probe": probe, "pos": pos}))
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [[2, 1, 0], [], [9, 4]]
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{k}" for k in range(50))
     docs = docs_of(spark, [(3, text, "a"), (1, text + " x", "b"), (1, text + " x", "b"), (2, "other words", "c"), (None, text, "d")])

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -49,6 +50,22 @@ def test_ftrl_is_sparse_and_separates():
     assert w[1] > 0 > w[2] and (w == 0).mean() > 0.9
 
 
+@given(st.sets(st.integers(0, (1 << 18) - 1), max_size=60), st.sampled_from([18, 22]))
+def test_packed_features_are_read_back(numbers, bits):
+    x = np.array(sorted(numbers), np.int64)
+    assert toxicity.unpacked(toxicity.packed(x, bits), bits).tolist() == x.tolist()
+    assert len(toxicity.packed(x, bits)) == 2 * len(x) + (4 << bits - 16)
+
+
+def test_ftrl_holds_two_dense_arrays():
+    examples = [(np.arange(0, 1 << 20, 64 + y, dtype=np.uint32), y) for y in (0, 1)]
+    tracemalloc.start()
+    toxicity.ftrl(examples, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * (8 << 20)
+
+
 def objective(sequences, w, t, l2):
     """Weighted log likelihood by enumeration of all labellings, less the penalty, for each document."""
     y = [label for _, label in sequences]
