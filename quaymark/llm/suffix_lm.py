@@ -234,6 +234,37 @@ def _joined(chunks: list[bytes], kind=np.int64) -> np.ndarray:
     return np.frombuffer(b"".join(chunks), kind)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """64-bit numbers by bytes of equal rank, which compresses better."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(x: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, by their distances."""
+    return _planes(np.diff(keys, prepend=0))
+
+
+def _unpacked_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(x))
+
+
+def _packed_answers(values: np.ndarray, there: np.ndarray) -> bytes:
+    """A bit for each, and those values that are there."""
+    return np.packbits(there).tobytes() + _planes(values[there])
+
+
+def _unpacked_answers(x: bytes, n: int) -> np.ndarray:
+    """The `n` values, NaN for those that are not there."""
+    bits = -(-n // 8)
+    out = np.full(n, np.nan)
+    out[np.unpackbits(np.frombuffer(x, np.uint8, bits), count=n).astype(bool)] = _from_planes(x[bits:], np.float64)
+    return out
+
+
 def word_counts(train: DataFrame, parts: int) -> DataFrame:
     """(key, c) of all words."""
 
@@ -283,11 +314,14 @@ def entry_counts(train: DataFrame, shared, parts: int, first: int, upto: int) ->
             ctx, last, sub = (np.concatenate(x) for x in zip(*held[k], strict=True))
             held[k].clear()
             key = _mix(ctx, last)
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            ctx, last, n = ctx[at], last[at], n.astype(np.int32)
+            o = np.argsort(key)  # equal keys have equal contexts, last words and suffixes: any order among them will do
+            key = key[o]
+            start = np.flatnonzero(np.diff(key, prepend=-1))
+            key, at, n = key[start], o[start], np.diff(start, append=len(o)).astype(np.int32)
+            ctx, last = ctx[at], last[at]
             sub = sub[at] if k > 1 else None
             part = _part(np.where(_find(hot, ctx)[1], key, ctx) if k == first else key, parts).astype(np.uint16 if parts < 1 << 16 else np.int64)
-            o = np.argsort(ctx, kind="stable")
+            o = np.argsort(ctx)
             o = o[np.argsort(part[o], kind="stable")]
             part, ctx, last, n = part[o], ctx[o], last[o], n[o]
             runs = np.flatnonzero((np.diff(ctx, prepend=-1) != 0) | np.concatenate([[True], part[1:] != part[:-1]]))
@@ -321,7 +355,7 @@ def entry_counts(train: DataFrame, shared, parts: int, first: int, upto: int) ->
             start = np.flatnonzero(np.diff(key[o], prepend=-1))
             n = np.add.reduceat(n[o], start)
             at, n = o[start[n >= MIN_ENTRY]], n[n >= MIN_ENTRY]
-            o = np.argsort(ctx[at], kind="stable")  # equal contexts together, which is smaller
+            o = np.argsort(ctx[at])  # equal contexts together, which is smaller
             at, n = at[o], n[o]
             sfx = last[at] if level == 1 else _mix(np.repeat(_joined(sub), of)[at], last[at])
             yield pa.RecordBatch.from_pydict({"level": np.full(len(at), level), "key": key[at], "ctx": ctx[at], "sfx": sfx, "c": n})
@@ -438,7 +472,7 @@ def train_tree(train: DataFrame, head: int = HEAD, depth: int | None = None) ->
         collect_shuffles(spark)
         below = entries.select("key", "p")
     discard(*strings[max(1, len(filters)) :], *contexts, *([own] if own is not None else []))
-    model = {"total": total, "distinct": distinct, "norm": norm, "numbers": range(len(h)), "h": h, "log_root": np.log10((c + 0.1) / norm), "filters": filters, "least": total * P_WORD, "tails": [], "tables": tables}
+    model = {"total": total, "distinct": distinct, "norm": norm, "numbers": range(len(h)), "h": h, "log_root": np.log10((c + 0.1) / norm), "filters": filters, "least": total * P_WORD, "tails": [], "tables": []}
     for name, value, rank, which in (("c1", "rest1", "t", 0), ("k1", "e1", "c", 1)):
         level_rows = [level[which].toDF("key", rank, "v") for level in tree]
         every = reduce(DataFrame.unionByName, level_rows) if level_rows else None
@@ -446,13 +480,15 @@ def train_tree(train: DataFrame, head: int = HEAD, depth: int | None = None) ->
         tail = None
         if n > head:
             least = _most_frequent(every, rank, head)
-            tail = every.where(F.col(rank) < least).select("key", "v")
+            tail = keep(every.where(F.col(rank) < least).select("key", "v"), f"lm-tail{which}")
             every = every.where(F.col(rank) >= least)
         k, v = _collected(every, 1 + min(n, head) // 2_000_000) if n else (np.zeros(0, np.int64), np.zeros(0))
         model |= {name: k, value: 10**v if which == 0 else v, f"{name}_tail": None if tail is None else key_bitmap(tail.select("key"), max(1, n - len(k)), BITS)}
         model["tails"].append(tail)
         del k, v
         give_back()
+    discard(*tables)  # all that scores need of them is in the head and the tails
+    model["tables"] = [t for t in model["tails"] if t is not None]
     return model, words
 
 
@@ -492,21 +528,27 @@ def _read(hashes: np.ndarray, at: np.ndarray, m: dict, whole: bool = True) -> di
     n_at, numbered = _find(m["h"], hashes)
     root = np.where(numbered, m["log_root"][n_at], 0.0) if len(m["h"]) else np.zeros(len(hashes))
     levels, asked = [], [hashes[~numbered & (hashes >= 0)]]
+    contexts = _look(hashes, m, "c1", m["log_rest"]) if whole else None  # of one word
     for behind, ctx, pos, key, _, _ in _walk(hashes, at, m["filters"]):
-        rest, has_rest = _look(ctx, m, "c1", m["log_rest"])
-        e, has_e = _look(key, m, "k1", m["log_e"])
-        for keys, known, tail, name in ((ctx, has_rest, m["c1_tail"], _CONTEXT), (key, has_e, m["k1_tail"], 0)):
-            if tail is not None:
-                keys = keys[~known]
-                asked.append(keys[in_bitmap(tail, keys)] ^ name)
+        own = []
+        for keys, tail, name, kind, log in ((ctx, m["c1_tail"], _CONTEXT, "c1", "log_rest"), (key, m["k1_tail"], 0, "k1", "log_e")):
+            v = known = None
+            if whole:
+                number = at[behind - 1] if kind == "c1" and not levels else None
+                v, known = _look(keys, m, kind, m[log]) if number is None else (x[number] for x in contexts)
+            # a few may be in the tables: only these are looked for elsewhere
+            far = np.flatnonzero(in_bitmap(tail, keys) if known is None else in_bitmap(tail, keys) & ~known) if tail is not None else np.zeros(0, np.int64)
+            if known is None and len(far):
+                far = far[~_look(keys[far], m, kind, m[log])[1]]
+            asked.append(keys[far] ^ name)
+            own += [v, known, far]
         if whole:
-            levels.append((behind, ctx, rest, has_rest, pos, key, e, has_e))
+            levels.append((behind, ctx, *own[:3], pos, key, *own[3:]))
     return {"numbered": numbered, "root": root, "levels": levels, "asked": np.unique(np.concatenate(asked))}
 
 
-def _fill(values: np.ndarray, known: np.ndarray, keys: np.ndarray, asked: np.ndarray, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values, completed by what the tables answered (NaN: nothing), and whether they are known."""
-    lack = np.flatnonzero(~known)
+def _fill(values: np.ndarray, known: np.ndarray, keys: np.ndarray, lack: np.ndarray, asked: np.ndarray, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values, completed at the places `lack` by what the tables answered (NaN: nothing), and whether they are known."""
     at, there = _find(asked, keys[lack])
     if there.any():
         found = np.where(there, answers[at], np.nan)
@@ -520,16 +562,16 @@ def _score(read: dict, hashes: np.ndarray, at: np.ndarray, m: dict, answers: np.
     """(whether the word is known, log probabilities of the root, of the tree) of the symbols; without answers the root of words without a number is 0."""
     known, root, asked = read["numbered"], read["root"], read["asked"]
     if answers is not None:
-        c, found = _fill(np.zeros(len(hashes)), known, hashes, asked, answers)
+        c, found = _fill(np.zeros(len(hashes)), known, hashes, np.flatnonzero(~known), asked, answers)
         root = np.where(known, root, np.log10((c + 0.1) / m["norm"]))
         known = found
     known, root = known[at], root[at]
     p, e_at, has = root.copy(), np.zeros(len(root)), np.zeros(len(root), bool)
-    for behind, ctx, rest, has_rest, pos, key, e, has_e in read["levels"]:
-        if answers is not None and m["c1_tail"] is not None:
-            rest, _ = _fill(rest, has_rest, ctx ^ _CONTEXT, asked, answers)
-        if answers is not None and m["k1_tail"] is not None:
-            e, has_e = _fill(e, has_e, key, asked, answers)
+    for behind, ctx, rest, has_rest, far_ctx, pos, key, e, has_e, far_key in read["levels"]:
+        if answers is not None and len(far_ctx):
+            rest, _ = _fill(rest, has_rest, ctx ^ _CONTEXT, far_ctx, asked, answers)
+        if answers is not None and len(far_key):
+            e, has_e = _fill(e, has_e, key, far_key, asked, answers)
         has[behind] = False
         has[pos], e_at[pos] = has_e, e
         p[behind] = np.where(has[behind], e_at[behind], p[behind] + rest)
@@ -552,7 +594,7 @@ _CONTEXT = 0x2545F4914F6CDD1D
 
 
 def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: int) -> DataFrame:
-    """(piece, part, answers): by parts of the hash space what the tables know of the keys that a piece asks for, in the order of the keys; NaN for nothing.
+    """(piece, part, answers): by parts of the hash space what the tables know of the keys that a piece asks for, in the order of the keys (see `_packed_answers`).
 
     Keys go to the parts packed, and so do the tables' rows: counts of the words without a number, entries and contexts.
     """
@@ -564,7 +606,7 @@ def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: in
                 keys = _read(*own, m, whole=False)["asked"]
                 give_back()
                 cuts = _cuts(_part(keys, parts))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "piece": pa.array([piece] * len(cuts), pa.int64()), "keys": pa.array([keys[lo:hi].tobytes() for _, lo, hi in cuts], pa.binary()), "v": pa.array([b""] * len(cuts), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "piece": pa.array([piece] * len(cuts), pa.int64()), "keys": pa.array([_packed_keys(keys[lo:hi]) for _, lo, hi in cuts], pa.binary()), "v": pa.array([b""] * len(cuts), pa.binary())})
 
     def tell(batches):
         held, size = [], 0
@@ -574,7 +616,7 @@ def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: in
             o = np.argsort(k)
             k, v = k[o], v[o]
             cuts = _cuts(_part(k, parts))
-            return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "piece": pa.array([-1] * len(cuts), pa.int64()), "keys": pa.array([k[lo:hi].tobytes() for _, lo, hi in cuts], pa.binary()), "v": pa.array([v[lo:hi].tobytes() for _, lo, hi in cuts], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "piece": pa.array([-1] * len(cuts), pa.int64()), "keys": pa.array([_packed_keys(k[lo:hi]) for _, lo, hi in cuts], pa.binary()), "v": pa.array([_planes(v[lo:hi]) for _, lo, hi in cuts], pa.binary())})
 
         for batch in batches:
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
@@ -597,12 +639,12 @@ def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: in
                     told.append((k, v))
                     continue
                 if keys is None:  # all that is told comes before what is asked
-                    keys, values = _joined([x for x, _ in told]), _joined([x for _, x in told], np.float64)
+                    keys = np.concatenate([np.zeros(0, np.int64), *(_unpacked_keys(x) for x, _ in told)])
+                    values = np.concatenate([np.zeros(0), *(_from_planes(x, np.float64) for _, x in told)])
                     o = np.argsort(keys)
                     keys, values, told = keys[o], values[o], []
-                place, there = _find(keys, np.frombuffer(k, np.int64))
-                found = np.where(there, values[place], np.nan) if len(keys) else np.full(len(there), np.nan)
-                answers.append((piece, part, found.tobytes()))
+                place, there = _find(keys, _unpacked_keys(k))
+                answers.append((piece, part, _packed_answers(values[place] if len(keys) else np.zeros(len(there)), there)))
             cols = list(zip(*answers, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_pydict({"piece": pa.array(cols[0], pa.int64()), "part": pa.array(cols[1], pa.int64()), "answers": pa.array(cols[2], pa.binary())})
 
@@ -637,7 +679,9 @@ def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10) -> D
             hashes, at = _unpacked(tokens.as_py(), distinct, size)
             n = np.array(n)
             starts = np.concatenate([[0], np.cumsum(n[:-1] + 1)])
-            known, root, p = _score(_read(hashes, at, m), hashes, at, m, _joined(told, np.float64))
+            read = _read(hashes, at, m)
+            answers = [_unpacked_answers(x, hi - lo) for x, (_, lo, hi) in zip(told, _cuts(_part(read["asked"], parts)), strict=True)]
+            known, root, p = _score(read, hashes, at, m, np.concatenate([np.zeros(0), *answers]))
             gap = starts + n
             known, root[gap], p[gap] = known & (at != 1), 0.0, 0.0
             sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), root, p)]

@@ -120,3 +120,21 @@ def test_tree_equals_brute_force(spark):
 def test_held_out_documents_gain(spark, data):
     got = suffix_lm.assess(spark.read.parquet(f"{data}/documents.parquet")).where("held_out").collect()
     assert len(got) > 5 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+def test_keys_and_answers_are_read_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 8, 1000):
+        keys, values, there = np.sort(rng.integers(0, 1 << 63, n)), rng.normal(size=n), rng.random(n) < 0.5
+        assert suffix_lm._unpacked_keys(suffix_lm._packed_keys(keys)).tolist() == keys.tolist()
+        packed = suffix_lm._packed_answers(values, there)
+        assert len(packed) == -(-n // 8) + 8 * int(there.sum())
+        got = suffix_lm._unpacked_answers(packed, n)
+        assert np.array_equal(np.isnan(got), ~there) and np.array_equal(got[there], values[there])
+
+
+def test_only_tails_stay(spark):
+    """Of the tree's tables scoring keeps on disk what the head lacks."""
+    model, _ = suffix_lm.train_tree(chain(spark), 60)
+    tails = [t for t in model["tails"] if t is not None]
+    assert tails and len(model["tables"]) == len(tails) and all(t.columns == ["key", "v"] for t in model["tables"])
