@@ -93,9 +93,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def give_back() -> None:
-    """Give freed memory back to the system."""
-    gc.collect()
+def give_back(cycles: bool = True) -> None:
+    """Give freed memory back to the system; `cycles`: look for objects that only hold each other, which takes longer."""
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # a C library without it keeps the memory
         ctypes.CDLL(None).malloc_trim(0)

@@ -46,8 +46,8 @@ DEPTH = 5
 HEAD, BITS, PART = 4_000_000, 1 << 26, 2_000_000
 #: From this level on all levels are counted at once: few strings are left.
 TOGETHER = 3
-#: Symbols of a row of packed documents, but for longer texts.
-PIECE = 1 << 18
+#: Symbols of a row of packed documents, but for longer texts; lots in which packed documents are scored, one after another.
+PIECE, LOTS = 1 << 18, 4
 
 
 def word_hash(word: bytes) -> int:
@@ -95,12 +95,16 @@ class _Piece:
         used = np.flatnonzero(seen)
         number = np.cumsum(seen, dtype=np.int32) - 1
         hashes = np.fromiter(map(numbers.hashes.__getitem__, used.tolist()), np.int64, len(used))
-        kind = np.uint16 if len(used) <= 1 << 16 else np.int32
-        return len(used), pa.compress(hashes.tobytes() + number[symbols].astype(kind).tobytes(), codec="zstd", asbytes=True)
+        number = number[symbols]
+        # by frequency, so that numbers are small, and by hash among equally frequent ones, so that distances are
+        order = np.lexsort((hashes, -np.bincount(number, minlength=len(used))))
+        rank = np.empty(len(used), np.uint32)
+        rank[order] = np.arange(len(used), dtype=np.uint32)
+        return len(used), pa.compress(_planes(np.diff(hashes[order], prepend=0)) + _planes(rank[number]), codec="zstd", asbytes=True)
 
 
 def tokenised(docs: DataFrame, out_of: int | None = None) -> DataFrame:
-    """One row for some documents of equal `held`: piece, held, ids, n (symbols of each), symbols, distinct, size, tokens (packed).  Kept as a table.
+    """One row for some documents of equal `held`: piece, held, ids, n (symbols of each), symbols, distinct, size, tokens (packed), lot.  Kept as a table, divided by lot.
 
     `held`: whether the ids are held out, one in `out_of`; never without it.
     """
@@ -115,7 +119,7 @@ def tokenised(docs: DataFrame, out_of: int | None = None) -> DataFrame:
             p, own[held] = own[held], _Piece()
             done += 1
             distinct, tokens = p.packed(numbers)
-            cols = {"piece": pa.array([first + done]), "held": pa.array([held]), "ids": pa.array([p.ids], pa.list_(ids.type)), "n": pa.array([p.n], pa.list_(pa.int64())), "symbols": pa.array([sum(p.n)]), "distinct": pa.array([distinct]), "size": pa.array([p.size]), "tokens": pa.array([tokens], pa.binary())}
+            cols = {"piece": pa.array([first + done]), "held": pa.array([held]), "ids": pa.array([p.ids], pa.list_(ids.type)), "n": pa.array([p.n], pa.list_(pa.int64())), "symbols": pa.array([sum(p.n)]), "distinct": pa.array([distinct]), "size": pa.array([p.size]), "tokens": pa.array([tokens], pa.binary()), "lot": pa.array([(done + (first >> 32)) % LOTS], pa.int32())}
             return pa.RecordBatch.from_pydict(cols)
 
         for batch in batches:
@@ -131,15 +135,14 @@ def tokenised(docs: DataFrame, out_of: int | None = None) -> DataFrame:
         yield from [row(held) for held in own if own[held].n]
 
     held = held_out(F.col("doc_id"), out_of) if out_of else F.lit(False)
-    rows = docs.select("doc_id", "text", held.alias("held")).mapInArrow(released(read), f"piece long, held boolean, ids array<{id_type}>, n array<long>, symbols long, distinct long, size long, tokens binary")
-    return keep(rows, "lm-tokens", "none")
+    rows = docs.select("doc_id", "text", held.alias("held")).mapInArrow(released(read), f"piece long, held boolean, ids array<{id_type}>, n array<long>, symbols long, distinct long, size long, tokens binary, lot int")
+    return keep(rows, "lm-tokens", "none", by="lot")
 
 
 def _unpacked(tokens: bytes, distinct: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, numbers of the symbols) of a piece; hash -1 is behind each document."""
-    kind = np.uint16 if distinct <= 1 << 16 else np.int32
-    raw = pa.decompress(tokens, 8 * distinct + size * np.dtype(kind).itemsize, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, np.int64, distinct), np.frombuffer(raw, kind, size, 8 * distinct)
+    raw = pa.decompress(tokens, 8 * distinct + 4 * size, codec="zstd", asbytes=True)
+    return np.cumsum(_from_planes(raw[: 8 * distinct])), _from_planes(raw[8 * distinct :], np.int32)
 
 
 def _pieces(batch: pa.RecordBatch):
@@ -204,6 +207,12 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
+def _different(keys: np.ndarray) -> np.ndarray:
+    """The different keys, ascending (`np.unique` goes by a hash table, which takes longer)."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part of the hash space that each key lies in."""
     return (keys >> 32) * parts >> 31
@@ -235,12 +244,12 @@ def _joined(chunks: list[bytes], kind=np.int64) -> np.ndarray:
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """64-bit numbers by bytes of equal rank, which compresses better."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers by bytes of equal rank, which compresses better."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
 
 
 def _from_planes(x: bytes, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
@@ -279,7 +288,7 @@ def word_counts(train: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for hashes, at in _pieces(batch):
                 n = np.bincount(at, minlength=len(hashes))
-                n[1] = 0
+                n[hashes < 0] = 0
                 keys.append(hashes[n > 0])
                 counts.append(n[n > 0])
                 size += len(keys[-1])
@@ -294,62 +303,127 @@ def word_counts(train: DataFrame, parts: int) -> DataFrame:
             k, n = _summed(_joined(keys), _joined(counts, np.int32).astype(np.int64))
             yield pa.RecordBatch.from_pydict({"key": k, "c": n})
 
-    dealt = train.select("distinct", "size", "tokens").mapInArrow(released(count), "part long, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
+    dealt = train.coalesce(max(12, parts // 2)).select("distinct", "size", "tokens").mapInArrow(released(count), "part long, keys binary, counts binary").repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(released(add), "key long, c long")
 
 
+def _words(numbers: np.ndarray, frequent: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The hashes of words: of number n from 1 `frequent[n - 1]`, of -1, -2, ... those of `others`."""
+    out = np.empty(numbers.shape, np.int64)
+    known = numbers > 0
+    out[known], out[~known] = frequent[numbers[known] - 1], others[-1 - numbers[~known]]
+    return out
+
+
+def _names(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the strings in the rows, and of these without their first words (of single words: 0)."""
+    whole, suffix = words[:, 0], np.zeros(len(words), np.int64)
+    for j in range(1, words.shape[1]):
+        suffix = words[:, j] if j == 1 else _mix(suffix, words[:, j])
+        whole = _mix(whole, words[:, j])
+    return whole, suffix
+
+
+class _Sent:
+    """Rows of a count and the numbers of some words, as bytes of equal rank behind each other, and the hashes of the words without a number."""
+
+    def __init__(self, counts: np.ndarray, numbers: np.ndarray, others: np.ndarray):
+        known = numbers > 0
+        every = np.concatenate([counts, np.where(known, numbers, 0).astype(np.uint32)], axis=1)
+        self.planes = np.ascontiguousarray(every.view(np.uint8).T)
+        self.hashes = others[-1 - numbers[~known]]
+        self.starts = np.concatenate([[0], np.cumsum((~known).sum(1))])
+
+    def part(self, lo: int, hi: int) -> bytes:
+        return self.planes[:, lo:hi].tobytes() + self.hashes[self.starts[lo] : self.starts[hi]].tobytes()
+
+    @staticmethod
+    def read(raw: memoryview, rows: int, words: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, memoryview]:
+        """(counts, hashes of the words, what follows)"""
+        end = 4 * (words + 1) * rows
+        every = np.ascontiguousarray(np.frombuffer(raw[:end], np.uint8).reshape(-1, rows).T).view(np.uint32)
+        numbers = every[:, 1:].astype(np.int32)
+        rare = numbers == 0
+        last = end + 8 * int(rare.sum())
+        numbers[rare] = -1 - np.arange((last - end) // 8)
+        return every[:, 0], _words(numbers, frequent, np.frombuffer(raw[end:last], np.int64)), raw[last:]
+
+
 def entry_counts(train: DataFrame, shared, parts: int, first: int, upto: int) -> DataFrame:
     """(level, key, ctx, sfx, c) of levels `first` to `upto`: the strings that come `MIN_ENTRY` times, the contexts before them and the entries of the contexts' suffixes.
 
-    `shared`: a broadcast of the filters, `first` of them, and of the sorted contexts that come so often that their entries are
-    dealt over all parts.  Contexts of later levels may come less than `MIN_CONTEXT` times.  Tasks send a string once in a while:
-    by runs of equal contexts these, their suffixes and the number of strings, and the strings' last words and counts.
+    `shared`: a broadcast of the filters, `first` of them, of the sorted contexts that come so often that their entries are
+    dealt over all parts, and of the most frequent words.  Contexts of later levels may come less than `MIN_CONTEXT` times.  Tasks
+    send a string once in a while: by runs of equal contexts the words of these and the number of strings, and the strings' last
+    words and counts.  Words go as numbers, 0 before the hash of one that has none; hashes of strings are made again from them.
     """
 
     def count(batches):
-        (levels, hot), size = shared.value, 0
+        (levels, hot, frequent), size = shared.value, 0
+        by_hash = np.argsort(frequent).astype(np.int32)
+        ordered = frequent[by_hash]
         held: dict[int, list] = {k: [] for k in range(first, upto + 1)}
+        rare, n_rare = [], 0
 
-        def packed(k):
-            ctx, last, sub = (np.concatenate(x) for x in zip(*held[k], strict=True))
+        def packed(k, others):
+            key, ctx, words = (np.concatenate(x) for x in zip(*held[k], strict=True))
             held[k].clear()
-            key = _mix(ctx, last)
-            o = np.argsort(key)  # equal keys have equal contexts, last words and suffixes: any order among them will do
+            o = np.argsort(key)  # equal keys have equal words: any order among them will do
             key = key[o]
             start = np.flatnonzero(np.diff(key, prepend=-1))
-            key, at, n = key[start], o[start], np.diff(start, append=len(o)).astype(np.int32)
-            ctx, last = ctx[at], last[at]
-            sub = sub[at] if k > 1 else None
+            key, at, n = key[start], o[start], np.diff(start, append=len(o)).astype(np.uint32)
+            ctx = ctx[at]
             part = _part(np.where(_find(hot, ctx)[1], key, ctx) if k == first else key, parts).astype(np.uint16 if parts < 1 << 16 else np.int64)
             o = np.argsort(ctx)
             o = o[np.argsort(part[o], kind="stable")]
-            part, ctx, last, n = part[o], ctx[o], last[o], n[o]
+            part, ctx, n, words = part[o], ctx[o], n[o], words[at[o]]
             runs = np.flatnonzero((np.diff(ctx, prepend=-1) != 0) | np.concatenate([[True], part[1:] != part[:-1]]))
-            length = np.diff(runs, append=len(ctx)).astype(np.int32)
             cuts = _cuts(part.astype(np.int64))
             ends = np.searchsorted(runs, [hi for _, _, hi in cuts]).tolist()
-            by_run = list(zip([0, *ends[:-1]], ends, strict=True))
-            own_ctx, own_sub = ctx[runs], sub[o][runs] if k > 1 else ctx[:0]
-            cols = {c: [a[lo:hi].tobytes() for lo, hi in by_run] for c, a in (("ctx", own_ctx), ("sub", own_sub), ("runs", length))}
-            cols |= {c: [a[lo:hi].tobytes() for _, lo, hi in cuts] for c, a in (("last", last), ("counts", n))}
-            return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "level": pa.array([k] * len(cuts), pa.int64())} | {c: pa.array(x, pa.binary()) for c, x in cols.items()})
+            rows = []
+            sent = [_Sent(np.diff(runs, append=len(ctx)).astype(np.uint32)[:, None], words[runs, :k], others), _Sent(n[:, None], words[:, k:], others)]
+            for (p, lo, hi), run_lo, run_hi in zip(cuts, [0, *ends[:-1]], ends, strict=True):
+                raw = sent[0].part(run_lo, run_hi) + sent[1].part(lo, hi)
+                rows.append((p, k, run_hi - run_lo, hi - lo, len(raw), pa.compress(raw, codec="zstd", asbytes=True)))
+            kinds = (pa.int64(),) * 5 + (pa.binary(),)
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "level", "runs", "strings", "size", "packed"])
+
+        def all_packed():
+            others = np.concatenate(rare) if rare else np.zeros(0, np.int64)
+            rare.clear()
+            yield from (packed(k, others) for k in held if held[k])
 
         for batch in batches:
             for hashes, at in _pieces(batch):
-                for k, (_, _, pos, key, ctx, sub) in enumerate(_walk(hashes, at, levels, upto - first), 1):
+                place, there = _find(ordered, hashes)
+                number = np.empty(len(hashes), np.int32)  # from 1; -1, -2, ... for those among `rare`
+                number[there] = by_hash[place[there]] + 1
+                others = hashes[~there]
+                number[~there] = -1 - n_rare - np.arange(len(others), dtype=np.int32)
+                rare.append(others)
+                n_rare += len(others)
+                number = number[at]
+                for k, (_, _, pos, key, ctx, _) in enumerate(_walk(hashes, at, levels, upto - first), 1):
                     if k >= first and len(key):
-                        held[k].append((ctx, hashes[at[pos]], sub if k > 1 else sub[:0]))
+                        held[k].append((key, ctx, np.stack([number[pos - j] for j in range(k, -1, -1)], axis=1)))
                         size += len(key)
                 if size > 1_000_000:
-                    yield from (packed(k) for k in held if held[k])
-                    size = 0
+                    yield from all_packed()
+                    size = n_rare = 0
                     give_back()
-        yield from (packed(k) for k in held if held[k])
+        yield from all_packed()
 
     def add(batches):
-        for (_, level), (ctx, sub, runs, last, counts) in _by_part(batches, 2, 5):
-            of = _joined(runs, np.int32)
-            ctx, last, n = np.repeat(_joined(ctx), of), _joined(last), _joined(counts, np.int32).astype(np.int64)
+        frequent = shared.value[2]
+        for (_, level), columns in _by_part(batches, 2, 4):
+            got = []
+            for runs, strings, size, packed in zip(*columns, strict=True):
+                raw = memoryview(pa.decompress(packed, size, codec="zstd", asbytes=True))
+                of, ctx_words, raw = _Sent.read(raw, runs, level, frequent)
+                n, last, _ = _Sent.read(raw, strings, 1, frequent)
+                got.append((of, n, last[:, 0], *_names(ctx_words)))
+            of, n, last, ctx, sub = (np.concatenate(x) for x in zip(*got, strict=True))
+            ctx, n = np.repeat(ctx, of), n.astype(np.int64)
             key = _mix(ctx, last)
             o = np.argsort(key)
             start = np.flatnonzero(np.diff(key[o], prepend=-1))
@@ -357,10 +431,10 @@ def entry_counts(train: DataFrame, shared, parts: int, first: int, upto: int) ->
             at, n = o[start[n >= MIN_ENTRY]], n[n >= MIN_ENTRY]
             o = np.argsort(ctx[at])  # equal contexts together, which is smaller
             at, n = at[o], n[o]
-            sfx = last[at] if level == 1 else _mix(np.repeat(_joined(sub), of)[at], last[at])
+            sfx = last[at] if level == 1 else _mix(np.repeat(sub, of)[at], last[at])
             yield pa.RecordBatch.from_pydict({"level": np.full(len(at), level), "key": key[at], "ctx": ctx[at], "sfx": sfx, "c": n})
 
-    dealt = train.select("distinct", "size", "tokens").mapInArrow(released(count), "part long, level long, ctx binary, sub binary, runs binary, last binary, counts binary").repartition(parts, "part").sortWithinPartitions("part", "level")
+    dealt = train.coalesce(max(12, parts // 2)).select("distinct", "size", "tokens").mapInArrow(released(count), "part long, level long, runs long, strings long, size long, packed binary").repartition(parts, "part").sortWithinPartitions("part", "level")
     return dealt.mapInArrow(released(add), "level long, key long, ctx long, sfx long, c long")
 
 
@@ -369,7 +443,7 @@ def _test(rows: DataFrame, contexts: DataFrame, total: int) -> DataFrame:
     cost = math.log(max(total, 2))
     c, q = F.col("c"), F.col("q")
     of = rows.groupBy("ctx").agg(F.count("*").alias("n"), F.sum("c").alias("e"), F.sum("q").alias("sq"), F.sum(c * F.log(c / q)).alias("gain"))
-    of = of.join(contexts, "ctx")
+    of = of.join(contexts.hint("shuffle_hash"), "ctx")
     t, n = F.col("t"), F.col("n")
     left = F.greatest(t - F.col("e"), F.lit(0))
     small = lambda x: F.greatest(x, F.lit(1e-12))
@@ -421,6 +495,7 @@ def train_tree(train: DataFrame, head: int = HEAD, depth: int | None = None) ->
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = words.where(F.col("c") >= total * P_WORD).toArrow()  # at most 1 / P_WORD rows
     h, c = frequent["h"].to_numpy(), frequent["c"].to_numpy()
+    numbered = h[np.argsort(-c, kind="stable")]
     order = np.argsort(h)
     h, c = h[order], c[order]
     norm = total + 0.1 * (distinct + 1)
@@ -441,7 +516,7 @@ def train_tree(train: DataFrame, head: int = HEAD, depth: int | None = None) ->
         k = len(strings)
         if k <= TOGETHER:
             hot = contexts[-1].where(F.col("t") >= total / (4 * parts)).select("ctx").toArrow()["ctx"].to_numpy()  # at most 4 for each part
-            shared = spark.sparkContext.broadcast((filters, np.sort(hot)))
+            shared = spark.sparkContext.broadcast((filters, np.sort(hot), numbered))
             counts = entry_counts(tokens, shared, parts, k, depth if k == TOGETHER else k)
             if k < TOGETHER:
                 strings.append(keep(counts.drop("level"), f"lm-count{k}", "zstd"))
@@ -459,13 +534,13 @@ def train_tree(train: DataFrame, head: int = HEAD, depth: int | None = None) ->
     below = words.select(F.col("h").alias("key"), ((F.col("c") + 0.1) / F.lit(float(norm))).alias("p"))
     tree, tables = [], []
     for k in range(1, len(filters)):
-        rows = strings[k].join(below.select(F.col("key").alias("sfx"), F.col("p").alias("q")), "sfx").select("key", "ctx", "c", "q")
+        rows = strings[k].join(below.select(F.col("key").alias("sfx"), F.col("p").alias("q")).hint("shuffle_hash"), "sfx").select("key", "ctx", "c", "q")
         rows = keep(rows, f"lm-level{k}")
         discard(strings[k])
         collect_shuffles(spark)
         tested = keep(_test(rows, contexts[k - 1], total), f"lm-contexts{k}")
         p = F.when(F.col("keep"), (F.col("c") - DISCOUNT) / F.col("t") + F.col("rest") * F.col("q")).otherwise(F.col("q"))
-        entries = keep(rows.join(tested, "ctx").select("key", "c", "keep", p.alias("p")), f"lm-probabilities{k}")
+        entries = keep(rows.join(tested.hint("shuffle_hash"), "ctx").select("key", "c", "keep", p.alias("p")), f"lm-probabilities{k}")
         tree.append((tested.where("keep").select("ctx", "t", F.log10("rest").alias("v")), entries.where("keep").select("key", "c", F.log10("p").alias("v"))))
         tables += [tested, entries]
         discard(rows)
@@ -520,7 +595,35 @@ def _look(keys: np.ndarray, m: dict, name: str, values: np.ndarray) -> tuple[np.
 
 def _shared(model: dict) -> dict:
     """What tasks need of the model."""
-    return {k: v for k, v in model.items() if k not in ("tails", "tables", "numbers")} | {"log_rest": np.log10(model["rest1"]), "log_e": model["e1"], "c1_starts": _starts(model["c1"]), "k1_starts": _starts(model["k1"])}
+    return {k: v for k, v in model.items() if k not in ("tails", "tables", "numbers", "rest1", "e1")} | {"log_rest": np.log10(model["rest1"]), "log_e": model["e1"], "c1_starts": _starts(model["c1"]), "k1_starts": _starts(model["k1"])}
+
+
+class _Small:
+    """What tasks need of the model, packed: a broadcast is a file at the driver and at each executor.  `get` unpacks it, once for a worker."""
+
+    def __init__(self, model: dict):
+        self.rest, self.packed = {}, {}
+        for name, x in _shared(model).items():
+            if name in ("c1", "k1", "log_rest", "log_e"):
+                raw = _packed_keys(x) if name in ("c1", "k1") else _planes(x)
+                self.packed[name] = (len(raw), pa.compress(raw, codec="zstd", asbytes=True))
+            elif name not in ("c1_starts", "k1_starts"):  # are made again
+                self.rest[name] = x
+        bits = [b for pair in self.rest.pop("filters") for b in pair] + [self.rest.pop("c1_tail"), self.rest.pop("k1_tail")]
+        self.bits = [None if b is None else (len(b), pa.compress(b.tobytes(), codec="zstd", asbytes=True)) for b in bits]
+        self.whole: dict | None = None
+
+    def get(self) -> dict:
+        if self.whole is None:
+            raw = {name: pa.decompress(x, n, codec="zstd", asbytes=True) for name, (n, x) in self.packed.items()}
+            bits = [None if b is None else np.frombuffer(pa.decompress(b[1], b[0], codec="zstd", asbytes=True), np.uint8) for b in self.bits]
+            self.whole = self.rest | {name: _unpacked_keys(x) if name in ("c1", "k1") else _from_planes(x, np.float64) for name, x in raw.items()}
+            self.whole |= {"filters": list(zip(bits[:-2:2], bits[1:-2:2], strict=True)), "c1_tail": bits[-2], "k1_tail": bits[-1]}
+            self.whole |= {f"{name}_starts": _starts(self.whole[name]) for name in ("c1", "k1")}
+            self.packed, self.bits = {}, []
+            del raw
+            give_back()
+        return self.whole
 
 
 def _read(hashes: np.ndarray, at: np.ndarray, m: dict, whole: bool = True) -> dict:
@@ -544,7 +647,7 @@ def _read(hashes: np.ndarray, at: np.ndarray, m: dict, whole: bool = True) -> di
             own += [v, known, far]
         if whole:
             levels.append((behind, ctx, *own[:3], pos, key, *own[3:]))
-    return {"numbered": numbered, "root": root, "levels": levels, "asked": np.unique(np.concatenate(asked))}
+    return {"numbered": numbered, "root": root, "levels": levels, "asked": _different(np.concatenate(asked))}
 
 
 def _fill(values: np.ndarray, known: np.ndarray, keys: np.ndarray, lack: np.ndarray, asked: np.ndarray, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -594,19 +697,19 @@ _CONTEXT = 0x2545F4914F6CDD1D
 
 
 def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: int) -> DataFrame:
-    """(piece, part, answers): by parts of the hash space what the tables know of the keys that a piece asks for, in the order of the keys (see `_packed_answers`).
+    """(piece, part, answers, lot), divided by the lots of the pieces: by parts of the hash space what the tables know of the keys that a piece asks for, in the order of the keys (see `_packed_answers`).
 
     Keys go to the parts packed, and so do the tables' rows: counts of the words without a number, entries and contexts.
     """
 
     def ask(batches):
-        m = shared.value
+        m = shared.value.get()
         for batch in batches:
-            for piece, own in zip(batch.column(3).to_pylist(), _pieces(batch), strict=True):
+            for (piece, lot), own in zip(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True), _pieces(batch), strict=True):
                 keys = _read(*own, m, whole=False)["asked"]
-                give_back()
+                give_back(False)
                 cuts = _cuts(_part(keys, parts))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "piece": pa.array([piece] * len(cuts), pa.int64()), "keys": pa.array([_packed_keys(keys[lo:hi]) for _, lo, hi in cuts], pa.binary()), "v": pa.array([b""] * len(cuts), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "piece": pa.array([piece] * len(cuts), pa.int64()), "keys": pa.array([_packed_keys(keys[lo:hi]) for _, lo, hi in cuts], pa.binary()), "v": pa.array([b""] * len(cuts), pa.binary()), "lot": pa.array([lot] * len(cuts), pa.int32())})
 
     def tell(batches):
         held, size = [], 0
@@ -616,7 +719,7 @@ def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: in
             o = np.argsort(k)
             k, v = k[o], v[o]
             cuts = _cuts(_part(k, parts))
-            return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "piece": pa.array([-1] * len(cuts), pa.int64()), "keys": pa.array([_packed_keys(k[lo:hi]) for _, lo, hi in cuts], pa.binary()), "v": pa.array([_planes(v[lo:hi]) for _, lo, hi in cuts], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int64()), "piece": pa.array([-1] * len(cuts), pa.int64()), "keys": pa.array([_packed_keys(k[lo:hi]) for _, lo, hi in cuts], pa.binary()), "v": pa.array([_planes(v[lo:hi]) for _, lo, hi in cuts], pa.binary()), "lot": pa.array([-1] * len(cuts), pa.int32())})
 
         for batch in batches:
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
@@ -632,7 +735,7 @@ def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: in
         at, told, keys, values = None, [], None, None
         for batch in batches:
             answers = []
-            for part, piece, k, v in zip(*[batch.column(c).to_pylist() for c in range(4)], strict=True):
+            for part, piece, k, v, lot in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
                 if part != at:
                     at, told, keys = part, [], None
                 if piece < 0:
@@ -644,35 +747,36 @@ def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: in
                     o = np.argsort(keys)
                     keys, values, told = keys[o], values[o], []
                 place, there = _find(keys, _unpacked_keys(k))
-                answers.append((piece, part, _packed_answers(values[place] if len(keys) else np.zeros(len(there)), there)))
-            cols = list(zip(*answers, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(cols[0], pa.int64()), "part": pa.array(cols[1], pa.int64()), "answers": pa.array(cols[2], pa.binary())})
+                answers.append((piece, part, lot, _packed_answers(values[place] if len(keys) else np.zeros(len(there)), there)))
+            cols = list(zip(*answers, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(cols[0], pa.int64()), "part": pa.array(cols[1], pa.int64()), "answers": pa.array(cols[3], pa.binary()), "lot": pa.array(cols[2], pa.int32())})
 
     contexts, entries = model["tails"]
     far = words.where(F.col("c") < model["least"]).select(F.col("h").alias("key"), F.col("c").cast("double").alias("v"))
     far = far if entries is None else far.unionByName(entries)
     far = far if contexts is None else far.unionByName(contexts.select(F.col("key").bitwiseXOR(F.lit(_CONTEXT)).alias("key"), "v"))
-    kind = "part long, piece long, keys binary, v binary"
-    both = far.mapInArrow(released(tell), kind).unionByName(pieces.select("distinct", "size", "tokens", "piece").mapInArrow(released(ask), kind))
+    kind = "part long, piece long, keys binary, v binary, lot int"
+    both = far.mapInArrow(released(tell), kind).unionByName(pieces.select("distinct", "size", "tokens", "piece", "lot").mapInArrow(released(ask), kind))
     dealt = both.repartition(parts, "part").sortWithinPartitions("part", "piece")
-    return keep(dealt.mapInArrow(released(answer), "piece long, part long, answers binary"), "lm-answers", "zstd")
+    return keep(dealt.mapInArrow(released(answer), "piece long, part long, answers binary, lot int"), "lm-answers", "zstd", by="lot")
 
 
-def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10) -> DataFrame:
+def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10, spent: bool = False) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    `docs`: documents, or what `tokenised` makes of them.
+    `docs`: documents, or what `tokenised` makes of them; `spent`: this is not read again and goes lot by lot.
     """
     spark = docs.sparkSession
+    own_pieces = spent or "tokens" not in docs.columns
     pieces = docs if "tokens" in docs.columns else tokenised(docs, out_of)
     parts = max(12, (pieces.agg(F.sum("symbols")).first()[0] or 0) // PART + 1)
-    shared = spark.sparkContext.broadcast(_shared(model))
+    shared = spark.sparkContext.broadcast(_Small(model))
     answers = _answers(pieces, model, words, shared, parts)
     collect_shuffles(spark)
     id_type = pieces.schema["ids"].dataType.elementType.simpleString()
 
     def finish(batches):
-        m, own, told = shared.value, None, []
+        m, own, told = shared.value.get(), None, []
 
         def row():
             ids, n, held, distinct, size, tokens = own
@@ -683,7 +787,7 @@ def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10) -> D
             answers = [_unpacked_answers(x, hi - lo) for x, (_, lo, hi) in zip(told, _cuts(_part(read["asked"], parts)), strict=True)]
             known, root, p = _score(read, hashes, at, m, np.concatenate([np.zeros(0), *answers]))
             gap = starts + n
-            known, root[gap], p[gap] = known & (at != 1), 0.0, 0.0
+            known, root[gap], p[gap] = known & (hashes[at] >= 0), 0.0, 0.0
             sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), root, p)]
             return pa.RecordBatch.from_pydict({"doc_id": ids.values, "held_out": pa.array([held] * len(n)), "n_tokens": n, "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
 
@@ -692,17 +796,27 @@ def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10) -> D
                 if part < 0:
                     if own:
                         yield row()
-                        give_back()
+                        give_back(False)
                     own, told = (batch.column(6)[i], batch.column(7)[i].as_py(), held, distinct, size, batch.column(8)[i]), []
                 else:
                     told.append(found)
         if own:
             yield row()
 
-    # a piece, then its answers by parts
+    # a piece, then its answers by parts; a lot at a time, so that little of the packed documents is in shuffles at once
     both = pieces.withColumns({"part": F.lit(-1).cast("long"), "answers": F.lit(None).cast("binary")}).unionByName(answers, allowMissingColumns=True)
-    dealt = both.select("piece", "part", "held", "distinct", "size", "answers", "ids", "n", "tokens").repartition(parts, "piece").sortWithinPartitions("piece", "part")
-    out = dealt.mapInArrow(released(finish), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scores = []
+    for lot in range(LOTS):
+        dealt = both.where(F.col("lot") == lot).select("piece", "part", "held", "distinct", "size", "answers", "ids", "n", "tokens").repartition(-(-parts // LOTS), "piece").sortWithinPartitions("piece", "part")
+        scores.append(keep(dealt.mapInArrow(released(finish), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "lm-scores"))
+        discard_part(answers, f"lot={lot}")
+        if own_pieces:
+            discard_part(pieces, f"lot={lot}")
+        del dealt
+        collect_shuffles(spark)
+    discard(answers, *([pieces] if own_pieces else []))
+    shared.destroy()
+    out = reduce(DataFrame.unionByName, scores)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["total"])).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -710,6 +824,6 @@ def assess(docs: DataFrame, out_of: int = 10) -> DataFrame:
     """Learn from the documents whose id is not held out, score all."""
     tokens = tokenised(docs, out_of)
     model, words = train_tree(tokens.where("not held"))
-    out = score(tokens, model, words, out_of)
-    discard(*model["tables"])  # what the scores need of them is in the answers
+    out = score(tokens, model, words, out_of, spent=True)
+    discard(*model["tables"])
     return out

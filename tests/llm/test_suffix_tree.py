@@ -138,3 +138,60 @@ def test_only_tails_stay(spark):
     model, _ = suffix_lm.train_tree(chain(spark), 60)
     tails = [t for t in model["tails"] if t is not None]
     assert tails and len(model["tables"]) == len(tails) and all(t.columns == ["key", "v"] for t in model["tables"])
+
+
+def test_packed_documents_go_lot_by_lot(spark, monkeypatch):
+    """Scores are made a lot at a time, and what they have read is deleted."""
+    docs = chain(spark)
+    want = scores(docs, *suffix_lm.train_tree(docs.where("doc_id % 3 > 0")))
+    monkeypatch.setattr(suffix_lm, "PIECE", 1 << 9)
+    monkeypatch.setattr(suffix_lm, "held_out", lambda doc_id, out_of: doc_id % 3 == 0)
+    kept, keep = [], suffix_lm.keep
+
+    def noted(df, name, *more, **named):
+        kept.append((name, keep(df, name, *more, **named)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(suffix_lm, "keep", noted)
+    got = {r["doc_id"]: (r["base_score"], r["score"]) for r in suffix_lm.assess(docs).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=0, atol=1e-6) for i in want)
+    files = {name: Path(t.kept_at.removeprefix("file:")) for name, t in kept}
+    assert not files["lm-tokens"].exists() and not files["lm-answers"].exists()
+    assert sum(name == "lm-scores" for name, _ in kept) == suffix_lm.LOTS > 1
+
+
+def test_pieces_are_packed_closely():
+    rng = np.random.default_rng(5)
+    numbers, piece = suffix_lm._Numbers(), suffix_lm._Piece()
+    texts = [b" ".join(b"w%d" % i for i in rng.zipf(1.3, 400) % 50_000) for _ in range(100)] + [b"", b"w1"]
+    for i, t in enumerate(texts):
+        piece.add(i, t, numbers)
+    distinct, packed = piece.packed(numbers)
+    hashes, at = suffix_lm._unpacked(packed, distinct, piece.size)
+    words = [x for t in texts for x in [*map(suffix_lm.word_hash, t.split()), suffix_lm.END, -1]]
+    assert hashes[at].tolist() == words
+    assert len(packed) < 6.7 * distinct + 1.4 * piece.size  # hashes in the order in which words came: 8 bytes for each
+
+
+def test_what_is_sent_is_read_back():
+    """Words with a number go as small numbers, others by their hashes."""
+    rng = np.random.default_rng(6)
+    frequent, others = rng.integers(0, 1 << 63, 50), rng.integers(0, 1 << 63, 20)
+    for rows, words in ((1, 1), (30, 1), (30, 4)):
+        numbers = rng.integers(-20, 50, (rows, words)).astype(np.int32)
+        numbers[numbers >= 0] += 1
+        counts = rng.integers(1, 1 << 31, rows).astype(np.uint32)
+        sent, want = suffix_lm._Sent(counts[:, None], numbers, others), suffix_lm._words(numbers, frequent, others)
+        for lo, hi in ((0, rows), (rows // 3, rows // 2 + 1)):
+            raw = sent.part(lo, hi)
+            assert len(raw) == (hi - lo) * 4 * (1 + words) + 8 * int((numbers[lo:hi] < 0).sum())
+            got = suffix_lm._Sent.read(memoryview(raw + b"more"), hi - lo, words, frequent)
+            assert got[0].tolist() == counts[lo:hi].tolist() and np.array_equal(got[1], want[lo:hi]) and bytes(got[2]) == b"more"
+
+
+def test_the_shared_model_is_packed(spark):
+    model, _ = suffix_lm.train_tree(chain(spark), 60)
+    want, got = suffix_lm._shared(model), suffix_lm._Small(model).get()
+    assert want.keys() == got.keys() and "rest1" not in got
+    same = lambda a, b: all(map(same, a, b)) if isinstance(a, (list, tuple)) else np.array_equal(a, b) if isinstance(a, np.ndarray) else a == b
+    assert all(same(want[k], got[k]) for k in want)
