@@ -697,7 +697,7 @@ _CONTEXT = 0x2545F4914F6CDD1D
 
 
 def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: int) -> DataFrame:
-    """(piece, part, answers, lot), divided by the lots of the pieces: by parts of the hash space what the tables know of the keys that a piece asks for, in the order of the keys (see `_packed_answers`).
+    """(piece, part, answers, lot of the piece): by parts of the hash space what the tables know of the keys that a piece asks for, in the order of the keys (see `_packed_answers`).
 
     Keys go to the parts packed, and so do the tables' rows: counts of the words without a number, entries and contexts.
     """
@@ -758,7 +758,7 @@ def _answers(pieces: DataFrame, model: dict, words: DataFrame, shared, parts: in
     kind = "part long, piece long, keys binary, v binary, lot int"
     both = far.mapInArrow(released(tell), kind).unionByName(pieces.select("distinct", "size", "tokens", "piece", "lot").mapInArrow(released(ask), kind))
     dealt = both.repartition(parts, "part").sortWithinPartitions("part", "piece")
-    return keep(dealt.mapInArrow(released(answer), "piece long, part long, answers binary, lot int"), "lm-answers", "zstd", by="lot")
+    return keep(dealt.mapInArrow(released(answer), "piece long, part long, answers binary, lot int"), "lm-answers", "zstd")
 
 
 def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10, spent: bool = False) -> DataFrame:
@@ -809,7 +809,6 @@ def score(docs: DataFrame, model: dict, words: DataFrame, out_of: int = 10, spen
     for lot in range(LOTS):
         dealt = both.where(F.col("lot") == lot).select("piece", "part", "held", "distinct", "size", "answers", "ids", "n", "tokens").repartition(-(-parts // LOTS), "piece").sortWithinPartitions("piece", "part")
         scores.append(keep(dealt.mapInArrow(released(finish), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "lm-scores"))
-        discard_part(answers, f"lot={lot}")
         if own_pieces:
             discard_part(pieces, f"lot={lot}")
         del dealt
