@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quaymark.sources.scratch import delete_at_end, keep, scratch_path, shared_dir  # noqa: F401
+from quaymark.sources.scratch import file_of as _file
+
 #: Java regex of one word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,48 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset on a local master (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not root:
-        root = tempfile.mkdtemp(prefix="quaymark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def _file(spark: SparkSession, path: str) -> tuple:
-    """A path and its file system, as Hadoop sees them."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/quaymark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Have `path` deleted when the driver's JVM ends, whether or not the session was stopped before."""
-    p, fs = _file(spark, path)
-    fs.deleteOnExit(p)
-
-
-def keep(df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors.
-
-    The files go when the driver ends, or with `discard`.  `by`: a column by whose values the files are divided (see `discard_part`).
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path, compression=compression, partitionBy=by)
-    delete_at_end(spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
-    return out
-
-
 def discard(*kept: DataFrame) -> None:
     """Delete what `keep` wrote, once no plan reads it any more."""
     for df in kept:

@@ -1,5 +1,8 @@
 """What keeps plans and their work small."""
 
+import pytest
+
+from quaymark import catalogue
 from quaymark.functions import codes
 from quaymark.operators import tokens
 
@@ -12,3 +15,10 @@ def test_lists_of_candidates_are_computed_once(spark):
     rows = spark.createDataFrame([("TCKU", [("TCKU", 0.5)])], "raw string, pairs array<struct<text:string,score:double>>")
     assert _plan(rows.select(codes.owner_candidates("raw").alias("x"))).count("translate(") == 1
     assert _plan(rows.select(tokens.candidate_groups("pairs").alias("x"))).count("sequence(2") == 1
+
+
+@pytest.mark.parametrize("name", ["split_door_code", "two_line_code"])
+def test_readings_are_not_one_plan(spark, data, name):
+    """The answer joins what its readings kept; it does not hold their plans."""
+    plan = _plan(catalogue.queries()[name](spark, data))
+    assert "Generate" not in plan and "Window" not in plan and "Aggregate" not in plan
