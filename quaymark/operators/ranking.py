@@ -18,9 +18,17 @@ def top(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFram
 
 
 def votes(df: DataFrame, keys: list[str], choice: str, weight: str | Column, order: str, out: str = "vote") -> DataFrame:
-    """Sum of weights of each choice, with the order of its first vote."""
+    """Sum of weights of each choice, with the order of its first vote.
+
+    Weights are added one after another in `order`: the last digits of a sum depend on it, and so does who wins where sums
+    are equal but for them.  A grouped sum adds in an order that changes from run to run.
+    """
     weight = F.col(weight) if isinstance(weight, str) else weight
-    return df.groupBy(*keys, choice).agg(F.sum(weight).alias(out), F.min(order).alias("first_seen"))
+    rows = df.select(*keys, choice, F.col(order).alias("__at"), weight.alias("__weight"))
+    w = Window.partitionBy(*keys, choice).orderBy("__at", "__weight")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(*keys, choice, F.sum("__weight").over(so_far).alias(out), F.min("__at").over(so_far).alias("first_seen"), F.lead(F.lit(True)).over(w).alias("__more"))
+    return rows.where("__more is null").drop("__more")
 
 
 def winner(tally: DataFrame, keys: list[str], vote: str = "vote", first: str = "first_seen") -> DataFrame:

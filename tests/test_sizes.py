@@ -1,10 +1,11 @@
-"""What keeps plans and their work small."""
+"""What keeps plans and their work small, and sums that do not depend on how rows are dealt."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quaymark import catalogue
 from quaymark.functions import codes
-from quaymark.operators import tokens
+from quaymark.operators import ranking, tokens, voting
 
 
 def _plan(df):
@@ -22,3 +23,31 @@ def test_readings_are_not_one_plan(spark, data, name):
     """The answer joins what its readings kept; it does not hold their plans."""
     plan = _plan(catalogue.queries()[name](spark, data))
     assert "Generate" not in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def _dealt(spark, rows, kind):
+    """The rows in several orders and partitions."""
+    df = spark.createDataFrame(rows, kind)
+    return [df.orderBy(F.desc("ord")).coalesce(1), df.orderBy("ord").coalesce(1), df.repartition(5, "ord")]
+
+
+def _one_after_another(weights):
+    total = 0.0
+    for w in weights:
+        total += w
+    return total
+
+
+def test_votes_are_added_in_their_order(spark):
+    weights = [1e16, 1.0, 1.0, 1.0, -1e16, 0.1, 0.7]
+    for df in _dealt(spark, [(1, k, "a", w) for k, w in enumerate(weights)], "k int, ord int, c string, w double"):
+        got = ranking.votes(df, ["k"], "c", "w", "ord").collect()
+        assert [(r["c"], r["vote"], r["first_seen"]) for r in got] == [("a", _one_after_another(weights), 0)]
+
+
+def test_equal_sums_of_a_number_are_settled_alike(spark):
+    """0.1 + 0.2 + 0.3 is above 0.6 from left to right, 0.3 + 0.2 + 0.1 is not."""
+    scores = [("222222", 0.6), ("111111", 0.1), ("111111", 0.2), ("111111", 0.3)]
+    kind = "k int, ord int, base6 string, check_digit string, score double, raw string, direct boolean, source string"
+    for df in _dealt(spark, [(1, i, b, "", s, b, False, "base6") for i, (b, s) in enumerate(scores)], kind):
+        assert [(r["base6"], r["score"]) for r in voting.pick_number(df, ["k"]).collect()] == [("111111", 0.1 + 0.2 + 0.3)]
