@@ -51,3 +51,10 @@ def test_equal_sums_of_a_number_are_settled_alike(spark):
     kind = "k int, ord int, base6 string, check_digit string, score double, raw string, direct boolean, source string"
     for df in _dealt(spark, [(1, i, b, "", s, b, False, "base6") for i, (b, s) in enumerate(scores)], kind):
         assert [(r["base6"], r["score"]) for r in voting.pick_number(df, ["k"]).collect()] == [("111111", 0.1 + 0.2 + 0.3)]
+
+
+def test_equal_sums_beside_a_number_are_settled_alike(spark):
+    votes = [("2", 0.86), ("1", 0.1), ("1", 0.2), ("1", 0.4)]  # with 0.08 for each square, 0.94 and, from the first on, a little more
+    for df in _dealt(spark, [(1, i, d, s, "square") for i, (d, s) in enumerate(votes)], "k int, ord int, digit string, score double, source string"):
+        got = [(r["digit"], r["vote"]) for r in voting.right_check_vote(df, ["k"]).collect()]
+        assert got == [("1", _one_after_another([0.1 + 0.08, 0.2 + 0.08, 0.4 + 0.08]))]
